@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the corpus contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,3 +100,11 @@ def gathered(values: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
             v = np.concatenate(v)
         out.append(pa.array(v, type=field.type))
     return pa.record_batch(out, schema=schema)
+
+
+def with_columns(schema: T.StructType, *more: str) -> T.StructType:
+    """schema and columns like "name type" after it."""
+    out = T.StructType(list(schema.fields))
+    for x in more:
+        out = out.add(*x.split(" "))
+    return out
