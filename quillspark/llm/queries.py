@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fingerprint, langid, mixing, packing, token_files, toxicity
+from quillspark.llm import fingerprint, langid, mixing, packing, token_files, toxicity, warc
 from quillspark.llm.common import new_path
 
 
@@ -24,6 +24,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder).where("page_id is not null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
