@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that checks it."""
 
-from quillspark.plans import lexicon
+from quillspark.plans import lexicon, selection
 from quillspark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lexicon"]
+__all__ = ["QUERIES", "SQL", "lexicon", "selection"]
