@@ -155,7 +155,7 @@ def status_counts(spark, sf_dir):
     return learning.status_counts(learning.lifecycle(events(spark, sf_dir)))
 
 
-@query(f"""WITH {LIFE}, items AS (SELECT item_id, status, max(tm) AS updated_at, max(tm) + to_days((item_id % 20)::INT) AS due FROM life JOIN ev USING (item_id) GROUP BY ALL),
+@query(f"""WITH {LIFE}, items AS (SELECT item_id, status, max(tm) AS updated_at, max(tm) + to_days((item_id % 20)::INT) AS due FROM life JOIN ev USING (item_id) GROUP BY item_id, status),
 src AS (SELECT item_id, arg_max(context, (tm, seq)) AS context FROM ev GROUP BY item_id)
 SELECT item_id, context, epoch_us(updated_at) AS updated_at FROM items JOIN src USING (item_id) WHERE status = 'learning' AND (item_id % 7 = 0 OR due <= (SELECT max(tm) FROM ev)) ORDER BY items.updated_at, item_id LIMIT 100""")
 def due_queue(spark, sf_dir):
