@@ -1,11 +1,11 @@
 """Homomorphic multiset hashes of documents, in DataFrame operations only.
 
-A paragraph (line) hashes to a wide vector: 64 lanes that sum, over the three-word
-shingles that start at its words, the bits of a 64-bit hash, and 8 lanes of 32 bits of a
-hash of the whole paragraph. A document's fingerprint is the sum of its paragraphs'
+A paragraph (line) hashes to a wide vector: 48 lanes that sum, over the three-word
+shingles that start at its words, bits of a 64-bit hash, and 4 lanes of 32 bits of hashes
+of the whole paragraph. A document's fingerprint is the sum of its paragraphs'
 vectors modulo 2^32 in each lane, with their count of shingles. So it does not depend on
 the order of paragraphs, and inserting or deleting one adds or subtracts its vector.
-Read as signs, the 64 lanes are a random projection of the multiset of shingles: the
+Read as signs, the 48 lanes are a random projection of the multiset of shingles: the
 inner product of two fingerprints estimates that of the multisets (Alon, Matias and
 Szegedy 1996), which gives a likeness from the fingerprints alone.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
 
-SIGNS, WIDE = 32, 4  # longs that hold two lanes each
+SIGNS, WIDE = 24, 4  # longs of two sign lanes each; lanes of whole paragraphs
 MOD = 1 << 32
 
 
@@ -34,19 +34,17 @@ def vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     sums = [F.count(F.lit(1)).alias("_n")]
     sums += [F.sum(F.shiftright("_h", i).bitwiseAND(pair)).alias(f"_s{i}") for i in range(SIGNS)]
     low = F.lit(MOD - 1).cast("long")
-    for k in range(WIDE):
-        for i, part in enumerate((F.col(f"_k{k}").bitwiseAND(low), F.shiftrightunsigned(f"_k{k}", 32))):
-            sums.append(F.sum(F.when(F.col("_at") == 0, part).otherwise(0)).alias(f"_w{2 * k + i}"))
+    sums += [F.sum(F.when(F.col("_at") == 0, F.col(f"_k{k}").bitwiseAND(low)).otherwise(0)).alias(f"_w{k}") for k in range(WIDE)]
     made = shingle.groupBy(*keys).agg(*sums)
     lanes = [F.col("_n")]
     lanes += [F.col(f"_s{i}").bitwiseAND(low) for i in range(SIGNS)] + [F.shiftrightunsigned(f"_s{i}", 32) for i in range(SIGNS)]
-    lanes += [F.col(f"_w{i}") % MOD for i in range(2 * WIDE)]
+    lanes += [F.col(f"_w{i}") % MOD for i in range(WIDE)]
     return made.select(*keys, F.array(*lanes).alias("lanes"))
 
 
 def none() -> Column:
     """The lanes of a text without words."""
-    return F.array(*[F.lit(0).cast("long")] * (1 + 2 * SIGNS + 2 * WIDE))
+    return F.array(*[F.lit(0).cast("long")] * (1 + 2 * SIGNS + WIDE))
 
 
 def shown(lanes: Column) -> Column:
