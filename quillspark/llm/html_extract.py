@@ -329,12 +329,13 @@ def extract(pages: DataFrame) -> DataFrame:
     extracted each; existing text and n_chars columns are replaced.
     """
     pages = pages.drop("text", "n_chars")
-    kept = pages.drop("html")
+    schema = pages.drop("html").schema
+    kept = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for (part,) in rows(iter([batch]), "html", step=64) for x in part]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept.columns]
-            yield pa.record_batch([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept.columns, "text", "n_chars"])
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+            yield pa.record_batch([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return pages.mapInArrow(run, with_columns(kept.schema, "text string", "n_chars long"))
+    return pages.mapInArrow(run, with_columns(schema, "text string", "n_chars long"))

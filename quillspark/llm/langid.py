@@ -65,8 +65,8 @@ class Model:
 
     def emissions(self, words: list[str]) -> list[np.ndarray]:
         """exp of each word's score by language, the largest 1."""
-        if not words:
-            return [np.zeros((0, len(self.langs)))]
+        if not words or not self.langs:
+            return [np.zeros((len(words), len(self.langs)))]
         ids, n = self.flat(words)
         x = np.add.reduceat(self.weights[ids], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
         return [np.exp(x - x.max(1, keepdims=True))]
