@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that checks it."""
 
-from quillspark.plans import learner, lexicon, selection
+from quillspark.plans import learner, lexicon, selection, sources
 from quillspark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "learner", "lexicon", "selection"]
+__all__ = ["QUERIES", "SQL", "learner", "lexicon", "selection", "sources"]
