@@ -6,9 +6,9 @@ frequent ones by count. Two sets of Jaccard similarity t or more share a shingle
 prefixes, the first n - ceil(t n) + 1. Classes with identical prefixes and set size are
 collapsed into one group, which stands for them in the lists of each prefix shingle.
 
-Pairs come from the lists in two rounds. The first pairs neighbours in a list (by size),
+Pairs come from the lists in rounds. The first pairs neighbours in a list (by size), and
 the groups' members with their group, and verifies each pair on the texts; its links give
-components. The second takes what is left for a whole result: all pairs of a list, member
+components. Further ones pair neighbours of different components, in other orders. The last takes what is left for a whole result: all pairs of a list, member
 by member, that lie in different components and pass the size and position filters. Pairs
 inside a component already found need no look. So a list of many near copies costs about
 its length, and no link between components is lost.
@@ -85,10 +85,16 @@ class Similarity:
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
     def may_link(self, n: Column, pos: Column, m: Column, at: Column) -> Column:
-        """Size and position filters for a shingle at places pos of n and at of m, from 0."""
-        most = F.least(pos, at) + F.least(n - pos, m - at)
+        """Size and position filters for places pos of n and at of m, from 0: the first shared shingle of two sets that
+        link leaves room behind it, in both, for all that they must share."""
         sizes = F.least(n, m) * self.den >= F.greatest(n, m) * self.num
-        return sizes & (most * (self.den + self.num) >= (n + m) * self.num)
+        return sizes & self._room(n - pos, n + m) & self._room(m - at, n + m)
+
+    def _room(self, rest: Column, sizes: Column) -> Column:
+        return rest * (self.den + self.num) >= sizes * self.num
+
+    def least_shared(self, n: int, m: int) -> int:
+        return -(-self.num * (n + m) // (self.den + self.num))
 
 
 def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, held: int = 6_000_000) -> np.ndarray:
@@ -120,18 +126,28 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
     return found["token"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
+BINS = 512
+
+
+def binned(tokens: np.ndarray) -> bytes:
+    """Counts of a set's hashes over bins; empty where a count does not fit its byte."""
+    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if len(tokens) and counts.max() < 256 else b""
+
+
 def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's two check sums (s, t), and its prefix in the global order."""
+    """doc_id, n, the set's two check sums (s, t), its bins and its prefix in the global order."""
     by_value = np.argsort(heavy, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((heavy[by_value], by_value.astype(np.int64)))  # bounded by frequent(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = sent.value
         for ids, texts in rows(batches, "doc_id", "text"):
-            sizes, sums, prefix = [], [], []
+            sizes, sums, bins, prefix = [], [], [], []
             for text in texts:
                 own = shingler(text)
                 sizes.append(len(own))
+                bins.append(binned(own))
                 with np.errstate(over="ignore"):
                     sums.append((int(mixed(own).sum().view(np.int64)), int((mixed(own ^ MIX_A) * (own | np.uint64(1))).sum().view(np.int64))) if len(own) else (0, 0))
                 take = similarity.prefix(len(own)) if len(own) else 0
@@ -147,11 +163,31 @@ def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy:
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), lists],
-                names=["doc_id", "n", "s", "t", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(bins, pa.binary()), lists],
+                names=["doc_id", "n", "s", "t", "bins", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) whose bins leave room for a link: sets share at most the sum of the lesser counts of each bin.
+
+    Exact: no pair that links is lost, and most others need no look at their texts.
+    """
+    own = sets.select("rep", "n", "bins")
+    both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for columns in rows(iter([batch]), "n", "m", "x", "y"):
+                for n, m, x, y in zip(*columns, strict=True):
+                    most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)) if x and y else min(n, m)
+                    keep.append(most >= similarity.least_shared(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingler: Shingler, similarity: Similarity, chunk: int = 32) -> DataFrame:
@@ -183,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingler: Shingler, similarity:
     return links
 
 
-def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, frequent_most: int = 250_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, frequent_most: int = 250_000, rounds: int = 3) -> DataFrame:
     """Linked components of documents (doc_id, text): doc_id, n_shingles, component_id, by whole texts.
 
     A document's set is its distinct shingles of `size` words, or its whole sequence if it
@@ -196,7 +232,7 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
     docs = docs.select("doc_id", "text")
     sets = written(prefixes(docs, shingler, similarity, frequent(docs, shingler, frequent_most)), "sets")
     own = ["n", "s", "t"]
-    classes = sets.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = sets.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     classes = written(classes.withColumn("_key", F.xxhash64("prefix")), "classes")
     lead = classes.groupBy("n", "_key").agg(F.min("rep").alias("g"))
     members = written(classes.join(lead, ["n", "_key"]).select("rep", "g", "n", "prefix"), "members")
@@ -204,16 +240,22 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
     near = Window.partitionBy("token").orderBy("n", "g")
     shared = lists.withColumns({"_l": F.lag("g").over(near), "_m": F.lead("g").over(near)}).where("_l is not null or _m is not null")
     shared = written(shared.select("token", "g", "n", "pos"), "lists")
-    neighbours = shared
-    for k in (1, 2, 3):
-        neighbours = neighbours.withColumn(f"_p{k}", F.lag(F.struct("g", "n", "pos"), k).over(near))
-    pair = F.explode(F.array(*[F.col(f"_p{k}") for k in (1, 2, 3)]))
-    neighbours = neighbours.select("g", "n", "pos", pair.alias("p")).where(similarity.may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = neighbours.select(F.col("g").alias("a"), F.col("p.g").alias("b")).union(members.where("rep <> g").select("g", "rep"))
-    first = written(first.select(*ordered).distinct(), "first")
-    links = verified(first, docs, shingler, similarity)
-    label = components(links)
+    tried = members.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")).select(*ordered)
+    label, links = None, None
+    for k in range(rounds):
+        lists = shared.withColumn("c", F.col("g")) if label is None else shared.join(label, F.col("g") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "g").alias("c"))
+        order = Window.partitionBy("token").orderBy(*(["n", "g"] if k == 0 else [F.xxhash64("g", F.lit(k)), "g"]))
+        lists = lists.withColumns({f"_p{j}": F.lag(F.struct("g", "n", "pos", "c"), j).over(order) for j in (1, 2, 3)})
+        pairs = lists.select("g", "n", "pos", "c", F.explode(F.array("_p1", "_p2", "_p3")).alias("p")).where(similarity.may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")) & (F.col("p.c") != F.col("c")))
+        pairs = pairs.select(F.col("g").alias("a"), F.col("p.g").alias("b")).select(*ordered).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs.union(tried).distinct(), "pairs")
+        tried = written(tried.union(pairs).distinct(), "tried") if k else pairs
+        found = verified(likely(pairs, classes, similarity), docs, shingler, similarity)
+        if k and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        label = written(components(links), "labels")
     named = members.select("rep", "g", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left")
     named = written(named.select("rep", "g", "n", "prefix", F.coalesce("component", "rep").alias("c")), "named")
     # lists whose groups hold several components, member by member; also those of one group alone
@@ -227,8 +269,8 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
     cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
     cond = cond & similarity.may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     second = x.join(y, cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).select(*ordered).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    more = verified(second, docs, shingler, similarity)
+    second = second.join(tried, ["a", "b"], "left_anti")
+    more = verified(likely(second, classes, similarity), docs, shingler, similarity)
     label = written(components(links.union(more)), "components")
     of_class = classes.select(*own, "rep").join(label, F.col("rep") == F.col("node"), "left").select(*own, F.coalesce("component", "rep").alias("c"))
     found = sets.select("doc_id", *own).join(of_class, own, "left")
