@@ -122,8 +122,19 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
             yield counted()
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = found.orderBy(F.desc("n"), "token").limit(most).toPandas()
-    return found["token"].to_numpy(np.int64)[::-1].view(np.uint64)
+    found = written(found, "counts")
+    step = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in found.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # eight rows for each doubling
+        held += r["count"]
+        if held > most:
+            break
+        least = r["s"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = found.where(step >= least).toPandas().sort_values(["n", "token"])
+    dropped(found)
+    return top["token"].to_numpy(np.int64).view(np.uint64)
 
 
 BINS = 512
@@ -272,6 +283,8 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
     second = second.join(tried, ["a", "b"], "left_anti")
     more = verified(likely(second, classes, similarity), docs, shingler, similarity)
     label = written(components(links.union(more)), "components")
+    for used in (shared, members, named, entries, tried):
+        dropped(used)
     of_class = classes.select(*own, "rep").join(label, F.col("rep") == F.col("node"), "left").select(*own, F.coalesce("component", "rep").alias("c"))
     found = sets.select("doc_id", *own).join(of_class, own, "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
