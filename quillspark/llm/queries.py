@@ -27,7 +27,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
-    found = warc.read(spark, folder).where("page_id is not null")
+    found = warc.read(spark, folder).where("record_type <> 'gap'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -30,6 +30,8 @@ from quillspark.llm.common import new_path, rows
 from quillspark.llm.tokens import encoder, word_bpe
 
 MAGIC = b"QTOK1\n"
+#: Stands for a null doc_id in a file.
+NO_ID = -(1 << 63)
 #: Bytes of each of a control byte's four values, and their sum.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -106,7 +108,7 @@ def write_files(
 
     The manifest has a row per file: file, position (of the file in the order), n_docs,
     n_tokens and start, the ids of all files before. A null or empty text is the end id
-    alone; a null doc_id is not allowed. A partition above file_tokens takes several files.
+    alone; null doc_ids come first. Repeated rows are written each. A partition above file_tokens takes several files.
     """
     path = tokenizer or word_bpe()
 
@@ -120,7 +122,7 @@ def write_files(
             ids = np.frombuffer(b"".join(b for _, b in held), enc.dtype)
             counts = [len(b) // enc.dtype.itemsize for _, b in held]
             name = f"tokens-{part:06d}-{segment:05d}.qtok"
-            put(folder, name, encoded([d for d, _ in held], counts, ids))
+            put(folder, name, encoded([NO_ID if d is None else d for d, _ in held], counts, ids))
             return pa.record_batch([[name], [part], [segment], [len(held)], [len(ids)]], names=["file", "part", "segment", "n_docs", "n_tokens"])
 
         for ids, texts in rows(batches, "doc_id", "text"):
@@ -163,8 +165,9 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
             parts = [raw[a:b].tobytes() for a, b in zip(first, stops, strict=True)]
             arrays = [doc_ids, first + starts[0], counts.astype(np.int64), [zlib.crc32(x) for x in parts]]
             names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+            none = [doc_ids == NO_ID, None, None, None]
             yield pa.record_batch(
-                [pa.array(x, pa.int64()) for x in arrays] + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids
+                [pa.array(np.asarray(x, np.int64), pa.int64(), mask=m) for x, m in zip(arrays, none, strict=True)] + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids
             )
 
     return files.join(F.broadcast(manifest.select("file", "start")), "file").select("content", "start").mapInArrow(run, ddl)

@@ -163,7 +163,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000, compress: bool = Tru
 
     A null html is an empty payload. Of records with equal payloads of at least `least`
     bytes the one with the largest page_id is a response, others revisit it; smaller ones
-    are all responses. Archives are whole or absent; a retried task replaces its own.
+    are all responses, as are pages without page_id. Repeated rows are records each, an
+    empty table gives no archive; other columns are ignored. Archives are whole or absent; a retried task replaces its own.
     """
     suffix = ".warc.gz" if compress else ".warc"
 

@@ -395,3 +395,22 @@ def test_shared_dir_is_the_clusters():
         conf = {"spark.checkpoint.dir": "hdfs://shared/"}
 
     assert shared_dir(Named()) == "hdfs://shared"
+
+
+def test_null_ids_and_empty_tables_do_not_crash(spark):
+    rows = [(None, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (5, "a b c d e f", "fr", None, 1), (5, "a b c d e f", "fr", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, toxic int")
+    assert sum(r.length for r in packing.pack(docs).collect()) == 3 * 7 + 1
+    folder = new_path(spark, "t")
+    manifest = token_files.write_files(docs, folder)
+    assert sorted((r.doc_id is None, r.n_tokens) for r in token_files.read_files(spark, folder, manifest).collect()) == [(False, 7), (False, 7), (True, 1), (True, 7)]
+    for made in (mixing.mix(docs), ngram_join.join(docs), fingerprint.fingerprints(docs, parts=2), toxicity.score(docs, toxicity.train(docs, labels)), langid.identify(docs, langid.train(docs))):
+        assert made.count() == 4
+    assert topk.search(docs, docs.select(F.lit(1).alias("query_id"), "text")).count() == 2
+    none = empty(spark)
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == langid.identify(none, langid.train(none)).count() == 0
+    pages = spark.createDataFrame([(None, None, "<p>x</p>" * 200), (None, None, None), (3, "u", "<p>x</p>" * 200)], "page_id long, url string, html string")
+    folder = new_path(spark, "w")
+    warc.write(pages, folder)
+    assert sorted((str(r.page_id), r.record_type, r.payload_bytes) for r in warc.read(spark, folder).collect()) == [("3", "response", 1600), ("None", "response", 0), ("None", "response", 1600)]
