@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -52,26 +54,33 @@ class Encoder(dict):
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.letters = byte_letters()
+        self.pieces: dict[str, bytes] = {}
         self[""] = b""
 
     def packed(self, ids: list[int]) -> bytes:
+        if sys.byteorder == "little":
+            return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
-    def piece(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(self.letters)
-        return [x.id for x in self.model.tokenize(text)]
+    def piece(self, text: str) -> bytes:
+        """Packed ids of a normal pre-token; words differ in case and punctuation more than in these."""
+        out = self.pieces.get(text)
+        if out is None:
+            plain = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            out = self.packed([x.id for x in self.model.tokenize(plain)])
+            if len(text) <= 48:
+                self.pieces[text] = out
+        return out
 
     def __missing__(self, word: str) -> bytes:
         plain = PLAIN.fullmatch(word)
         if plain:
             head, tail = plain.groups()
-            ids = self.piece(head.lower())
+            out = self.piece(head.lower())
             if tail:
-                ids = ids + self.piece(tail)
+                out += self.piece(tail)
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self.packed(ids)
+            out = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= 48:
             self[word] = out
         return out
@@ -84,6 +93,7 @@ class Encoder(dict):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self) > CACHED:
             self.clear()
+            self.pieces.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
