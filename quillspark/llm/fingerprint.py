@@ -1,11 +1,11 @@
 """Homomorphic multiset hashes of documents, in DataFrame operations only.
 
-A paragraph (line) hashes to a wide vector: 48 lanes that sum, over the three-word
-shingles that start at its words, bits of a 64-bit hash, and 4 lanes of 32 bits of hashes
-of the whole paragraph. A document's fingerprint is the sum of its paragraphs'
+A paragraph (line) hashes to a wide vector: 64 lanes that sum, over the three-word
+shingles that start at its words, the bits of a 64-bit hash, and 8 lanes of 32 bits of
+hashes of the whole paragraph. A document's fingerprint is the sum of its paragraphs'
 vectors modulo 2^32 in each lane, with their count of shingles. So it does not depend on
 the order of paragraphs, and inserting or deleting one adds or subtracts its vector.
-Read as signs, the 48 lanes are a random projection of the multiset of shingles: the
+Read as signs, the 64 lanes are a random projection of the multiset of shingles: the
 inner product of two fingerprints estimates that of the multisets (Alon, Matias and
 Szegedy 1996), which gives a likeness from the fingerprints alone.
 """
@@ -17,34 +17,38 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
 
-SIGNS, WIDE = 24, 4  # longs of two sign lanes each; lanes of whole paragraphs
+SIGNS, WIDE = 64, 8  # sign lanes, lanes of whole paragraphs
+LINES, RUN = 128, 255  # a part of a document: their product is below 2^15, so a long holds counts of four lanes
 MOD = 1 << 32
 
 
 def vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and the array of lane sums, count of shingles first, of each text; texts without a word are absent."""
-    paragraph = texts.select(*keys, F.explode(F.split(text, "\n")).alias("_p")).where("_p <> ''")
-    words = F.split("_p", " ")
-    wide = [F.xxhash64("_p", F.lit(k)).alias(f"_k{k}") for k in range(WIDE)]
-    paragraph = paragraph.select(*keys, words.alias("_w"), *wide)
+    paragraph = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_line", "_p")).where("_p <> ''")
+    hashes = [f"_k{k}" for k in range(WIDE // 2)]
+    wide = [F.xxhash64("_p", F.lit(k)).alias(x) for k, x in enumerate(hashes)]
+    paragraph = paragraph.select(*keys, F.floor(F.col("_line") / LINES).alias("_lines"), F.split("_p", " ").alias("_w"), *wide)
     at = F.posexplode(F.arrays_zip("_w", F.slice("_w", 2, F.size("_w")), F.slice("_w", 3, F.size("_w"))))
-    shingle = paragraph.select(*keys, *[f"_k{k}" for k in range(WIDE)], at.alias("_at", "_s"))
-    shingle = shingle.select(*keys, "_at", *[f"_k{k}" for k in range(WIDE)], F.xxhash64("_s.*").alias("_h"))
-    pair = F.lit((1 << 32) | 1).cast("long")
+    shingle = paragraph.select(*keys, "_lines", *hashes, at.alias("_at", "_s"))
+    shingle = shingle.select(*keys, "_lines", F.floor(F.col("_at") / RUN).alias("_run"), "_at", *hashes, F.xxhash64("_s.*").alias("_h"))
+    four, low, step = F.lit(0x0001_0001_0001_0001), F.lit(MOD - 1).cast("long"), SIGNS // 4
     sums = [F.count(F.lit(1)).alias("_n")]
-    sums += [F.sum(F.shiftright("_h", i).bitwiseAND(pair)).alias(f"_s{i}") for i in range(SIGNS)]
-    low = F.lit(MOD - 1).cast("long")
-    sums += [F.sum(F.when(F.col("_at") == 0, F.col(f"_k{k}").bitwiseAND(low)).otherwise(0)).alias(f"_w{k}") for k in range(WIDE)]
-    made = shingle.groupBy(*keys).agg(*sums)
+    sums += [F.sum(F.shiftright("_h", i).bitwiseAND(four)).alias(f"_s{i}") for i in range(step)]
+    for k, x in enumerate(hashes):
+        for i, part in enumerate((F.col(x).bitwiseAND(low), F.shiftrightunsigned(x, 32))):
+            sums.append(F.sum(F.when(F.col("_at") == 0, part).otherwise(0)).alias(f"_w{2 * k + i}"))
+    made = shingle.groupBy(*keys, "_lines", "_run").agg(*sums)
     lanes = [F.col("_n")]
-    lanes += [F.col(f"_s{i}").bitwiseAND(low) for i in range(SIGNS)] + [F.shiftrightunsigned(f"_s{i}", 32) for i in range(SIGNS)]
+    lanes += [F.shiftrightunsigned(f"_s{i}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long")) for j in range(4) for i in range(step)]
     lanes += [F.col(f"_w{i}") % MOD for i in range(WIDE)]
-    return made.select(*keys, F.array(*lanes).alias("lanes"))
+    parts = made.select(*keys, F.array(*lanes).alias("_lanes")).groupBy(*keys).agg(F.collect_list("_lanes").alias("_parts"))
+    rest = F.slice("_parts", 2, F.size("_parts"))
+    return parts.select(*keys, F.aggregate(rest, F.element_at("_parts", 1), added).alias("lanes"))
 
 
 def none() -> Column:
     """The lanes of a text without words."""
-    return F.array(*[F.lit(0).cast("long")] * (1 + 2 * SIGNS + WIDE))
+    return F.array(*[F.lit(0).cast("long")] * (1 + SIGNS + WIDE))
 
 
 def shown(lanes: Column) -> Column:
@@ -67,7 +71,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def signs(x: Column) -> Column:
         n = F.element_at(x, 1)
-        return F.transform(F.slice(x, 2, 2 * SIGNS), lambda v: (2 * v - n).cast("double"))
+        return F.transform(F.slice(x, 2, SIGNS), lambda v: (2 * v - n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

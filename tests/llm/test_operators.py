@@ -198,6 +198,29 @@ def test_fingerprint_is_homomorphic(spark):
     assert r.p == v[1] and r.m == v[3]
 
 
+def test_fingerprint_has_64_sign_and_8_paragraph_lanes(spark):
+    rng = random.Random(5)
+    texts = ["a", words(rng, 2000), "\n".join(words(rng, rng.randint(1, 4)) for _ in range(400)), "x x " * 300 + "\n\n" + words(rng, 256), "z " * 40_000]
+    t = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.lanes for r in fingerprint.vectors(t, ["k"]).collect()}
+    three, whole = [], []
+    for k, x in enumerate(texts):
+        for p in filter(None, x.split("\n")):
+            w = p.split(" ")
+            three += [(k, *(w[i : i + 3] + [None] * 2)[:3]) for i in range(len(w))]
+            whole.append((k, p))
+    want = {k: [0] * 73 for k in range(len(texts))}
+    for k, h in spark.createDataFrame(three, "k long, a string, b string, c string").select("k", F.xxhash64("a", "b", "c")).collect():
+        want[k][0] += 1
+        for i in range(64):
+            want[k][1 + i] += h >> i & 1
+    for k, *hs in spark.createDataFrame(whole, "k long, p string").select("k", *[F.xxhash64("p", F.lit(i)) for i in range(4)]).collect():
+        for i, h in enumerate(hs):
+            want[k][65 + 2 * i] += h & 0xFFFFFFFF
+            want[k][66 + 2 * i] += h >> 32 & 0xFFFFFFFF
+    assert got == {k: [x % 2**32 for x in v] for k, v in want.items()}
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
