@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (a, b): the smallest node reachable. Stars shrink towards their minima each round."""
-    spark = edges.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Set the folder of checkpoints: the cluster's, else a temporary one."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b): the smallest node reachable. Stars shrink towards their minima each round."""
+    checkpoints(edges.sparkSession)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     label = nodes.distinct().select("node", F.col("node").alias("component")).checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators.components import checkpoints
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,16 +37,21 @@ def title_pairs(titles: DataFrame, least: float = 0.85) -> DataFrame:
     Titles meet on their rarest tokens alone: pairs of that similarity share one of the
     first n - ceil(least * n) + 1 tokens in an order by rising frequency.
     """
-    own = titles.select("title").where("title <> ''").distinct().withColumn("_t", F.array_distinct(F.split("title", " ")))
-    flat = own.select("title", "_t", F.explode("_t").alias("token"))
+    checkpoints(titles.sparkSession)
+    own = titles.select("title").where("title <> ''").distinct().withColumn("_i", F.monotonically_increasing_id()).checkpoint()  # ids stay
+    tokens = F.array_distinct(F.split("title", " "))
+    flat = own.select("_i", F.size(tokens).alias("_n"), F.explode(tokens).alias("token"))
     seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = flat.join(seen, "token").withColumn("_r", F.row_number().over(Window.partitionBy("title").orderBy("_df", "token")))
-    entry = ranked.where(F.col("_r") <= F.size("_t") - F.ceil(F.size("_t") * least - 1e-9) + 1).select("token", "title", "_t")
+    ranked = flat.join(seen, "token").withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy("_df", "token")))
+    entry = ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select("token", "_i", "_n")
     x, y = entry.alias("x"), entry.alias("y")
-    sizes = (F.size("x._t") >= least * F.size("y._t") - 1e-9) & (F.size("y._t") >= least * F.size("x._t") - 1e-9)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.title") < F.col("y.title")) & sizes)
-    pairs = pairs.select(F.col("x.title").alias("a"), F.col("y.title").alias("b"), text.jaccard(F.col("x._t"), F.col("y._t")).alias("jaccard"))
-    return pairs.where(F.col("jaccard") >= least).distinct()
+    sizes = (F.col("x._n") >= least * F.col("y._n") - 1e-9) & (F.col("y._n") >= least * F.col("x._n") - 1e-9)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x._i") < F.col("y._i")) & sizes)
+    met = met.select(F.col("x._i").alias("_x"), F.col("y._i").alias("_y")).distinct()
+    met = met.join(own.toDF("_s", "_x"), "_x").join(own.toDF("_t", "_y"), "_y")
+    likeness = text.jaccard(F.array_distinct(F.split("_s", " ")), F.array_distinct(F.split("_t", " ")))
+    pairs = met.select(F.least("_s", "_t").alias("a"), F.greatest("_s", "_t").alias("b"), likeness.alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= least)
 
 
 def near_duplicates(docs: DataFrame, pairs: DataFrame, least: float = 0.97) -> DataFrame:
@@ -60,6 +66,51 @@ def near_duplicates(docs: DataFrame, pairs: DataFrame, least: float = 0.97) -> D
     return found.select(low.alias("first_id"), high.alias("second_id"), "jaccard", cos.alias("cosine")).where(F.col("cosine") >= least)
 
 
+def greedy_duplicates(pairs: DataFrame) -> DataFrame:
+    """The pairs (earlier, later) whose earlier side is kept and whose later side is not, by a walk in rank order.
+
+    An item goes if a kept earlier one pairs with it; one that went removes nothing. In
+    rounds: items that no open pair has as its later side are kept, their partners go.
+    """
+    checkpoints(pairs.sparkSession)
+    pairs = pairs.checkpoint()
+    rest, gone = pairs.select("earlier", "later"), None
+    while rest.limit(1).count():
+        kept = rest.select("earlier").join(rest.select(F.col("later").alias("earlier")), "earlier", "left_anti").distinct()
+        now = rest.join(kept, "earlier", "left_semi").select("later").distinct().checkpoint()
+        gone = now if gone is None else gone.union(now)
+        rest = rest.join(now, "later", "left_anti").join(now.withColumnRenamed("later", "earlier"), "earlier", "left_anti").checkpoint()
+    if gone is None:
+        return pairs
+    return pairs.join(gone, "later", "left_semi").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+
+
+def resolved(docs: DataFrame) -> DataFrame:
+    """Decision of each document (doc_id, title, words, vector), duplicate_of, and the likeness to it of near duplicates.
+
+    Exact duplicates go first; of the others, by most words and then doc_id, each one is
+    compared with kept ones only and goes to the first that matches.
+    """
+    checkpoints(docs.sparkSession)
+    exact = exact_duplicates(docs.select("doc_id", "title", "words"), "title").checkpoint()
+    own = docs.join(exact.where("decision = 'include'").select("doc_id"), "doc_id", "left_semi")
+    words = own.select("doc_id", "words")
+    found = near_duplicates(own, title_pairs(own))
+    found = found.join(words.toDF("first_id", "_n"), "first_id").join(words.toDF("second_id", "_m"), "second_id")
+    ahead = F.col("_n") >= F.col("_m")  # first_id is the smaller one
+    found = found.select(F.when(ahead, F.col("first_id")).otherwise(F.col("second_id")).alias("earlier"), F.when(ahead, F.col("second_id")).otherwise(F.col("first_id")).alias("later"), F.greatest("_n", "_m").alias("_words"), "jaccard", "cosine")
+    owner = F.min(F.struct(-F.col("_words"), "earlier", "jaccard", "cosine")).alias("_o")
+    near = greedy_duplicates(found).groupBy(F.col("later").alias("doc_id")).agg(owner)
+    out = exact.join(near, "doc_id", "left")
+    return out.select(
+        "doc_id",
+        F.when(F.col("_o").isNotNull(), "duplicate").otherwise(F.col("decision")).alias("decision"),
+        F.coalesce("_o.earlier", "duplicate_of").alias("duplicate_of"),
+        F.col("_o.jaccard").alias("jaccard"),
+        F.col("_o.cosine").alias("cosine"),
+    )
+
+
 def relevance(vectors: DataFrame, anchors: DataFrame, summary: int = 0, best: int = 3) -> DataFrame:
     """Score of each vector (id, vector): 0.6 of its likeness to the summary anchor, 0.4 of the mean of its best query anchors.
 

@@ -120,10 +120,12 @@ UNIT = "vecs AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embed
 p AS (SELECT x.doc_id AS i, y.doc_id AS j, jaccard, list_cosine_similarity(x.v, y.v) AS cosine FROM (SELECT * FROM pairs UNION ALL SELECT DISTINCT title, title, 1.0 FROM d WHERE title <> '') q JOIN d x ON a = x.title JOIN d y ON b = y.title WHERE a <> b OR x.doc_id < y.doc_id)
 SELECT least(i, j) AS first_id, greatest(i, j) AS second_id, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.97""")
 def near_duplicates_resolved(spark, sf_dir):
+    """Decisions on documents, each with the vector of its number modulo the table of vectors' rows."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
-    d = documents(spark, sf_dir).join(vectors, F.col("doc_id") % 40 == F.col("_id"))
-    d = d.select("doc_id", text.title_key(F.col("title")).alias("title"), "vector")
-    found = selection.near_duplicates(d, selection.title_pairs(d))
+    d = documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text")})
+    d = d.select("doc_id", text.title_key(F.col("title")).alias("title"), text.word_count(F.col("text")).alias("words"))
+    d = d.join(vectors, F.pmod("doc_id", F.lit(max(1, vectors.count()))) == F.col("_id"), "left").drop("_id")
+    found = selection.resolved(d)
     return found.withColumns({"jaccard": F.round("jaccard", 6), "cosine": F.round("cosine", 6)})
 
 

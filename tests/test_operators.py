@@ -156,3 +156,52 @@ def test_decision_violations(spark):
     c = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
     d = spark.createDataFrame([(1, "keep"), (2, "keep"), (2, "drop"), (3, "x"), (9, "keep")], "id long, action string")
     assert {r.id: r.violation for r in learning.violations(c, d).collect()} == {2: "several decisions", 3: "no such action", 4: "no decision", 9: "unknown candidate"}
+
+
+def walked(docs):
+    """The reference's walk: doc_id -> duplicate_of of documents (doc_id, title, words, vector)."""
+    out, kept = {}, []
+    for d in sorted(docs, key=lambda d: (-d[2], d[0])):
+        same = [k for k in kept if d[1] and k[1] == d[1]]
+        out[d[0]] = same[0][0] if same else None
+        kept += [] if same else [d]
+    near = []
+    for d in kept:
+        a = set(d[1].split())
+        for k in near:
+            b = set(k[1].split())
+            cos = sum(x * y for x, y in zip(d[3], k[3])) / (sum(x * x for x in d[3]) * sum(x * x for x in k[3])) ** 0.5
+            if a and b and len(a & b) / len(a | b) >= 0.85 and cos >= 0.97:
+                out[d[0]] = k[0]
+                break
+        else:
+            near.append(d)
+    return out
+
+
+def test_near_duplicates_are_resolved_against_kept_documents(spark):
+    long = [f"w{i}" for i in range(13)]
+    # a chain: 1 ~ 2 ~ 3, 1 and 3 differ in two words each; 4 is an exact copy of 2
+    chain = [(1, " ".join(long), 90, [1.0, 0.0]), (2, " ".join(long + ["x"]), 80, [1.0, 0.0]), (3, " ".join(long[1:] + ["x", "y"]), 70, [1.0, 0.0]), (4, " ".join(long + ["x"]), 60, [1.0, 0.0]), (5, "", 5, [1.0, 0.0]), (6, "", 5, [1.0, 0.0])]
+    rng, more = random.Random(4), []
+    for i in range(120):
+        title = [w for w in long if rng.random() > 0.05] + rng.sample(["x", "y", "z"], rng.choice((0, 0, 1)))
+        more.append((100 + i, " ".join(title), rng.randint(1, 9), [1.0, rng.choice((0.0, 0.1, 0.3, 0.6))]))
+    for docs in (chain, more, chain[:1]):
+        df = spark.createDataFrame(docs, "doc_id long, title string, words int, vector array<float>")
+        got = selection.resolved(df).collect()
+        assert {r.doc_id: r.duplicate_of for r in got} == walked(docs)
+        assert all((r.decision == "duplicate") == (r.duplicate_of is not None) for r in got)
+
+
+def test_near_duplicates_resolved_takes_each_document_its_own_vector(spark, tmp_path):
+    from quillspark.plans import QUERIES
+
+    title = "one two three four five six seven eight nine ten"
+    docs = [(i, f"{title} {w}\n" + "a " * (9 - i), "s", "en") for i, w in ((0, "x"), (1, "y"), (2, "x"), (3, "z"))] + [(57, f"{title}", "s", "en"), (64, f"{title} v", "s", "en")]
+    docs = [(k, t.replace(title, title + " eleven twelve thirteen fourteen"), s, g) for k, t, s, g in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [float(i == 57), float(i != 57)]) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.doc_id: r.duplicate_of for r in QUERIES["near_duplicates_resolved"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 0, 57: None, 64: 0}
