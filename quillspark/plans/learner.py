@@ -127,7 +127,7 @@ ORDER BY tier, document_count DESC, total_count DESC, lemma LIMIT 100""")
 def new_word_candidates(spark, sf_dir):
     rows = calibrated(spark, sf_dir)
     status = F.element_at(F.array(F.lit("learning"), F.lit("mastered"), F.lit("new")), (F.col("input_pos") % 3 + 1).cast("int"))
-    items = rows.where("input_pos <= 3000").select("lemma", status.alias("status"))
+    items = rows.select("lemma", status.alias("status"))
     return learning.new_words(rows, items, 100).select("lemma", "importance_tier", "document_count", "total_count")
 
 
@@ -185,7 +185,7 @@ def decision_violations(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     action = F.when(F.col("quality") == 1, "keep").when(F.col("toxic") == 1, "drop").otherwise("maybe")
     decisions = labels.select(F.col("doc_id").alias("id"), action.alias("action")).union(labels.where("doc_id % 11 = 0").select("doc_id", F.lit("keep")))
-    return learning.violations(table(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("doc_id").alias("id")), decisions)
+    return learning.violations(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), decisions)
 
 
 @query(f"""WITH {WORDS}, dict AS (SELECT lemma, CASE input_pos % 3 WHEN 0 THEN 'n.' WHEN 1 THEN 'v.' ELSE 'adv' END AS pos, '[tag]' || chr(92) || 'n' || lemma || ' one;' || chr(92) || 'n two' AS meaning FROM en WHERE input_pos % 2 = 0

@@ -205,3 +205,27 @@ def test_near_duplicates_resolved_takes_each_document_its_own_vector(spark, tmp_
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.doc_id: r.duplicate_of for r in QUERIES["near_duplicates_resolved"](spark, str(tmp_path)).collect()}
     assert got == {0: None, 1: 0, 2: 0, 3: 0, 57: None, 64: 0}
+
+
+def test_decision_violations_takes_all_documents(spark, tmp_path):
+    from quillspark.plans import QUERIES
+
+    spark.range(1000).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(1, 1000) if i not in (500, 900)] + [(2000, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.id: r.violation for r in QUERIES["decision_violations"](spark, str(tmp_path)).collect()}
+    several = {i: "several decisions" for i in range(11, 1000, 11)}
+    assert got == several | {0: "no decision", 500: "no decision", 900: "no decision", 2000: "unknown candidate"}
+
+
+def test_new_word_candidates_gives_all_words_a_status(spark, tmp_path):
+    from quillspark.plans import QUERIES
+
+    # in input order: 3,100 words of 17 letters, all likely known, then 30 of six letters, likely unknown
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    number = lambda i: letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
+    names = ["a" + number(i) + "q" * 13 for i in range(3100)] + ["zzz" + number(i) for i in range(30)]
+    text = " ".join(names)
+    spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.lemma for r in QUERIES["new_word_candidates"](spark, str(tmp_path)).collect()]
+    assert got == [x for i, x in enumerate(names, 1) if i > 3100 and i % 3 == 2]
