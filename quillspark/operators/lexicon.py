@@ -88,7 +88,7 @@ def runs(words: str, k: int) -> Column:
     return F.when(F.size(words) >= k, made).otherwise(F.array().cast("array<string>"))
 
 
-def ngrams(docs: DataFrame, low: int = 2, high: int = 4, stop: tuple[str, ...] = ()) -> DataFrame:
+def ngrams(docs: DataFrame, low: int = 2, high: int = 6, stop: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, line, size, form, term of word n-grams within lines that neither start nor end in a stop word."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "_l"))
     lines = lines.select("doc_id", "line", text.words(F.col("_l")).alias("_w"))
@@ -114,7 +114,7 @@ def c_values(terms: DataFrame) -> DataFrame:
     are cut into their parts and joined by equality, on terms with support alone.
     """
     parent = terms.where("size > 2").select(F.col("total_count").alias("_f"), F.split("term", " ").alias("_w"), "size")
-    inner = F.concat(runs("_w", 2), F.when(F.col("size") > 3, runs("_w", 3)).otherwise(F.array().cast("array<string>")))
+    inner = F.concat(*[F.when(F.col("size") > k, runs("_w", k)).otherwise(F.array().cast("array<string>")) for k in range(2, 6)])
     inside = parent.select("_f", F.explode(inner).alias("term")).groupBy("term").agg(F.avg("_f").alias("_around"))
     value = F.log2(F.col("size").cast("double")) * (F.col("total_count") - F.coalesce("_around", F.lit(0.0)))
     return terms.join(inside, "term", "left").select("term", "total_count", "document_count", F.round(F.greatest(F.lit(0.0), value), 6).alias("c_value"))

@@ -229,3 +229,29 @@ def test_new_word_candidates_gives_all_words_a_status(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.lemma for r in QUERIES["new_word_candidates"](spark, str(tmp_path)).collect()]
     assert got == [x for i, x in enumerate(names, 1) if i > 3100 and i % 3 == 2]
+
+
+def test_terms_and_c_values_take_up_to_six_words(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(6)
+    phrases = ["alpha beta gamma delta epsilon zeta eta", "beta gamma delta epsilon zeta", "gamma delta epsilon"]
+    lines = [" ".join([rng.choice(phrases), rng.choice(("theta", "iota", "kappa")), rng.choice(phrases)]) for _ in range(12)]
+    docs = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(4)]
+    total, held = Counter(), {}
+    for i, text_ in docs:
+        for w in map(str.split, text_.split("\n")):
+            for t in [" ".join(w[j : j + k]) for k in range(2, 7) for j in range(len(w) - k + 1)]:
+                total[t] += 1
+                held.setdefault(t, set()).add(i)
+    want = {t: n for t, n in total.items() if n >= 2 and len(held[t]) >= 2}
+    around = {}
+    for t, n in want.items():
+        w = t.split()
+        for part in [" ".join(w[j : j + k]) for k in range(2, len(w)) for j in range(len(w) - k + 1)]:
+            around.setdefault(part, []).append(n)
+    terms = lexicon.term_counts(lexicon.ngrams(spark.createDataFrame(docs, "doc_id long, text string")), len(docs))
+    got = {r.term: (r.total_count, r.c_value) for r in lexicon.c_values(terms).collect()}
+    assert {len(t.split()) for t in got} == {2, 3, 4, 5, 6}
+    assert got == {t: (n, round(max(0.0, math.log2(len(t.split())) * (n - (sum(around[t]) / len(around[t]) if t in around else 0.0))), 6)) for t, n in want.items()}
