@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators.components import checkpoints
+from quillspark.shared import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,8 +37,7 @@ def title_pairs(titles: DataFrame, least: float = 0.85) -> DataFrame:
     Titles meet on their rarest tokens alone: pairs of that similarity share one of the
     first n - ceil(least * n) + 1 tokens in an order by rising frequency.
     """
-    checkpoints(titles.sparkSession)
-    own = titles.select("title").where("title <> ''").distinct().withColumn("_i", F.monotonically_increasing_id()).checkpoint()  # ids stay
+    own = written(titles.select("title").where("title <> ''").distinct().withColumn("_i", F.monotonically_increasing_id()), "titles")  # ids stay
     tokens = F.array_distinct(F.split("title", " "))
     flat = own.select("_i", F.size(tokens).alias("_n"), F.explode(tokens).alias("token"))
     seen = flat.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
@@ -72,14 +71,13 @@ def greedy_duplicates(pairs: DataFrame) -> DataFrame:
     An item goes if a kept earlier one pairs with it; one that went removes nothing. In
     rounds: items that no open pair has as its later side are kept, their partners go.
     """
-    checkpoints(pairs.sparkSession)
-    pairs = pairs.checkpoint()
+    pairs = written(pairs, "pairs")
     rest, gone = pairs.select("earlier", "later"), None
     while rest.limit(1).count():
         kept = rest.select("earlier").join(rest.select(F.col("later").alias("earlier")), "earlier", "left_anti").distinct()
-        now = rest.join(kept, "earlier", "left_semi").select("later").distinct().checkpoint()
+        now = written(rest.join(kept, "earlier", "left_semi").select("later").distinct(), "gone")
         gone = now if gone is None else gone.union(now)
-        rest = rest.join(now, "later", "left_anti").join(now.withColumnRenamed("later", "earlier"), "earlier", "left_anti").checkpoint()
+        rest = written(rest.join(now, "later", "left_anti").join(now.withColumnRenamed("later", "earlier"), "earlier", "left_anti"), "rest")
     if gone is None:
         return pairs
     return pairs.join(gone, "later", "left_semi").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
@@ -91,8 +89,7 @@ def resolved(docs: DataFrame) -> DataFrame:
     Exact duplicates go first; of the others, by most words and then doc_id, each one is
     compared with kept ones only and goes to the first that matches.
     """
-    checkpoints(docs.sparkSession)
-    exact = exact_duplicates(docs.select("doc_id", "title", "words"), "title").checkpoint()
+    exact = written(exact_duplicates(docs.select("doc_id", "title", "words"), "title"), "exact")
     own = docs.join(exact.where("decision = 'include'").select("doc_id"), "doc_id", "left_semi")
     words = own.select("doc_id", "words")
     found = near_duplicates(own, title_pairs(own))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.shared import new_path
+
 # The published default weights of the FSRS-4.5 memory model.
 W = (0.4872, 1.4003, 3.7145, 13.8206, 5.1618, 1.2298, 0.8975, 0.031, 1.6474, 0.1367, 1.0461, 2.1072, 0.0793, 0.3246, 1.587, 0.2272, 2.8755)
 DECAY, FACTOR, RETENTION = -0.5, 19 / 81, 0.9
@@ -58,11 +58,6 @@ def review_states(log: DataFrame) -> DataFrame:
     return log.groupBy("item_id").applyInPandasWithState(_fold, OUT, "n long, lapses long, s double, d double, last long", "update", GroupStateTimeout.NoTimeout)
 
 
-def place(spark: SparkSession, tag: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
@@ -71,7 +66,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet")
 def drained(stream: DataFrame, tag: str, mode: str) -> DataFrame:
     """All that a stream gives for the files there are now, as a table: a folder for each micro-batch, written over on replay."""
     spark = stream.sparkSession
-    out = place(spark, tag)
+    out = new_path(spark, tag)
 
     def put(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
