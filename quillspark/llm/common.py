@@ -1,54 +1,19 @@
-"""What several operators share: the shared folder, whole-text words, linked components."""
+"""What several operators share: rows of Arrow batches, words, letters."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import regex
 from pyspark.sql import types as T
 
 #: A word of the corpus contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Only where the cluster names none (local runs, tests) a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, without lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from written() that nothing will read again."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark)) or path.replace("file:///", "/").startswith(shared_dir(spark).replace("file://", "")):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: A word of the classifiers: a run of letters, with the marks that follow them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str, step: int = 512) -> Iterator[tuple[list, ...]]:
@@ -59,38 +24,6 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str, step: int = 512) -> Ite
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b); nodes without an edge are absent.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Edges stay
-    distributed; each round is a table in the shared folder. Hubs never meet in one
-    task: minima are partial aggregates and rows go back by a join that adaptive
-    execution may split.
-    """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
-    )
-    while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(down)
-        then = written(small.distinct(), tag)
-        moved = then.exceptAll(now).limit(1).count() + now.exceptAll(then).limit(1).count()
-        dropped(now)
-        now = then
-        if not moved:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
-
-
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
 def gathered(values: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     """One record batch from lists or lists of numpy pieces."""
     out = []

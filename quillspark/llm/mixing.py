@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, written
+from quillspark.llm.common import WORD
+from quillspark.shared import written
 
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 

@@ -6,12 +6,16 @@ frequent ones by count. Two sets of Jaccard similarity t or more share a shingle
 prefixes, the first n - ceil(t n) + 1. Classes with identical prefixes and set size are
 collapsed into one group, which stands for them in the lists of each prefix shingle.
 
-Pairs come from the lists in rounds. The first pairs neighbours in a list (by size), and
-the groups' members with their group, and verifies each pair on the texts; its links give
-components. Further ones pair neighbours of different components, in other orders. The last takes what is left for a whole result: all pairs of a list, member
-by member, that lie in different components and pass the size and position filters. Pairs
-inside a component already found need no look. So a list of many near copies costs about
-its length, and no link between components is lost.
+Members of a group that link with its lead stay with it; the others become groups of
+their own. Pairs of groups then come from the lists in rounds. A round deals each list to
+buckets of a bounded size, at random, anew for each token, and pairs the groups of a
+bucket that lie in different components and pass the size and position filters; their
+leads are verified on the texts, and the links merge components. The bound grows from
+round to round, so that each list ends as one bucket, with all its pairs; by then a list
+of many near copies is nearly all one component, whose inner pairs need no look. Last, the
+pairs of groups whose leads did not link and that still lie apart are expanded to their
+members, which are verified. No link between components is lost, and a list of many near
+copies costs about its length.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, dropped, rows, written
+from quillspark.llm.common import rows
+from quillspark.operators.components import connected
+from quillspark.shared import dropped, observed, written
 
 WORD_MULTIPLIER, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -147,14 +153,14 @@ def binned(tokens: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's two check sums (s, t), its bins and its prefix in the global order."""
+    """doc_id, n, the set's two check sums (s, t), its bins, its prefix in the global order, and how many there are not frequent."""
     by_value = np.argsort(heavy, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((heavy[by_value], by_value.astype(np.int64)))  # bounded by frequent(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = sent.value
         for ids, texts in rows(batches, "doc_id", "text"):
-            sizes, sums, bins, prefix = [], [], [], []
+            sizes, sums, bins, prefix, few = [], [], [], [], []
             for text in texts:
                 own = shingler(text)
                 sizes.append(len(own))
@@ -162,23 +168,23 @@ def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy:
                 with np.errstate(over="ignore"):
                     sums.append((int(mixed(own).sum().view(np.int64)), int((mixed(own ^ MIX_A) * (own | np.uint64(1))).sum().view(np.int64))) if len(own) else (0, 0))
                 take = similarity.prefix(len(own)) if len(own) else 0
+                rare = own[:take]
                 if len(tokens) and take:
                     at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                     common = tokens[at] == own
                     rare = own[~common][:take]
-                    if len(rare) < take:
-                        often = own[common][np.argsort(rank[at[common]], kind="stable")]
-                        rare = np.concatenate([rare, often[: take - len(rare)]])
-                    own = rare
+                    often = own[common][np.argsort(rank[at[common]], kind="stable")][: take - len(rare)]
+                    own = np.concatenate([rare, often])
+                few.append(len(rare))
                 prefix.append(own[:take].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(bins, pa.binary()), lists],
-                names=["doc_id", "n", "s", "t", "bins", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(bins, pa.binary()), lists, pa.array(few, pa.int64())],
+                names=["doc_id", "n", "s", "t", "bins", "prefix", "rare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>, rare long")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -203,88 +209,168 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFra
 
 def verified(pairs: DataFrame, docs: DataFrame, shingler: Shingler, similarity: Similarity, chunk: int = 32) -> DataFrame:
     """Those of the pairs (a, b) of doc ids whose texts link. One text of a travels for up to about `chunk` partners."""
-    pairs = written(pairs.select("a", "b"), "pairs")
     fan = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / chunk).alias("_parts"))
     dealt = written(pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_chunk")), "dealt")
     ids = dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id"), "texts")
+    texts = written(docs.join(ids, "doc_id"), "texts")
     heads = dealt.select("a", "_chunk").distinct().join(texts, F.col("a") == F.col("doc_id"))
     heads = heads.select("a", "_chunk", F.lit(None).cast("long").alias("b"), "text")
     partners = dealt.join(texts, F.col("b") == F.col("doc_id")).select("a", "_chunk", "b", "text")
     stream = heads.union(partners).repartition("a", "_chunk").sortWithinPartitions("a", "_chunk", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        now, own, before = None, [], False
         for left, right, texts in rows(batches, "a", "b", "text", step=256):
             out = []
             for a, b, text in zip(left, right, texts, strict=True):
-                if b is None:
-                    now, own = a, shingler(text)
-                elif a == now and similarity.links(own, shingler(text)):
-                    out.append((a, b))
+                if b is None:  # a head; one id may have several texts
+                    now, own = a, [*(own if before and a == now else []), shingler(text)]
+                elif a == now:
+                    other = shingler(text)
+                    if any(similarity.links(x, other) for x in own):
+                        out.append((a, b))
+                before = b is None
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     links = written(stream.mapInArrow(run, "a long, b long"), "links")
-    for used in (pairs, dealt, texts):
-        dropped(used)
+    dropped(dealt, texts)
     return links
 
 
-def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, frequent_most: int = 250_000, rounds: int = 3) -> DataFrame:
+@dataclass
+class Labels:
+    """Component of each id, as links come in: a table (node, c) of the ids that have one."""
+
+    table: DataFrame | None = None
+
+    def of(self, df: DataFrame, node: str, name: str = "c") -> DataFrame:
+        """df with the component of its column `node`."""
+        if self.table is None:
+            return df.withColumn(name, F.col(node))
+        own = self.table.select(F.col("node").alias("_node"), F.col("c").alias("_c"))
+        return df.join(own, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_c", node)).drop("_node", "_c")
+
+    def merge(self, links: DataFrame) -> None:
+        """Take in links (a, b): the components that they touch are joined, as far as those go."""
+        between = self.of(self.of(links, "a", "_a"), "b", "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        found = connected(between)
+        moved = found.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+        new = found.select("node", F.col("component").alias("c"))
+        if self.table is not None:
+            old = self.table.join(moved, F.col("c") == F.col("_from"), "left").select("node", F.coalesce("_to", "c").alias("c"))
+            new = old.union(new.join(self.table.select("node"), "node", "left_anti"))
+        then = written(new, "labels")
+        dropped(found, self.table)
+        self.table = then
+
+
+def lists_of(members: DataFrame) -> DataFrame:
+    """token, g, n, pos and the list's length of all lists of two groups or more.
+
+    Tokens that may have long lists are the frequent ones. They are counted by partial
+    aggregates and joined, so that no list meets in one task; the others' lists are short.
+    """
+    lists = members.where("rep = g").select("g", "n", F.posexplode("prefix").alias("pos", "token"), (F.col("pos") >= F.col("rare")).alias("_often"))
+    few = lists.where("not _often").withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
+    often = lists.where("_often")
+    lengths = often.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    return few.select("token", "g", "n", "pos", "length").union(often.join(lengths, "token").select("token", "g", "n", "pos", "length"))
+
+
+def met(lists: DataFrame, label: Labels, similarity: Similarity, k: int, bucket: int) -> DataFrame:
+    """Pairs of groups that share a bucket of `bucket` entries or so, lie in different components and pass the filters.
+
+    After the first round the entries of a list's main component meet the others only, by
+    bands of size: most of a list is of that component by then.
+    """
+    own = label.of(lists, "g").withColumn("_d", F.pmod(F.xxhash64("g", "token", F.lit(k)), F.ceil(F.col("length") / bucket)))
+    columns = [F.col(c) for c in ("token", "_d", "g", "n", "pos", "c")]
+    key = ["token", "_d"]
+    if k:
+        each = own.groupBy("token", "c").agg(F.count(F.lit(1)).alias("_size")).groupBy("token")
+        main = each.agg(F.max(F.struct("_size", "c"))["c"].alias("_main"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+        own = own.join(main.select("token", "_main"), "token")
+        band = F.floor(F.log(F.col("n").cast("double")) / np.log(similarity.den / similarity.num)).cast("int")
+        others = own.select(*columns, (F.col("c") == F.col("_main")).alias("_in"), band.alias("_band"))
+        own = own.where("c <> _main").select(*columns, F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+        key = [*key, "_band"]
+    else:
+        own = others = own.select(*columns, F.lit(False).alias("_in"))
+    x, y = own.alias("x"), others.alias("y")
+    apart = F.when(F.col("y._in"), F.col("x.c") != F.col("y.c")).otherwise(F.col("x.c") < F.col("y.c"))
+    cond = apart & similarity.may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    for c in key:
+        cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.join(y, cond).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct()
+
+
+def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, frequent_most: int = 250_000, bucket: int = 8) -> DataFrame:
     """Linked components of documents (doc_id, text): doc_id, n_shingles, component_id, by whole texts.
 
     A document's set is its distinct shingles of `size` words, or its whole sequence if it
     has fewer; two link at a Jaccard similarity of at least `similarity`. component_id is
     the smallest doc_id reachable by links. Null texts and texts without words have the
-    empty set, which links with nothing. doc_id names a text: repeated rows are one
-    document, returned as often. Other columns are ignored; an empty table gives no row.
+    empty set, which links with nothing; very long texts are taken whole. Repeated rows are
+    one document, returned as often; rows of one id with unlike texts are one document that
+    links where any of them does. Rows without an id link with nothing and have a null
+    component_id. Other columns are ignored; an empty table gives no row.
+
+    bucket: entries of a list that meet in the first round; eight times as many in each
+    further one, until all of the longest list do.
     """
     similarity, shingler = similarity or Similarity(), Shingler(size)
     docs = docs.select("doc_id", "text")
+    known = docs.where("doc_id is not null")
     sets = written(prefixes(docs, shingler, similarity, frequent(docs, shingler, frequent_most)), "sets")
     own = ["n", "s", "t"]
-    classes = sets.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy(*own)
+    classes = classes.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("bins").alias("bins"))
     classes = written(classes.withColumn("_key", F.xxhash64("prefix")), "classes")
     lead = classes.groupBy("n", "_key").agg(F.min("rep").alias("g"))
-    members = written(classes.join(lead, ["n", "_key"]).select("rep", "g", "n", "prefix"), "members")
-    lists = members.where("rep = g").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    near = Window.partitionBy("token").orderBy("n", "g")
-    shared = lists.withColumns({"_l": F.lag("g").over(near), "_m": F.lead("g").over(near)}).where("_l is not null or _m is not null")
-    shared = written(shared.select("token", "g", "n", "pos"), "lists")
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tried = members.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")).select(*ordered)
-    label, links = None, None
-    for k in range(rounds):
-        lists = shared.withColumn("c", F.col("g")) if label is None else shared.join(label, F.col("g") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "g").alias("c"))
-        order = Window.partitionBy("token").orderBy(*(["n", "g"] if k == 0 else [F.xxhash64("g", F.lit(k)), "g"]))
-        lists = lists.withColumns({f"_p{j}": F.lag(F.struct("g", "n", "pos", "c"), j).over(order) for j in (1, 2, 3)})
-        pairs = lists.select("g", "n", "pos", "c", F.explode(F.array("_p1", "_p2", "_p3")).alias("p")).where(similarity.may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")) & (F.col("p.c") != F.col("c")))
-        pairs = pairs.select(F.col("g").alias("a"), F.col("p.g").alias("b")).select(*ordered).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs.union(tried).distinct(), "pairs")
-        tried = written(tried.union(pairs).distinct(), "tried") if k else pairs
-        found = verified(likely(pairs, classes, similarity), docs, shingler, similarity)
-        if k and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        label = written(components(links), "labels")
-    named = members.select("rep", "g", "n", "prefix").join(label, F.col("rep") == F.col("node"), "left")
-    named = written(named.select("rep", "g", "n", "prefix", F.coalesce("component", "rep").alias("c")), "named")
-    # lists whose groups hold several components, member by member; also those of one group alone
-    of_group = named.groupBy("g").agg(F.min("c").alias("_low"), F.max("c").alias("_high"))
-    mixed_lists = shared.join(of_group, "g").groupBy("token").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).where("_low < _high")
-    torn = of_group.where("_low < _high").select("g")
-    inside = named.join(torn, "g", "left_semi").select("rep", "n", "c", F.posexplode("prefix").alias("pos", "token")).where("pos = 0")
-    across = shared.join(mixed_lists.select("token"), "token", "left_semi").join(named.select("rep", "c", F.col("g").alias("_g")), F.col("g") == F.col("_g"))
-    entries = written(across.select("token", "rep", "n", "pos", "c").union(inside.select("token", "rep", "n", "pos", "c")).distinct(), "entries")
-    x, y = entries.alias("x"), entries.alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c"))
-    cond = cond & similarity.may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    second = x.join(y, cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).select(*ordered).distinct()
-    second = second.join(tried, ["a", "b"], "left_anti")
-    more = verified(likely(second, classes, similarity), docs, shingler, similarity)
-    label = written(components(links.union(more)), "components")
-    for used in (shared, members, named, entries, tried):
-        dropped(used)
-    of_class = classes.select(*own, "rep").join(label, F.col("rep") == F.col("node"), "left").select(*own, F.coalesce("component", "rep").alias("c"))
-    found = sets.select("doc_id", *own).join(of_class, own, "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    members, told = observed(classes.join(lead, ["n", "_key"]).select("rep", "g", "n", "prefix", "rare"), "members", F.count_if(F.col("rep") != F.col("g")).alias("more"))
+    label = Labels()
+
+    def tried(pairs: DataFrame) -> DataFrame | None:
+        """Links of the pairs, if any, merged into the labels."""
+        pairs, found = observed(likely(pairs, classes, similarity), "pairs", F.count(F.lit(1)).alias("rows"))
+        if not found["rows"]:
+            dropped(pairs)
+            return None
+        links = verified(pairs, known, shingler, similarity)
+        label.merge(links)
+        dropped(pairs)
+        return links
+
+    if told["more"]:  # groups of several: those that do not link with their lead leave it
+        linked = tried(members.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")))
+        stay = members.limit(0).select("g", "rep") if linked is None else linked.select(F.col("a").alias("g"), F.col("b").alias("rep"))
+        stay = stay.withColumn("_stays", F.lit(True))
+        then = written(members.join(stay, ["g", "rep"], "left").withColumn("g", F.when(F.col("_stays"), F.col("g")).otherwise(F.col("rep"))).drop("_stays"), "members")
+        dropped(members, linked)
+        members = then
+    lists, told_lists = observed(lists_of(members), "lists", F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
+    crowds = written(members.where("rep <> g").select("g").distinct(), "crowds") if told["more"] else None
+    k, done, waiting = 0, 1, None
+    while done < told_lists["longest"]:
+        pairs = met(lists.where(F.col("length") > done), label, similarity, k, bucket)
+        if crowds is not None:  # pairs to look at again, member by member
+            pairs = written(pairs, "met")
+            some = crowds.select(F.col("g").alias("_g"))
+            held = pairs.join(some, F.col("a") == F.col("_g"), "left_semi").union(pairs.join(some, F.col("b") == F.col("_g"), "left_semi"))
+            held = written(held.distinct(), "waiting")
+            waiting = [*(waiting or []), held]
+        dropped(tried(pairs))
+        if crowds is not None:
+            dropped(pairs)
+        k, done, bucket = k + 1, bucket, bucket * 8
+    for held in waiting or []:
+        apart = label.of(label.of(held, "a", "_c"), "b", "_d").where("_c <> _d")
+        one, other = (members.select(F.col("g").alias(g), F.col("rep").alias(r)) for g, r in (("a", "_x"), ("b", "_y")))
+        whole = apart.join(one, "a").join(other, "b").where("a <> _x or b <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+        dropped(tried(whole.distinct()))
+        dropped(held)
+    of_class = label.of(classes.select(*own, "rep"), "rep").drop("rep")
+    found = sets.join(of_class, own, "left")
+    dropped(members, lists, crowds)
+    result = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), result.alias("component_id"))

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path, rows
+from quillspark.llm.common import rows
+from quillspark.shared import new_path
 from quillspark.llm.tokens import encoder, word_bpe
 
 MAGIC = b"QTOK1\n"

@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path, rows
+from quillspark.llm.common import rows
 from quillspark.llm.token_files import put
+from quillspark.shared import new_path
 
 VERSION, GZIP, CRLF = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n"
 DATE = "2024-01-01T00:00:00Z"

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import fingerprint, html_extract, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
-from quillspark.llm.common import components, new_path, shared_dir
+from quillspark.operators.components import connected as components
+from quillspark.shared import new_path, shared_dir
 from quillspark.llm.tokens import encoder, word_bpe
 from tests.llm.data import documents, empty, words
 
