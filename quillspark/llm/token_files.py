@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import rows
-from quillspark.shared import new_path
 from quillspark.llm.tokens import encoder, word_bpe
+from quillspark.shared import new_path
 
 MAGIC = b"QTOK1\n"
 #: Stands for a null doc_id in a file.
@@ -92,16 +92,33 @@ def decoded(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, table[ranks] if n else np.zeros(0, np.uint32)
 
 
+def opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
 def put(folder: str, name: str, body: bytes) -> None:
-    """A file in a folder of any file system that Arrow knows, whole or not at all."""
-    fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    """A file in a folder of any file system that Arrow knows, whole or not at all.
+
+    A task that is tried again finds its file's name taken, where it wrote it before: some
+    file systems move onto a file, others refuse, so the older one goes first.
+    """
+    fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
     own = f"{path}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     with fs.open_output_stream(own) as out:
         out.write(body)
+    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.File:
+        fs.delete_file(f"{path}/{name}")
     fs.move(own, f"{path}/{name}")
 
 
+def got(folder: str, name: str) -> bytes:
+    """The bytes of a file that put() wrote."""
+    fs, path = opened(folder)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
+
+
 def write_files(
     docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = 8_000_000
 ) -> DataFrame:
