@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import rows, with_columns
+from quillspark.llm.common import LETTERS, rows, with_columns
 from quillspark.llm.words import WordTable, groups_of, hashed
 
 BUCKETS, BLOCK = 1 << 16, 96
@@ -128,8 +128,11 @@ def posteriors(m: Model, e: np.ndarray, counts: np.ndarray, block: int = BLOCK)
     return out / out.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 32, rate: float = 0.2, seed: int = 3) -> Model:
-    """A model of texts and their languages: likelihood ascent with adaptive steps, in numpy."""
+def fit(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 32, rate: float = 0.2, seed: int = 3, lexicon: int = 150) -> Model:
+    """A model of texts and their languages: likelihood ascent with adaptive steps, in numpy.
+
+    lexicon: words of a language's lexicon, at most: its most frequent ones that mostly occur in it.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     k = len(names)
@@ -144,7 +147,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 32, ra
         seen[g].update(np.unique(d).tolist())
     total = sum(seen, Counter())
     for g, c in enumerate(seen):
-        for w, n in c.most_common(150):
+        for w, n in c.most_common(lexicon):
             if n > 2 and n >= 0.6 * total[w]:
                 m.lexicon.setdefault(words[w], []).append(g)
     if not words or k < 2:
@@ -152,7 +155,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 32, ra
     flat, n = m.flat(words)
     offset = np.cumsum(n) - n
     runs: list[tuple[np.ndarray, np.ndarray]] = []
-    whole = [(d[:400], np.full(min(len(d), 400), g)) for d, g in zip(docs, gold, strict=True) if len(d)]
+    whole = [(d, np.full(len(d), g)) for d, g in zip(docs, gold, strict=True) if len(d)]
     for _ in range(len(whole) // 2):  # spliced: pieces of 4 to 60 words of a few texts
         parts = []
         for i in rng.integers(len(whole), size=int(rng.integers(2, 6))):
@@ -245,8 +248,6 @@ def train(docs: DataFrame, most: int = 300, longest: int = 3000) -> Model:
 
 def label(m: Model, text: str | None) -> list[tuple[str, str, float]]:
     """(word, language, posterior) of each word of a text."""
-    from quillspark.llm.common import LETTERS
-
     words = LETTERS.findall((text or "").lower())
     if not words or not m.langs:
         return []
@@ -255,14 +256,16 @@ def label(m: Model, text: str | None) -> list[tuple[str, str, float]]:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text and any other columns) with held_out, lang_pred and score, by whole texts.
+    """docs (doc_id, text and any other columns) with held_out, lang_pred, score and sure, by whole texts.
 
-    Null texts and texts without a letter are `und`, score 0, as is all text for a model
-    without languages. Repeated rows are told each; existing columns of these names are
-    replaced.
+    sure is the mean over words of the largest posterior. Null texts and texts without a
+    letter are `und`, score and sure 0, as is all text for a model without languages. A tie
+    goes to the language that sorts first. Very long texts are taken whole. Repeated rows are
+    told each, rows without doc_id too (not held out); an empty table gives no row; existing
+    columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size but for the number of languages
-    docs = docs.drop("lang_pred", "score", "held_out")
+    docs = docs.drop("lang_pred", "score", "sure", "held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -270,21 +273,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
+            sure: list[float] = []
             for (texts,) in rows(iter([batch]), "text", step=256):
                 ids, counts = table.rows(texts)
                 starts = np.concatenate(([0], np.cumsum(counts)))
                 for a, b in groups_of(counts, 100_000):
-                    share = np.zeros((b - a, max(1, len(m.langs))))
+                    share, own = np.zeros((b - a, max(1, len(m.langs)))), np.zeros(b - a)
                     some = np.flatnonzero(counts[a:b])
                     if len(some) and m.langs:
                         n = counts[a:b][some]
                         p = posteriors(m, table.values[0][ids[starts[a] : starts[b]]], n)
                         share[some] = np.add.reduceat(p, np.cumsum(n) - n, axis=0) / n[:, None]
+                        own[some] = np.add.reduceat(p.max(1), np.cumsum(n) - n) / n
                     best = share.argmax(1)
                     langs += [m.langs[i] if s[i] > 0 else "und" for s, i in zip(share, best, strict=True)]
                     scores += np.minimum(1.0, share.max(1)).tolist()
+                    sure += np.minimum(1.0, own).tolist()
             kept = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "sure"])
 
-    made = docs.mapInArrow(run, with_columns(docs.schema, "lang_pred string", "score double"))
+    made = docs.mapInArrow(run, with_columns(docs.schema, "lang_pred string", "score double", "sure double"))
     return made.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import fingerprint, html_extract, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
-from quillspark.shared import new_path
+from quillspark.shared import deleted, new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     found = warc.read(spark, folder).where("record_type <> 'gap'")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = written(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-rows")
+    deleted(spark, folder)
+    return found
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     manifest = token_files.write_files(table(spark, sf_dir, "documents"), folder)
-    return token_files.read_files(spark, folder, manifest)
+    found = written(token_files.read_files(spark, folder, manifest), "token-rows")
+    deleted(spark, folder)
+    return found
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

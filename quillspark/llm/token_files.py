@@ -126,7 +126,10 @@ def write_files(
 
     The manifest has a row per file: file, position (of the file in the order), n_docs,
     n_tokens and start, the ids of all files before. A null or empty text is the end id
-    alone; null doc_ids come first. Repeated rows are written each. A partition above file_tokens takes several files.
+    alone; null doc_ids come first. Repeated rows are written each; rows of one doc_id lie in
+    the order of their texts' hashes, then texts, so reruns agree. Very long texts are written
+    whole, other columns are ignored, an empty table gives no file. A partition above
+    file_tokens takes several files.
     """
     path = tokenizer or word_bpe()
 
@@ -155,9 +158,10 @@ def write_files(
             yield file()
 
     made = (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+        .repartitionByRange("doc_id", "_hash")  # rows of one id may be many
+        .sortWithinPartitions("doc_id", "_hash", "text")
+        .select("doc_id", "text")
         .mapInArrow(run, "file string, part long, segment long, n_docs long, n_tokens long")
     )
     spark, at = docs.sparkSession, new_path(docs.sparkSession, "manifest")
@@ -171,13 +175,11 @@ def write_files(
 
 def read_files(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents of the files that a manifest names: doc_id, start, n_tokens, ids_crc32, and with_ids their ids (u32)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtok").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bodies, starts in rows(batches, "content", "start", step=1):
-            doc_ids, counts, ids = decoded(bodies[0])
+        for files, starts in rows(batches, "file", "start", step=1):
+            doc_ids, counts, ids = decoded(got(folder, files[0]))
             stops = np.cumsum(counts, dtype=np.int64)
             first, raw = stops - counts, ids.astype("<u4")
             parts = [raw[a:b].tobytes() for a, b in zip(first, stops, strict=True)]
@@ -188,4 +190,5 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                 [pa.array(np.asarray(x, np.int64), pa.int64(), mask=m) for x, m in zip(arrays, none, strict=True)] + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids
             )
 
-    return files.join(F.broadcast(manifest.select("file", "start")), "file").select("content", "start").mapInArrow(run, ddl)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file", "start").repartition(parts, "file").mapInArrow(run, ddl)

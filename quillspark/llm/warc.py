@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import rows
 from quillspark.llm.token_files import put
-from quillspark.shared import new_path
+from quillspark.shared import new_path, observed, written
 
 VERSION, GZIP, CRLF = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -70,17 +70,22 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None
 
 
 def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, payload and end of the plain record at a place; ValueError if it isn't valid."""
-    stop = data.find(CRLF * 2, at, at + 65536)
-    if data[at : at + 7] != VERSION[:7] or stop < 0:
-        raise ValueError("no version line or header")
-    headers = {}
-    for line in data[at:stop].split(CRLF)[1:]:
-        name, colon, value = line.partition(b":")
+    """Headers, payload and end of the plain record at a place; ValueError if it isn't valid. A header may have any length."""
+    if data[at : at + 7] != VERSION[:7]:
+        raise ValueError("no version line")
+    headers, line = {}, data.find(CRLF, at) + 2
+    while True:
+        stop = data.find(CRLF, line)
+        if line < 2 or stop < 0:
+            raise ValueError("unfinished header")
+        if stop == line:
+            break
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
             raise ValueError("bad header line")
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "strict")
-    start = stop + 4
+        line = stop + 2
+    start = line + 2
     try:
         end = start + int(headers["content-length"])
     except KeyError:
@@ -96,67 +101,93 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, and its end; ValueError if it is damaged."""
-    z = zlib.decompressobj(31)
+    """The gzip member at a place, and its end; ValueError if it is damaged. It is fed in pieces, so its cost is its own length."""
+    z, out, view, size = zlib.decompressobj(31), [], memoryview(data), 4096
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            piece = view[at : at + size]
+            out.append(z.decompress(piece))
+            at, size = at + len(piece), min(2 * size, 65536)
     except zlib.error as e:
         raise ValueError(f"bad member: {e}") from None
     if not z.eof:
         raise ValueError("truncated member")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data)
+
+
+class Starts:
+    """Places where a member or a record may start, in order; each pattern is looked for once over the archive."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {GZIP: -1, VERSION[:7]: -1}
+
+    def after(self, at: int) -> int:
+        """The first such place from `at` on, or the end; `at` never falls."""
+        for pattern, place in self.next.items():
+            if place < at:
+                found = self.data.find(pattern, at)
+                self.next[pattern] = len(self.data) if found < 0 else found
+        return min(self.next.values())
+
+
+def one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and end of the record at a place, a member or plain; ValueError if it isn't valid."""
+    if data[at : at + 3] != GZIP:
+        return parsed(data, at)
+    plain, end = member(data, at)
+    headers, payload, used = parsed(plain)
+    if used != len(plain):
+        raise ValueError("more than a record in a member")
+    return headers, payload, end
 
 
 def salvage(data: bytes) -> Salvaged:
     """All valid records of an archive, plain or of gzip members, with the gaps between them."""
-    out, at = Salvaged(), 0
+    out, at, starts, gap = Salvaged(), 0, Starts(data), None
     while at < len(data):
         try:
-            if data[at : at + 3] == GZIP:
-                plain, end = member(data, at)
-                headers, payload, used = parsed(plain)
-                if used != len(plain):
-                    raise ValueError("more than a record in a member")
-            else:
-                headers, payload, end = parsed(data, at)
-            out.records.append((at, headers, payload))
-            at = end
-        except (ValueError, UnicodeDecodeError) as e:
-            to = recover(data, at + 1)
-            out.gaps.append((at, to, str(e)))
-            at = to
+            headers, payload, end = one(data, at)
+        except ValueError as e:  # of decoding too
+            gap = gap or (at, str(e))
+            at = starts.after(at + 1)
+            continue
+        if gap:
+            out.gaps.append((gap[0], at, gap[1]))
+            gap = None
+        out.records.append((at, headers, payload))
+        at = end
+    if gap:
+        out.gaps.append((gap[0], len(data), gap[1]))
     return out
 
 
-def recover(data: bytes, at: int) -> int:
-    """The next place where a valid member or record starts, or the end."""
-    while True:
-        places = [p for p in (data.find(GZIP, at), data.find(VERSION[:7], at)) if p >= 0]
-        if not places:
-            return len(data)
-        at = min(places)
-        try:
-            parsed(member(data, at)[0]) if data[at : at + 3] == GZIP else parsed(data, at)
-            return at
-        except (ValueError, UnicodeDecodeError):
-            at += 1
-
-
 def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) with refers_to: for a payload of at least `least` bytes that several pages have, the largest page_id (null there and elsewhere).
+    """pages (page_id, url, html) with refers_to: for a payload of at least `least` bytes that several rows have, the largest page_id (null for its row and for all other payloads).
 
-    Only counts of digests meet: a payload of many pages is one row for each task, and the
-    winners of repeated payloads are joined by size, split by adaptive execution if skewed.
+    If several rows have that page_id, one of them is the one that is not referred; the
+    others refer to their own page_id. To tell them apart the pages are then written with
+    numbers first. Rows without an id refer to none. Only counts of digests meet: a payload
+    of many pages is a row for each task, and the winners of repeated payloads are joined
+    by size, split by adaptive execution if skewed.
     """
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    sized = pages.select("page_id", "url", html.alias("payload")).withColumn(
-        "_sha", F.when(F.length("payload") >= least, F.sha1("payload"))
-    )
-    winners = sized.where("_sha is not null").groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    winners = winners.where("_n > 1").select(F.col("_sha").alias("_of"), "_first")
-    salt = F.when(F.col("_sha").isNull(), F.concat(F.lit("-"), F.col("page_id").cast("string"))).otherwise(F.col("_sha"))
-    joined = sized.withColumn("_key", salt).join(winners, F.col("_key") == F.col("_of"), "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("_first") != F.col("page_id"), F.col("_first")).alias("refers_to"))
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    long = (F.octet_length("html") >= least) & F.col("page_id").isNotNull()
+    keyed = pages.select("page_id", F.when(long, sha).alias("_of")).where("_of is not null")
+    each = keyed.groupBy("_of", "page_id").count().groupBy("_of")
+    winners = each.agg(F.max(F.struct("page_id", "count")).alias("_first"), F.sum("count").alias("_n")).where("_n > 1")
+    winners, told = observed(winners, "winners", F.count_if(F.col("_first.count") > 1).alias("ties"))
+    if told["ties"]:
+        pages = written(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("_row")), "pages")
+        tied = pages.withColumn("_sha", F.when(long, sha)).join(winners.where("_first.count > 1"), F.col("_sha") == F.col("_of"))
+        rows = tied.where(F.col("page_id") == F.col("_first.page_id")).groupBy("_of").agg(F.max("_row").alias("_last"))
+        winners = winners.join(rows, "_of", "left")
+    else:
+        pages, winners = pages.withColumn("_row", F.lit(None).cast("long")), winners.withColumn("_last", F.lit(None).cast("long"))
+    key = F.coalesce(F.when(long, sha), F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string")))
+    joined = pages.withColumn("_key", key).join(winners, F.col("_key") == F.col("_of"), "left")
+    own = (F.col("page_id") == F.col("_first.page_id")) & F.coalesce(F.col("_row") == F.col("_last"), F.lit(True))
+    payload = F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    return joined.select("page_id", "url", payload, F.when(F.col("_of").isNotNull() & ~own, F.col("_first.page_id")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 1000, compress: bool = True, file_bytes: int = 24 << 20) -> DataFrame:
@@ -164,8 +195,10 @@ def write(pages: DataFrame, folder: str, least: int = 1000, compress: bool = Tru
 
     A null html is an empty payload. Of records with equal payloads of at least `least`
     bytes the one with the largest page_id is a response, others revisit it; smaller ones
-    are all responses, as are pages without page_id. Repeated rows are records each, an
-    empty table gives no archive; other columns are ignored. Archives are whole or absent; a retried task replaces its own.
+    are all responses, as are pages without page_id. Of rows with the same page_id and payload
+    one is the response and the others revisit it. Repeated rows are records each; an empty
+    table gives no archive; other columns are ignored; urls and pages may be of any length.
+    Archives are whole or absent; a retried task replaces its own.
     """
     suffix = ".warc.gz" if compress else ".warc"
 
@@ -187,7 +220,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, compress: bool = Tru
         if held:
             yield file()
 
-    made = decide(pages, least).mapInArrow(run, "file string, n_records long")
+    made = decide(pages.select("page_id", "url", "html"), least).mapInArrow(run, "file string, n_records long")
     at = new_path(pages.sparkSession, "warc-manifest")
     made.write.parquet(at)
     return pages.sparkSession.read.schema(made.schema).parquet(at)
@@ -198,7 +231,8 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
 
     file, offset, page_id, url, record_type (`gap` for a quarantined one), refers_to,
     payload_bytes and payload_digest (lower-case hex SHA-1) of the full payload, stop and
-    reason of a gap, and with_payload the payload (null but for responses).
+    reason of a gap, and with_payload the payload (null but for responses). An empty folder
+    gives no row, an empty archive neither; repeated records are rows each.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
