@@ -67,3 +67,28 @@ def test_run_and_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"score": F.lit("s"), "predicted": F.lit(1), "_row": F.lit(2), "a.b": F.lit(3)})
     for name in ("toxicity", "language_id", "ngram_join", "mixing"):
         assert dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).columns == docs.columns
+
+
+def test_null_and_repeated_ids_and_empty_tables(spark, sf_dir):
+    rng = random.Random(3)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    near = " ".join(a.split()[:-1])
+    rows = [(None, b), (None, c), (None, None), (9, a), (4, near), (4, d), (7, d), (7, d), (12, ""), (13, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "l1", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, sf_dir).collect()
+    want = Counter({(None, b): 1, (None, c): 1, (None, None): 1, (4, near): 1, (4, d): 1, (12, ""): 1, (13, ""): 1})
+    assert Counter((r.doc_id, r.text) for r in kept) == want
+    mixed = Counter((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf_dir).collect())
+    assert mixed == Counter((i, t) for i, t in rows if t)  # one source: all of it, once
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+
+
+def test_mixed_languages_stay(spark, sf_dir):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 20, "abcde" if i % 2 else "vwxyz"), "l1" if i % 2 else "l2") for i in range(200)]
+    rows += [(1000 + i, words(rng, 20, "abcde") + " " + words(rng, 20, "vwxyz"), None) for i in range(10)] + [(2000, "½ ² ① 12", "l1")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, sf_dir).collect()}
+    assert got == {r[0] for r in rows} - {2000}
