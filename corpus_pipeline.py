@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and reread as the next stage's docs. All but the last keep the columns of documents,
-whatever they are called.
+whatever they are called. Rows are documents, whatever their ids: null and repeated doc_ids
+are not merged, and every stage takes null, empty and very long texts and empty tables.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, mixing, ngram_join, packing, toxicity
-from quillspark.shared import written
+from quillspark.shared import dropped, written
 
-#: A document is of a language if that language holds this share of its words; half-and-half texts have about 0.5.
-LEAST_SHARE = 0.4
+#: A document goes as being of no language if its average word has less than this posterior in its own best language.
+LEAST_SURE = 0.5
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -22,36 +23,65 @@ def _carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A written table of the rows with a number each (_id), which no other row has."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return written(docs.select(F.monotonically_increasing_id().alias("_id"), row), "numbered")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose toxicity score is 0.5 or more; null and empty texts stay."""
+    """Documents without those whose toxicity score is 0.5 or more.
+
+    Null and empty texts stay, whatever the score of no words is. Rows are judged one by one:
+    repeated rows and null ids alike; an empty table stays empty. The classifier learns
+    from labels of sf_dir and the texts of these documents.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     told = toxicity.score(_carried(docs), model)
     return told.where((F.col("predicted") == 0) | (F.coalesce("text", F.lit("")) == "")).select("_row.*")
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those of no language: texts that are null, have no letter, or that no language holds LEAST_SHARE of."""
+    """Documents without those of no language: null texts, texts without a letter, and texts whose words are unlikely in every language.
+
+    The last have an average posterior of their words' own best languages below LEAST_SURE;
+    so texts that mix languages stay. Rows are judged one by one, repeated rows and null ids
+    alike; an empty table stays empty, and a table without a labelled text, of which no
+    language can be learned, loses all its rows.
+    """
     told = langid.identify(_carried(docs), langid.train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+    return told.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_SURE)).select("_row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id, once."""
-    kept = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of near duplicates the row of the smallest doc_id, a null id last, of several the least text.
+
+    Every row is a document: rows of null ids, and rows of one id with unlike texts, are
+    compared by their texts like all others, and exact repeats are one. Texts without words
+    link with nothing and stay, each row of them. An empty table stays empty.
+    """
+    rows = _numbered(docs)
+    found = ngram_join.join(rows.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")))
+    joined = found.join(rows.select(F.col("_id").alias("doc_id"), F.col("_row.doc_id").alias("_doc"), F.substring(F.sha2(F.col("_row.text"), 256), 1, 16).alias("_text")), "doc_id")
+    first = F.min(F.struct(F.col("_doc").isNull().alias("null"), "_doc", "_text", "doc_id"))["doc_id"]
+    kept = written(joined.groupBy("component_id").agg(first.alias("_id")).select("_id"), "kept")
+    return rows.join(kept, "_id", "left_semi").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to the nearest whole number, 0 to 3 times."""
-    share = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    share = share.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_copies"))
-    share = share.where("_copies > 0")
-    rows = _carried(docs).join(share, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Rows as often as the mix takes them, to the nearest whole number, 0 to 3 times.
+
+    Rows of null and repeated ids are told apart by their numbers. Texts without words have no size and go; an empty table stays empty.
+    """
+    rows = _numbered(docs)
+    share = mixing.mix(rows.select("_id", "_row.doc_id", "_row.text", "_row.source"), carry=("_id",))
+    share = share.where("taken > 0").select("_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    rows = rows.join(share.where("_copies > 0"), "_id")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in packed sequences."""
+    """Pieces of all documents in packed sequences; a null or empty text is the end id alone, an empty table gives no piece."""
     return packing.pack(docs)
 
 
@@ -70,5 +100,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        then = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(docs)
+        docs = then
     return STAGES[-1][1](spark, docs, sf_dir)
