@@ -1,11 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. Words score positive, tags negative, words of a
-container that labelled pages show to hold no content (by its tag, role, class or id) zero.
-The weights come from labelled pages, which labelled_pages() makes up: pages of several
-designs whose parts are known. A linear scan finds the contiguous region of the largest
-score; where it lies in an article or a container that labelled pages show to be content,
-the region is that container. Its words outside such other containers are the text.
+A page is a sequence of words and tags. Words score positive, tags negative, and a linear
+scan finds the contiguous region of the largest sum; its words are the text, but for those
+of containers that hold no content, which score zero wherever they stand. All weights come
+from labelled pages, which labelled_pages() makes up, pages of several designs whose parts
+are known: a tag costs what it tells of a border between content and the rest; a word
+counts for what its surroundings tell; and whether a container holds content is a logistic
+regression on its tag, the words of its class and id, where it stands, and its text (how
+much, how much of it in links or paragraphs, with headings, articles or form controls).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -26,11 +29,15 @@ from quillspark.llm.common import rows, with_columns
 
 # Groups of HTML's elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
+RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title".split())
+UNSEEN = frozenset("head template object svg math canvas audio video select datalist button dialog".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-UNHINTED = frozenset("html body article main b i em strong a span p h1 h2 h3 h4 h5 h6 br li ul ol td tr table tbody".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
+CONTROLS = frozenset("input button select textarea label option".split())
+UNJUDGED = HEADINGS | frozenset("html body article main p li dt dd td th tr tbody thead tfoot caption figcaption blockquote pre option".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
@@ -43,7 +50,8 @@ SPACE = re.compile(r"\s+")
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, "") and ("open" or "close", tag, attributes) in page order; comments and raw elements' content are left out.
 
-    An unfinished tag or comment takes the rest of the page, as browsers have it.
+    An unfinished tag, comment or raw element (script and the like, whose content is no
+    markup) takes the rest of the page, as browsers have it.
     """
     at, size, start = 0, len(page), 0
     while at < size:
@@ -69,10 +77,6 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             yield ("close" if found[1] else "open"), name, found[3]
             if not found[1] and name in RAW and not found[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if name == "head" and not end:  # a page may leave its head open
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    at = start = body.start() if body else at
-                    continue
                 if not end:
                     return
                 at = start = end.end()
@@ -96,7 +100,7 @@ def hints(tag: str, attributes: str) -> tuple[str, ...]:
             name, value = name.lower(), a or b or c
             if name == "role" and value.lower() in ROLES:
                 out.append(f"role:{value.lower()}")
-            elif name in ("class", "id") and tag not in UNHINTED:
+            elif name in ("class", "id"):
                 out += [f"in:{x.lower()}" for x in NAME_PART.findall(value)]
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 out.append("hidden")
@@ -104,20 +108,16 @@ def hints(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 class Node:
-    """An open container: what holds it, its tag and hints, and the tokens [start, stop) that it spans."""
+    """An open container: what holds it, its tag and hints, what its text is like, and whether it holds content."""
 
-    __slots__ = ("holder", "tag", "hint", "start", "stop", "other", "inside")
+    __slots__ = ("holder", "tag", "hint", "inside", "ended", "words", "linked", "prose", "controls", "heads", "articles", "other", "weight", "truth")
 
-    def __init__(self, holder: Node | None, tag: str, hint: tuple[str, ...], start: int):
-        self.holder, self.tag, self.hint, self.start, self.stop = holder, tag, hint, start, None
-        self.other: bool | None = None
+    def __init__(self, holder: Node | None, tag: str, hint: tuple[str, ...]):
+        self.holder, self.tag, self.hint = holder, tag, hint
         self.inside = holder is not None and (holder.inside or holder.tag in ("article", "main"))
-
-    def up(self) -> Iterator[Node]:
-        node: Node | None = self
-        while node is not None:
-            yield node
-            node = node.holder
+        self.ended = False  # by an end tag of its own
+        self.words = self.linked = self.prose = self.controls = self.heads = self.articles = 0
+        self.other, self.weight, self.truth = False, 0.0, [0, 0]
 
 
 @dataclass
@@ -128,42 +128,101 @@ class Token:
     node: Node | None  # the innermost open container
 
 
-def tokens(page: str) -> list[Token]:
-    """Words and tags, each with the containers around it."""
+def tokens(page: str) -> tuple[list[Token], list[Node]]:
+    """Words and tags, each with the container around it, and all containers in page order, with counts of what they hold.
+
+    End tags without a start are ignored; a paragraph ends where a block starts. The work
+    is linear in the page: a container's counts are added to its holder's once.
+    """
     out: list[Token] = []
+    nodes: list[Node] = []
     stack: list[Node] = []
+    solid: list[int] = []  # places in the stack of what is not inline
+    opened: Counter[str] = Counter()
 
     def shut(at: int) -> None:
         for node in stack[at:]:
-            node.stop = len(out)
+            opened[node.tag] -= 1
         del stack[at:]
+        while solid and solid[-1] >= at:
+            solid.pop()
 
     for kind, value, attributes in pieces(page):
+        node = stack[-1] if stack else None
         if kind == "text":
             text = entities.unescape(value)
-            out.append(Token(kind, text, len(text.split()), stack[-1] if stack else None))
+            n = len(text.split())
+            out.append(Token(kind, text, n, node))
+            if node:
+                node.words += n
+                node.linked += n if opened["a"] else 0
+                node.prose += n if solid and stack[solid[-1]].tag in PROSE else 0
             continue
         if kind == "open":
-            if value in CLOSES_P:
-                at = len(stack) - 1
-                while at >= 0 and stack[at].tag in INLINE:
-                    at -= 1
-                if at >= 0 and stack[at].tag == "p":
-                    shut(at)
+            if value in CLOSES_P and solid and stack[solid[-1]].tag == "p":
+                shut(solid[-1])
+                node = stack[-1] if stack else None
+            if node:
+                node.controls += value in CONTROLS and value in VOID
+                node.heads += value in HEADINGS
+                node.articles += value in ("article", "main")
             if value not in VOID and not attributes.endswith("/"):
-                stack.append(Node(stack[-1] if stack else None, value, hints(value, attributes), len(out)))
-        else:
+                stack.append(Node(node, value, hints(value, attributes)))
+                nodes.append(stack[-1])
+                opened[value] += 1
+                if value not in INLINE:
+                    solid.append(len(stack) - 1)
+        elif opened[value]:
             at = len(stack) - 1
-            while at >= 0 and stack[at].tag != value:
+            while stack[at].tag != value:
                 at -= 1
-            if at >= 0:
-                shut(at)
+            stack[at].ended = True
+            if stack[at].holder:
+                stack[at].holder.controls += value in CONTROLS
+            shut(at)
         out.append(Token(kind, value, 0, stack[-1] if stack else None))
-    shut(0)
+    for node in reversed(nodes):
+        up = node.holder
+        if up:
+            up.words, up.linked, up.prose = up.words + node.words, up.linked + node.linked, up.prose + node.prose
+            up.controls, up.heads, up.articles = up.controls + node.controls, up.heads + node.heads, up.articles + node.articles
+    return out, nodes
+
+
+def judged(node: Node, total: int) -> bool:
+    """Whether a container may be told to hold no content.
+
+    One that holds an article, and a nameless one of most of the page's words (total), are judged by their parts.
+    """
+    if node.tag in ("div", "section", "form", "center") and 2 * node.words > total and not any(h.startswith("in:") for h in node.hint):
+        return False
+    if node.tag in UNSEEN and not node.ended:
+        return False
+    if node.tag in INLINE:
+        return any(h.startswith("in:") for h in node.hint)
+    return node.tag not in UNJUDGED and not node.articles
+
+
+def traits(node: Node) -> dict[str, float]:
+    """Features of a container."""
+    n = max(1, node.words)
+    out = {
+        "one": 1.0,
+        "words": min(math.log1p(node.words), 6.0),
+        "links": node.linked / n,
+        "prose": (node.prose - min(node.prose, node.linked)) / n,
+        "much prose": min(math.log1p(node.prose), 6.0) if node.prose > 2 * node.linked else 0.0,
+        "controls": min(3.0, math.log1p(20 * node.controls / (n + 5))),
+        "heads": float(node.heads > 0),
+        "inside": float(node.inside),
+        "links inside": node.linked / n * node.inside,
+    }
+    for h in node.hint:
+        out[f"{h} inside" if h == "tag:header" and node.inside else h] = 1.0
     return out
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, bool]]]:
+def labelled_pages(n: int = 320, seed: int = 11) -> list[list[tuple[str, bool]]]:
     """Made-up pages of several designs as (markup, whether its text is content)."""
     rng = random.Random(seed)
     # Names under which sites keep what is not content, and what is.
@@ -179,97 +238,172 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[list[tuple[str, bool]]]
     }
     other = {k: v.split() for k, v in other.items()}
     content = "content article post entry story body text main".split()
+    both = "section block row col box inner wrapper container module item page site has".split()
 
     def words(a: int, b: int) -> str:
         return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
 
+    def mark(*names: str) -> str:
+        return f" {rng.choice(('class', 'id'))}='{rng.choice('-_ ').join(names)}'"
+
+    def paragraph() -> str:
+        inner = words(1, 60)
+        if rng.random() < 0.3:
+            inner = f"<b>{words(1, 8)}</b> {inner}"
+        if rng.random() < 0.2:
+            inner += f" <a href='#'>{words(1, 4)}</a>"
+        kind = rng.random()
+        if kind < 0.6:
+            return f"<p>{inner}</p>"
+        if kind < 0.7:
+            return f"<{(t := rng.choice(('section', 'div', 'div')))}>{rng.choice(('', f'<h3>{words(1, 4)}</h3>'))}<p>{inner}</p></{t}>"
+        if kind < 0.8:
+            return f"<{(t := rng.choice(('h1', 'h2', 'h2', 'h3', 'h4')))}>{words(1, 6)}</{t}>"
+        if kind < 0.86:
+            shape = rng.choice(("{}", "{}", "<a href='#'>{}</a>"))
+            return "<ul>" + "".join(f"<li>{shape.format(words(1, 12))}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        if kind < 0.9:
+            return f"<blockquote>{inner}</blockquote>"
+        if kind < 0.94:
+            return "<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+        if kind < 0.97:
+            return f"<{(t := rng.choice(('div', 'section', 'figure', 'dl', 'details', 'center', 'span')))}>{words(1, 6)}</{t}>"
+        return f"<div>{inner}</div>"
+
     def paragraphs(a: int, b: int) -> str:
-        some = []
-        for _ in range(rng.randint(a, b)):
-            inner = words(1, 60)
-            if rng.random() < 0.3:
-                inner = f"<b>{words(1, 8)}</b> {inner}"
-            if rng.random() < 0.2:
-                inner += f" <a href='#'>{words(1, 4)}</a>"
-            some.append(f"<p>{inner}</p>" if rng.random() < 0.85 else f"<h2>{words(1, 6)}</h2>")
-        return "".join(some)
+        out = "".join(paragraph() for _ in range(rng.randint(a, b)))
+        if rng.random() < 0.3:  # a part of its own, under a name that elsewhere may be of something else
+            names = [rng.choice(both)] if rng.random() < 0.4 else [rng.choice(rng.choice([other[k] for k in ("aside", "header", "notice", "nav")])), words(1, 1)]
+            out += f"<{(t := rng.choice(('div', 'section')))}{mark(*names)}>" + "".join(f"<p>{words(12, 50)}</p>" for _ in range(rng.randint(1, 5))) + f"</{t}>"
+        return out
 
     def links(k: int) -> str:
         return "<ul>" + "".join(f"<li><a href='/{i}'>{words(1, 3)}</a></li>" for i in range(k)) + "</ul>"
 
     def part(kind: str) -> str:
-        name = rng.choice(other[kind])
+        names = [rng.choice(other[kind])]
+        if rng.random() < 0.3:
+            names.insert(rng.randrange(2), rng.choice(both))
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
-        if kind in ("comments",):
-            tag = rng.choice(("div", "section"))
-        tag, mark = (tag, "") if tag not in ("div", "section") and rng.random() < 0.5 else ("div" if rng.random() < 0.8 else "section", f" {rng.choice(('class', 'id'))}='{name}'")
-        inner = {"nav": links(rng.randint(3, 9)), "header": words(1, 5) + links(3), "footer": words(2, 15), "aside": links(4) + words(0, 30), "form": f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>"}
-        return f"<{tag}{mark}>{inner.get(kind, paragraphs(1, 4))}</{tag}>"
+        tag, own = (tag, "") if tag != "div" and rng.random() < 0.5 else (rng.choice(("div", "div", "div", "section")), mark(*names))
+        inner = {"nav": links(rng.randint(1, 9)) if rng.random() < 0.6 else words(1, 12), "header": words(1, 5) + links(3), "footer": words(2, 15), "aside": f"<h3>{words(1, 3)}</h3>" * (rng.random() < 0.5) + links(4) + words(0, 20), "form": f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>"}
+        prose = "".join(f"<p>{words(1, 40)}</p>" for _ in range(rng.randint(1, 4 if kind == "comments" else 2)))
+        return f"<{tag}{own}>{inner.get(kind, prose if rng.random() < 0.6 else words(1, 20))}</{tag}>"
 
     out = []
     for _ in range(n):
         page = [(part(k), False) for k in ("header", "nav", "notice", "advert", "aside", "form") if rng.random() < 0.6]
-        inner = [(f"<h1>{words(1, 12)}</h1>", True), (paragraphs(1, 12), True)]
-        if rng.random() < 0.3:
+        inner = [(f"<h1>{words(1, 12)}</h1>", True)]
+        if rng.random() < 0.2:
+            inner = [("<header>", True), *inner, (f"<p>{words(2, 20)}</p></header>", True)]
+        inner.append((paragraphs(1, 12), True))
+        if rng.random() < 0.4:
             inner += [(part(rng.choice(("advert", "aside", "notice"))), False), (paragraphs(1, 6), True)]
         kind = rng.random()
-        if kind < 0.4:
-            tag, mark = rng.choice(("article", "main")), ""
+        if kind < 0.45:
+            tag, own = rng.choice(("article", "main")), "" if rng.random() < 0.7 else mark(rng.choice(content + both))
         elif kind < 0.8:
-            tag, mark = rng.choice(("div", "section")), f" {rng.choice(('class', 'id'))}='{rng.choice(content)}'"
+            tag, own = rng.choice(("div", "section")), mark(rng.choice(content))
         else:
-            tag, mark = "div", ""
-        page += [(f"<{tag}{mark}>", True), *inner, (f"</{tag}>", True)]
+            tag, own = "div", "" if rng.random() < 0.5 else mark(rng.choice(both))
+        page += [(f"<{tag}{own}>", True), *inner, (f"</{tag}>", True)]
         page += [(part(k), False) for k in ("comments", "aside", "advert", "footer") if rng.random() < 0.6]
+        if rng.random() < 0.3:  # a page in a container
+            tag = rng.choice(("form", "div", "div", "section"))
+            page = [(f"<{tag}{mark(rng.choice(both)) if rng.random() < 0.5 else ''}>", False), *page, (f"</{tag}>", False)]
         out.append(page)
     return out
 
 
 @dataclass(frozen=True)
 class Weights:
-    word: float
-    tag: dict[str, float]
+    container: dict[str, float]  # of a container's traits
+    tag: dict[str, float]  # of "open p" and the like: zero or less
     other_tag: float
-    hint: dict[str, float]  # log odds that text under it is content
-
-    def is_other(self, node: Node | None) -> bool:
-        """Whether a container or one around it holds no content; page headers do not, an article's header does."""
-        path = []
-        while node is not None and node.other is None:
-            path.append(node)
-            node = node.holder
-        verdict = node is not None and bool(node.other)
-        for x in reversed(path):
-            own = [self.hint.get(h, 0.0) for h in x.hint if not (x.inside and h == "tag:header")]
-            shut = x.tag == "button" or any(h == "hidden" or h.startswith("role:") for h in x.hint)
-            verdict = verdict or shut or min(own, default=0.0) < -1.5 and max(own) < 1.0
-            x.other = verdict
-        return verdict
-
-    def is_content(self, node: Node) -> bool:
-        return node.tag in ("article", "main") or max((self.hint.get(h, 0.0) for h in node.hint), default=0.0) > 1.0
-
-
-def learned(pages: list[list[tuple[str, bool]]]) -> Weights:
-    """Weights from labelled pages: log odds of tags and of containers' hints between content and the rest."""
-    tags, under = (Counter(), Counter()), (Counter(), Counter())
-    words = [0, 0]
+    word: tuple[float, float, float]  # in an article, in a container of sure content, elsewhere
+
+    def judge(self, nodes: list[Node]) -> None:
+        """Mark the containers that hold no content, with all in them, and weigh the others' words."""
+        total = sum(node.words for node in nodes if node.holder is None)
+        for node in nodes:
+            up = node.holder
+            unseen = node.tag in UNSEEN and node.ended or any(h == "hidden" or h.startswith("role:") for h in node.hint)
+            logit = 0.0
+            if judged(node, total):
+                logit = sum(self.container.get(k, 0.0) * v for k, v in traits(node).items())
+            node.other = up is not None and up.other or unseen or logit < 0
+            node.weight = max(logit, up.weight if up else 0.0)
+
+    def of(self, token: Token) -> float:
+        node = token.node
+        if node is not None and node.other:
+            return 0.0
+        if token.kind != "text":
+            return self.tag.get(f"{token.kind} {token.value}", self.other_tag)
+        inside = node is not None and (node.inside or node.tag in ("article", "main"))
+        return token.words * (self.word[0] if inside else self.word[1] if node is not None and node.weight > 1 else self.word[2])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 9) -> np.ndarray:
+    """Weights of a logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+    return w
+
+
+def learned(pages: list[list[tuple[str, bool]]], scale: float = 4.0) -> Weights:
+    """Weights from labelled pages."""
+    found, labels = [], []
+    borders, seen, words = Counter(), Counter(), np.ones((3, 2))
     for page in pages:
-        whole = tokens("".join(markup for markup, _ in page))
-        labels = [label for markup, label in page for _ in tokens(markup)]
-        for t, label in zip(whole, labels, strict=True):
-            if t.kind == "text":
-                words[label] += t.words
-                under[label].update({h for node in t.node.up() for h in node.hint} if t.node else ())
-            else:
-                tags[label][t.value] += 1
-    total = [max(1, sum(c.values())) for c in tags]
-    odds = {t: math.log((tags[1][t] + 1) / (tags[0][t] + 1) * total[0] / total[1]) for t in {*tags[0], *tags[1]}}
-    weight = {t: min(0.0, x) - 0.1 for t, x in odds.items()}
-    hint = {h: math.log((under[1][h] + 0.5) / (under[0][h] + 0.5)) for h in {*under[0], *under[1]}}
-    hint = {h: x for h, x in hint.items() if h.startswith("in:") or h in ("tag:nav", "tag:aside", "tag:footer", "tag:form", "tag:header")}
-    word = math.log((words[1] + 1) / (words[0] + 1) * total[0] / total[1])
-    return Weights(max(0.5, word), weight, -0.3, hint)
+        whole, nodes = tokens("".join(markup for markup, _ in page))
+        gold = [label for markup, label in page for _ in pieces(markup)]
+        for t, label in zip(whole, gold, strict=True):
+            node = t.node
+            while t.kind == "text" and node is not None:
+                node.truth[label] += t.words
+                node = node.holder
+        total = sum(node.words for node in nodes if node.holder is None)
+        for node in nodes:
+            if node.holder is not None and (node.holder.other or judged(node.holder, total) and node.holder.truth[1] == 0 < node.holder.truth[0]):
+                node.other = True  # with its holder, whatever it is like
+            elif sum(node.truth) and judged(node, total):
+                found.append(traits(node))
+                labels.append(node.truth[1] >= node.truth[0])
+        between: list[str] = []
+        last = False
+        for t, label in zip(whole, gold, strict=True):
+            if t.kind != "text":
+                between.append(f"{t.kind} {t.value}")
+            elif t.words:
+                seen.update(between)
+                if label != last:
+                    borders.update(between)
+                between, last = [], label
+    often = Counter(k for f in found for k in f)
+    names = sorted(k for k, n in often.items() if n >= 3)
+    place = {k: i for i, k in enumerate(names)}
+    x = np.zeros((len(found), len(names)))
+    for i, f in enumerate(found):
+        for k, v in f.items():
+            if k in place:
+                x[i, place[k]] = v
+    container = dict(zip(names, logistic(x, np.array(labels, float)).tolist(), strict=True))
+    tag = {k: scale * math.log1p(-(borders[k] + 0.01) / (n + 1)) for k, n in seen.items()}
+    w = Weights(container, tag, scale * math.log1p(-sum(borders.values()) / sum(seen.values())), (1.0, 1.0, 1.0))
+    for page in pages:  # words by their surroundings, where no container tells that they are something else
+        whole, nodes = tokens("".join(markup for markup, _ in page))
+        w.judge(nodes)
+        gold = [label for markup, label in page for _ in pieces(markup)]
+        for t, label in zip(whole, gold, strict=True):
+            if t.kind == "text" and not (t.node and t.node.other):
+                inside = t.node is not None and (t.node.inside or t.node.tag in ("article", "main"))
+                words[0 if inside else 1 if t.node is not None and t.node.weight > 1 else 2, int(label)] += t.words
+    odds = np.clip(np.log(words[:, 1] / words[:, 0]), 1.0, 4.0)
+    return Weights(container, tag, w.other_tag, tuple(odds.tolist()))
 
 
 @lru_cache(maxsize=1)
@@ -294,20 +428,13 @@ def blocks(page: str | None, w: Weights | None = None) -> list[str]:
     if not page:
         return []
     w = w or weights()
-    toks = tokens(page)
-    out_of = [w.is_other(t.node) for t in toks]
-    scores = [0.0 if o else (t.words * w.word if t.kind == "text" else w.tag.get(t.value, w.other_tag)) for t, o in zip(toks, out_of, strict=True)]
-    a, b = region(scores)
-    if a == b:
-        return []
-    heavy = max((i for i in range(a, b) if not out_of[i]), key=lambda i: toks[i].words)
-    holders = [x for x in toks[heavy].node.up() if w.is_content(x)] if toks[heavy].node else []
-    if holders:
-        a, b = holders[-1].start, holders[-1].stop
+    whole, nodes = tokens(page)
+    w.judge(nodes)
+    a, b = region([w.of(t) for t in whole])
     out, now = [], []
-    for t, o in zip(toks[a:b], out_of[a:b], strict=True):
+    for t in whole[a:b]:
         if t.kind == "text":
-            if not o:
+            if t.node is None or not t.node.other:
                 now.append(t.value)
         elif t.value == "br":
             now.append(" ")
@@ -318,23 +445,25 @@ def blocks(page: str | None, w: Weights | None = None) -> list[str]:
     return [x for x in (SPACE.sub(" ", x).strip() for x in out) if x]
 
 
-def main_text(page: str | None) -> str:
-    return "\n\n".join(blocks(page))
+def main_text(page: str | None, w: Weights | None = None) -> str:
+    return "\n\n".join(blocks(page, w))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html and any other columns) with text and n_chars instead of html.
 
-    A null or empty page, and one without content, has the empty text. Repeated rows are
-    extracted each; existing text and n_chars columns are replaced.
+    A null or empty page, and one without content, has the empty text; an empty table gives
+    no row. Very long pages are read whole, in time linear in their length. Elements left
+    open end with what holds them, and only script-like ones take the rest of the page.
+    Repeated rows are extracted each; existing text and n_chars columns are replaced.
     """
     pages = pages.drop("text", "n_chars")
     schema = pages.drop("html").schema
-    kept = schema.names
+    kept, w = schema.names, weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for (part,) in rows(iter([batch]), "html", step=64) for x in part]
+            texts = [main_text(x, w) for (part,) in rows(iter([batch]), "html", step=64) for x in part]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
             yield pa.record_batch([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprint, html_extract, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
+from quillspark.llm import fingerprint, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
 from quillspark.operators.components import connected as components
 from quillspark.shared import new_path, shared_dir
 from quillspark.llm.tokens import encoder, word_bpe
@@ -360,38 +360,6 @@ def test_warc_salvage(compress):
     assert warc.salvage(b"").records == [] and warc.salvage(b"junk").gaps[0][:2] == (0, 4)
 
 
-def test_html_main_text():
-    page = """<html><head><title>No</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
-    <div class="cookie-notice">We use cookies</div><div id="content"><h1>Title &amp; more</h1><p>First <b>bold</b>
-    para<p>Second<br>line&nbsp;x<!-- c --><script>var a="</p>";</script><div class="ad">Buy</div><p>Third &lt;tag&gt;</div>
-    <section class="comments"><p>long reader comment of many words here to tempt the scan into it and beyond</p></section><aside>Side</aside><footer>Foot</footer>"""
-    assert html_extract.blocks(page) == ["Title & more", "First bold para", "Second line x", "Third <tag>"]
-    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>a</nav>") == ""
-    assert html_extract.main_text("<article><p>cut off te") == "cut off te" and html_extract.main_text("<p>a<p cla") == "a"
-    assert html_extract.main_text("<div>" * 20_000 + "deep") == "deep"
-    best = max((sum(s[i:j]), -i, j) for s in [[1, -2, 3, 1, -1, 2, -9, 4]] for i in range(8) for j in range(i + 1, 9))
-    assert html_extract.region([1, -2, 3, 1, -1, 2, -9, 4]) == (-best[1], best[2])
-
-
-def test_html_on_labelled_pages_it_did_not_learn_from():
-    right = 0
-    pages = html_extract.labelled_pages(60, seed=99)
-    for page in pages:
-        gold, now = [], []
-        for t in html_extract.tokens("".join(markup for markup, label in page if label)):
-            if t.kind == "text":
-                now.append(t.value)
-            elif t.value not in html_extract.INLINE:
-                gold, now = [*gold, " ".join("".join(now).split())], []
-        right += html_extract.blocks("".join(markup for markup, _ in page)) == [x for x in gold if x]
-    assert right >= 0.8 * len(pages)
-
-
-def test_html_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<article>a</article>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
-    assert sorted(map(tuple, html_extract.extract(pages).select("page_id", "text", "n_chars").collect())) == [(1, "a", 1), (2, "", 0)]
-
-
 def test_shared_dir_is_the_clusters():
     class Named:
         conf = {"spark.checkpoint.dir": "hdfs://shared/"}
