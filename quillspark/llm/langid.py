@@ -58,7 +58,7 @@ class Model:
         """Feature buckets of all words one after another, and each word's number of them."""
         found = [self.features(w) for w in words]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        if len(KNOWN) > 500_000:
+        if len(KNOWN) > 200_000:
             KNOWN.clear()
         at = map(KNOWN.__getitem__, chain.from_iterable(found))
         return np.fromiter(at, np.int32, int(counts.sum())), counts
@@ -269,12 +269,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        table = WordTable(m.emissions)
+        table = WordTable(m.emissions, most=150_000)
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
             sure: list[float] = []
-            for (texts,) in rows(iter([batch]), "text", step=256):
+            for (texts,) in rows(iter([batch]), "text", step=128):
                 ids, counts = table.rows(texts)
                 starts = np.concatenate(([0], np.cumsum(counts)))
                 for a, b in groups_of(counts, 100_000):

@@ -63,7 +63,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         size = min(self.size, len(words))
@@ -103,19 +103,23 @@ class Similarity:
         return -(-self.num * (n + m) // (self.den + self.num))
 
 
-def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, held: int = 6_000_000) -> np.ndarray:
+def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, held: int = 2_500_000) -> np.ndarray:
     """Shingles of many documents by rising count, `most` at most; only the order of shingles depends on it.
 
-    Each task counts its documents' shingles and hands on those it has met `local` times.
+    Each task counts its documents' shingles, `held` together, and hands on those it has met `local` times there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+            tokens = np.concatenate(sets)
+            sets.clear()
+            tokens.sort()
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+            counts = np.diff(first, append=len(tokens))
             some = counts >= local
-            return pa.record_batch([pa.array(tokens[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["token", "n"])
+            return pa.record_batch([pa.array(tokens[first[some]].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["token", "n"])
 
         for (texts,) in rows(batches, "text"):
             for text in texts:
@@ -123,7 +127,7 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
                 size += len(sets[-1])
                 if size >= held:
                     yield counted()
-                    sets, size = [], 0
+                    size = 0
         if sets:
             yield counted()
 
@@ -137,6 +141,7 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
             break
         least = r["s"]
     if least is None:
+        dropped(found)
         return np.zeros(0, np.uint64)
     top = found.where(step >= least).toPandas().sort_values(["n", "token"])
     dropped(found)
