@@ -19,8 +19,13 @@ LEAST_SURE = 0.5
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row, so that no column of documents meets one of an operator."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """doc_id, text and the other columns under names that no operator uses."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_column_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _restored(told: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return told.select(*[F.col(c if c in ("doc_id", "text") else f"_column_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     told = toxicity.score(_carried(docs), model)
-    return told.where((F.col("predicted") == 0) | (F.coalesce("text", F.lit("")) == "")).select("_row.*")
+    return _restored(told.where((F.col("predicted") == 0) | (F.coalesce("text", F.lit("")) == "")), docs)
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     language can be learned, loses all its rows.
     """
     told = langid.identify(_carried(docs), langid.train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_SURE)).select("_row.*")
+    return _restored(told.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_SURE)), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
