@@ -74,27 +74,28 @@ def mix(
     size counts words (null or empty text: 0; such documents give and get nothing), taken
     the words that the mix takes, repeats counted, at most `most` times size. Blocks hold
     a blocks-th of all words, at least one word. The order within a shard is that of a
-    hash of doc_id and seed, then doc_id, then size; so reruns agree, however the rows are
+    hash of seed and doc_id, then doc_id, then size; so reruns agree, however the rows are
     partitioned. A null source is a source of its own, the last. Repeated rows count each,
     and so do rows without an id, which are dealt by their texts. Very long texts are
     counted whole. Other columns are ignored; an empty table gives no row.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_mark")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    mark = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), name)), F.lit(15)), 16, 10).cast("long").alias("_mark")
     sized = written(docs.select("doc_id", "source", size.alias("size"), mark, *[F.col(c).alias(f"_carry_{c}") for c in carry]), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     block = F.greatest(F.lit(1), F.floor(F.col("_total") / blocks)).cast("long")
     parts = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     shares = apportioned(targets(sizes, weights, most).withColumn("_block", block), "target", F.round(F.col("_total") / F.col("_block")), [], [F.col("source").asc_nulls_last()], "_quota")
     shares = written(shares.withColumn("_parts", parts), "targets").withColumnRenamed("source", "_source")
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("_mark")), F.col("_parts"))
+    shard = F.pmod("_mark", F.col("_parts"))
     dealt = sized.join(shares, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", shard)
     held = ["_source", "_shard", "_quota", "_block"]
     shards = dealt.groupBy(*held).agg(F.sum("size").alias("_words"))
     shards = apportioned(shards, "_words", F.col("_quota"), ["_source"], [F.col("_shard")], "_blocks")
     take = F.least(F.col("_blocks") * F.col("_block"), most * F.col("_words"))
     shards = shards.select(F.col("_source").alias("_of"), F.col("_shard").alias("_part"), "_words", take.alias("_take"))
-    line = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "_mark", "size", *[f"_carry_{c}" for c in carry])
+    line = Window.partitionBy("_source", "_shard").orderBy("_mark", "doc_id", "size", *[f"_carry_{c}" for c in carry])
     before = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0)
     rest = F.col("_take") - passes * F.col("_words")

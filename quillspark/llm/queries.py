@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import fingerprint, html_extract, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
+from quillspark.llm.sql import SQL
 from quillspark.shared import deleted, new_path, written
 
 
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
