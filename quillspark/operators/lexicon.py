@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
+from quillspark.operators.learning import spread
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -161,14 +162,7 @@ def spelling_suggestions(words: DataFrame, lexicon: DataFrame, distance: int = 2
     worked out. So no lemma meets the whole lexicon.
     """
 
-    def variants(df: DataFrame, column: str, *keep: str) -> DataFrame:
-        out = F.array(F.col(column))
-        for _ in range(distance):
-            shorter = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-            out = F.array_distinct(F.concat(out, shorter))
-        return df.select(column, *keep, F.explode(out).alias("_v"))
-
-    a, b = variants(words.select("lemma").distinct(), "lemma"), variants(lexicon, "term", "frequency")
+    a, b = spread(words.select("lemma").distinct(), "lemma", distance), spread(lexicon, "term", distance, "frequency")
     near = a.join(b, "_v").select("lemma", "term", "frequency").distinct()
     near = near.withColumn("edit_distance", F.levenshtein("lemma", "term")).where(F.col("edit_distance") <= distance)
     rank = F.row_number().over(Window.partitionBy("lemma").orderBy("edit_distance", F.desc("frequency"), "term"))

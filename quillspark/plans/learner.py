@@ -121,7 +121,7 @@ def export_sheet(spark, sf_dir):
     return learning.export_sheet(calibrated(spark, sf_dir).withColumn("probability_known", F.round("probability_known", 6)))
 
 
-@query(f"""WITH {CALIBRATED}, items AS (SELECT lemma, CASE input_pos % 3 WHEN 0 THEN 'learning' WHEN 1 THEN 'mastered' ELSE 'new' END AS status FROM en WHERE input_pos <= 3000)
+@query(f"""WITH {CALIBRATED}, items AS (SELECT lemma, CASE input_pos % 3 WHEN 0 THEN 'learning' WHEN 1 THEN 'mastered' ELSE 'new' END AS status FROM en)
 SELECT lemma, tier AS importance_tier, document_count, total_count FROM cal LEFT JOIN items USING (lemma) WHERE classification <> 'likely_known' AND coalesce(status, 'new') = 'new'
 ORDER BY tier, document_count DESC, total_count DESC, lemma LIMIT 100""")
 def new_word_candidates(spark, sf_dir):
@@ -178,13 +178,14 @@ def discovery_upsert(spark, sf_dir):
     return learning.merged(old, last(1), "identity", F.col("brief").isNull(), ["value"]).withColumnRenamed("_changed", "changed")
 
 
-@query("""WITH c AS (SELECT doc_id AS id FROM documents WHERE doc_id < 300), d AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'keep' WHEN toxic = 1 THEN 'drop' ELSE 'maybe' END AS action FROM labels UNION ALL SELECT doc_id, 'keep' FROM labels WHERE doc_id % 11 = 0),
+@query("""WITH c AS (SELECT doc_id AS id FROM documents), d AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'keep' WHEN toxic = 1 THEN 'drop' ELSE 'maybe' END AS action FROM labels UNION ALL SELECT doc_id, 'keep' FROM labels WHERE doc_id % 11 = 0 UNION ALL SELECT -1 - doc_id, 'keep' FROM labels WHERE doc_id % 13 = 0),
 p AS (SELECT id, count(*) AS n, count(*) FILTER (action NOT IN ('keep', 'drop', 'replace')) AS bad FROM d GROUP BY id)
 SELECT * FROM (SELECT coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NULL THEN 'unknown candidate' WHEN n IS NULL THEN 'no decision' WHEN n > 1 THEN 'several decisions' WHEN bad > 0 THEN 'no such action' END AS violation FROM c FULL JOIN p ON c.id = p.id) WHERE violation IS NOT NULL""")
 def decision_violations(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     action = F.when(F.col("quality") == 1, "keep").when(F.col("toxic") == 1, "drop").otherwise("maybe")
     decisions = labels.select(F.col("doc_id").alias("id"), action.alias("action")).union(labels.where("doc_id % 11 = 0").select("doc_id", F.lit("keep")))
+    decisions = decisions.union(labels.where("doc_id % 13 = 0").select(-1 - F.col("doc_id"), F.lit("keep")))  # of no document
     return learning.violations(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), decisions)
 
 
@@ -201,16 +202,19 @@ def card_gloss_resolution(spark, sf_dir):
     return learning.glosses(w, one.union(more))
 
 
-@query(f"""WITH {lexicon.TERMS}, n AS (SELECT trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS name FROM terms WHERE total_count >= 4),
-q AS (SELECT item_id, trim(regexp_replace(lower(array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 2), ' ')), '[^a-z0-9]+', ' ', 'g')) AS query FROM benchmark),
-m AS (SELECT DISTINCT item_id, name FROM q, n WHERE contains(name, query) OR list_bool_and(list_transform(string_split(query, ' '), lambda t: list_bool_or(list_transform(string_split(name, ' '), lambda w: contains(w, t) OR contains(t, w)
-  OR (length(t) >= 4 AND abs(length(w) - length(t)) <= (CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END) AND levenshtein(w, t) <= (CASE WHEN length(t) >= 8 THEN 2 ELSE 1 END)))))))
-SELECT item_id, count(*) AS matches, min(name) AS first_name FROM m GROUP BY item_id""")
+@query(f"""WITH {lexicon.TERMS}, n AS (SELECT DISTINCT trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS name FROM terms),
+q AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}'))) AS query FROM benchmark),
+t AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS token FROM n),
+m AS (SELECT query, token FROM q, t WHERE contains(token, query) OR contains(query, token)
+  OR (abs(length(token) - length(query)) <= (CASE WHEN length(query) >= 8 THEN 2 ELSE 1 END) AND levenshtein(token, query) <= (CASE WHEN length(query) >= 8 THEN 2 ELSE 1 END))),
+f AS (SELECT DISTINCT query, name FROM (SELECT name, unnest(string_split(name, ' ')) AS token FROM n) JOIN m USING (token))
+SELECT query, count(*) AS matches, min(name) AS first_name FROM f GROUP BY query""")
 def fuzzy_term_search(spark, sf_dir):
-    names = lexicon.terms(spark, sf_dir)[0].where("total_count >= 4").select(text.search_norm(F.col("term")).alias("name")).distinct()
-    asked = table(spark, sf_dir, "benchmark").select("item_id", text.search_norm(F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), 1, 2), " ")).alias("query"))
-    found = names.join(F.broadcast(asked), text.fuzzy_match(F.col("name"), F.col("query")))  # a stated query set
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("matches"), F.min("name").alias("first_name"))
+    """All terms that each word of six letters or more of the benchmark finds, as a search box would."""
+    names = lexicon.terms(spark, sf_dir)[0].select(text.search_norm(F.col("term")).alias("name")).distinct()
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))).alias("q"))
+    found = learning.fuzzy_search(names, asked.select(F.lower("q").alias("query")).distinct())
+    return found.groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("name").alias("first_name"))
 
 
 @query("""WITH t AS (SELECT conv_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations)
@@ -226,6 +230,6 @@ def half_up_rounding(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(model.half_up(F.col("value"), 1).alias("rounded")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, left(sha256(source || chr(31) || coalesce(lang, '')), 32) AS item_id, regexp_replace(text[1:40], '[^A-Za-z0-9._-]+', '_', 'g') AS file_id FROM documents")
+@query("SELECT doc_id, left(sha256(source || chr(31) || coalesce(lang, '')), 32) AS item_id, md5(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g')) AS file_digest FROM documents")
 def stable_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang")).alias("item_id"), text.file_id(F.substring("text", 1, 40)).alias("file_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang")).alias("item_id"), F.md5(text.file_id(F.col("text"))).alias("file_digest"))

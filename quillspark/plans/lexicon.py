@@ -85,7 +85,7 @@ def corpus_stats(spark, sf_dir):
 TERMS = f"""lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 ws AS (SELECT doc_id, no, regexp_extract_all(line, '[A-Za-z][A-Za-z''-]*') AS w FROM lines),
 grams AS (SELECT doc_id, k AS size, lower(array_to_string(w[i:i + k - 1], ' ')) AS term FROM
-  (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM ws, (SELECT unnest([2, 3, 4]) AS k) WHERE len(w) >= k)),
+  (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM ws, (SELECT unnest([2, 3, 4, 5, 6]) AS k) WHERE len(w) >= k)),
 kept AS (SELECT * FROM grams WHERE length(term) >= 5 AND string_split(term, ' ')[1] NOT IN ({STOP_SQL}) AND string_split(term, ' ')[-1] NOT IN ({STOP_SQL})),
 terms AS (SELECT term, size, sum(n)::BIGINT AS total_count, count(*) AS document_count FROM (SELECT doc_id, term, size, count(*) AS n FROM kept GROUP BY ALL) GROUP BY ALL
   HAVING total_count >= 2 AND document_count >= 2)"""
@@ -104,7 +104,7 @@ def term_candidates_ngram(spark, sf_dir):
 
 C_VALUES = f"""{TERMS}, parents AS (SELECT total_count AS f, string_split(term, ' ') AS w, size FROM terms WHERE size > 2),
 around AS (SELECT term, avg(f) AS around FROM (SELECT f, array_to_string(w[i:i + k - 1], ' ') AS term FROM
-  (SELECT f, w, k, unnest(generate_series(1, size - k + 1)) AS i FROM parents, (SELECT unnest([2, 3]) AS k) WHERE k < size)) GROUP BY term),
+  (SELECT f, w, k, unnest(generate_series(1, size - k + 1)) AS i FROM parents, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE k < size)) GROUP BY term),
 cv AS (SELECT term, total_count, document_count, round(greatest(0.0, log2(size) * (total_count - coalesce(around, 0.0))), 6) AS c_value FROM terms LEFT JOIN around USING (term))"""
 
 

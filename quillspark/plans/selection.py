@@ -116,9 +116,17 @@ def near_duplicate_pairs(spark, sf_dir):
 UNIT = "vecs AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
-@query(f"""WITH {PAIRS}, {UNIT}, d AS (SELECT doc_id, {KEY.format(TITLE)} AS title, v FROM documents JOIN vecs ON id = doc_id % 40),
-p AS (SELECT x.doc_id AS i, y.doc_id AS j, jaccard, list_cosine_similarity(x.v, y.v) AS cosine FROM (SELECT * FROM pairs UNION ALL SELECT DISTINCT title, title, 1.0 FROM d WHERE title <> '') q JOIN d x ON a = x.title JOIN d y ON b = y.title WHERE a <> b OR x.doc_id < y.doc_id)
-SELECT least(i, j) AS first_id, greatest(i, j) AS second_id, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine FROM p WHERE cosine >= 0.97""")
+@query(f"""WITH RECURSIVE {PAIRS}, {UNIT}, d AS (SELECT doc_id, {KEY.format(TITLE)} AS title, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, v FROM documents LEFT JOIN vecs ON id = doc_id % (SELECT count(*) FROM vecs)),
+e AS (SELECT *, first_value(doc_id) OVER (PARTITION BY CASE WHEN title = '' THEN '-' || doc_id ELSE '+' || title END ORDER BY words DESC, doc_id) AS best FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY words DESC, doc_id) AS r FROM e WHERE best = doc_id),
+p AS (SELECT greatest(x.r, y.r) AS later, least(x.r, y.r) AS earlier, jaccard, list_cosine_similarity(x.v, y.v) AS cosine FROM pairs JOIN o x ON a = x.title JOIN o y ON b = y.title),
+m AS (SELECT later, list(earlier) AS es, row_number() OVER (ORDER BY later) AS step FROM p WHERE cosine >= 0.97 GROUP BY later),
+walk AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS gone UNION ALL
+  SELECT m.step, CASE WHEN len(list_filter(m.es, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, m.later) ELSE gone END FROM walk JOIN m ON m.step = walk.step + 1),
+gone AS (SELECT unnest(gone) AS r FROM (SELECT arg_max(gone, step) AS gone FROM walk)),
+near AS (SELECT later, min((earlier, jaccard, cosine)) AS k FROM p WHERE cosine >= 0.97 AND later IN (SELECT r FROM gone) AND earlier NOT IN (SELECT r FROM gone) GROUP BY later)
+SELECT e.doc_id, CASE WHEN e.best <> e.doc_id OR k IS NOT NULL THEN 'duplicate' ELSE 'include' END AS decision, CASE WHEN e.best <> e.doc_id THEN e.best WHEN k IS NOT NULL THEN (SELECT doc_id FROM o WHERE o.r = k[1]) END AS duplicate_of,
+  round(k[2], 6) AS jaccard, round(k[3], 6) AS cosine FROM e LEFT JOIN o ON o.doc_id = e.doc_id LEFT JOIN near ON later = o.r""")
 def near_duplicates_resolved(spark, sf_dir):
     """Decisions on documents, each with the vector of its number modulo the table of vectors' rows."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
@@ -243,11 +251,12 @@ def unseen_candidates(spark, sf_dir):
     return discovery.unseen(d.select(F.col("doc_id").alias("id"), keys.alias("keys")), seen).select("id")
 
 
-@query("""WITH x AS (SELECT doc_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 6) AS t, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 4, 203) AS h FROM documents)
+@query(f"""WITH x AS (SELECT doc_id, regexp_extract_all(lower({TITLE}), '[a-z0-9]+') AS t, regexp_extract_all(lower(text[1:12000]), '[a-z0-9]+') AS h FROM documents)
 SELECT doc_id, round(len(list_filter(t, lambda w: list_contains(h, w))) / greatest(len(t), 1), 4) AS coverage FROM x""")
 def title_token_coverage(spark, sf_dir):
-    t = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(t, 1, 6).alias("t"), F.slice(t, 4, 200).alias("h"))
+    """Share of the title line's tokens in a text's first 12,000 characters."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    d = documents(spark, sf_dir).select("doc_id", tokens("title").alias("t"), tokens(F.substring("text", 1, 12_000)).alias("h"))
     return d.select("doc_id", discovery.title_evidence(F.col("t"), F.col("h"))[0].alias("coverage"))
 
 

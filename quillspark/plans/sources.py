@@ -42,12 +42,13 @@ def download_routes(spark, sf_dir):
     return files.download_routes(d.select(F.col("doc_id").alias("candidate_id"), own.alias("pdf_url"), more.alias("alternate_urls")))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 20), ' ') AS abstract FROM documents")
+@query("SELECT doc_id, md5(text) AS abstract_digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
 def abstract_from_index(spark, sf_dir):
-    """Texts of the first 20 tokens, by way of a map of tokens to places."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("p", "t"))
+    """Whole texts from maps of their tokens to places."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "t"))
     places = d.groupBy("doc_id", "t").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "ps"))).alias("index"))
-    return places.select("doc_id", files.reconstructed(F.col("index")).alias("abstract"))
+    made = places.select("doc_id", files.reconstructed(F.col("index")).alias("abstract"))
+    return made.select("doc_id", F.md5("abstract").alias("abstract_digest"), F.length("abstract").cast("long").alias("n"))
 
 
 @query("SELECT (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 40 + 1 AS batch, doc_id FROM documents")
