@@ -12,11 +12,15 @@ STOP_SECTION = r"^(?i)(?:\d+(?:\.\d+)*[.)]?\s+)?(?:references|bibliography|works
 ACKNOWLEDGEMENT = r"^(?i)(?:\d+(?:\.\d+)*[.)]?\s+)?acknowledg(?:e)?ments?\s*$"
 ABSTRACT = r"^(?i)\s*abstract\s*(?:[—–:\-]\s*)?(.*)$"
 ABSTRACT_WITHIN = 180
+EMAIL = r"\b[\w.+-]+@[\w.-]+\.\w+\b"
+PAGE_NUMBER = r"^(?i)(?:page\s+)?\d+(?:\s+of\s+\d+)?$"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, no (from 0) and line of each text."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    """doc_id, page, no and line of each text: pages end with a form feed; no counts on over pages, both from 0."""
+    page = lambda p, i: F.transform(F.split(p, "\n"), lambda x: F.struct(i.alias("page"), x.alias("line")))
+    all_lines = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\f"), page))
+    return docs.select("doc_id", F.posexplode(all_lines).alias("no", "_l")).select("doc_id", "_l.page", "no", "_l.line")
 
 
 def margin_lines(lines: DataFrame, edge: int = 3, longest: int = 160) -> DataFrame:
@@ -34,31 +38,63 @@ def margin_lines(lines: DataFrame, edge: int = 3, longest: int = 160) -> DataFra
     return out.where(F.col("pages_with") >= F.greatest(F.lit(3), F.ceil(F.col("_pages") * 0.4))).select("doc_id", "key", "pages_with")
 
 
-def clean(lines: DataFrame) -> DataFrame:
-    """The lines (doc_id, no, line) of the body: after the abstract's heading, before the references, without
-    acknowledgements, numeric lines and repeated captions."""
+def marked(lines: DataFrame) -> DataFrame:
+    """The lines (doc_id, page, no, line), squeezed, with what the cleaning makes of each.
+
+    gone: margin (lines repeated over pages, page numbers), numeric, before (the abstract, or
+    a contact line where there is no abstract), after (references), thanks, caption (a
+    repeated one), or null for lines of the body. The steps follow one another: each looks
+    at what the ones before it have left.
+    """
     doc = Window.partitionBy("doc_id")
-    some = lines.withColumn("line", F.trim("line")).where(~text.mostly_numeric(F.col("line")))
-    head = F.min(F.when(F.col("line").rlike(ABSTRACT) & (F.col("no") < ABSTRACT_WITHIN), F.col("no"))).over(doc)
-    rest = F.trim(F.regexp_extract("line", ABSTRACT, 1))
-    some = some.withColumn("_head", head).where("_head is null or no >= _head")
-    some = some.withColumn("line", F.when(F.col("no") == F.col("_head"), rest).otherwise(F.col("line")))
-    some = some.where((F.col("_head").isNull() | (F.col("no") > F.col("_head"))) | (F.col("line") != ""))
-    stop = F.min(F.when(F.col("line").rlike(STOP_SECTION), F.col("no"))).over(doc)
-    some = some.withColumn("_stop", stop).where("_stop is null or no < _stop")
-    event = F.when(F.col("line").rlike(ACKNOWLEDGEMENT), "on").when(text.is_heading(F.col("line")), "off")
+    line = F.col("line")
+    some = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[ \t]+", " ")))
+    margins = margin_lines(some).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_margin"))
+    some = some.join(margins, (F.col("doc_id") == F.col("_doc")) & (line != "") & (text.line_key(line) == F.col("_margin")), "left")
+    early = F.when(line == "", F.lit(None)).when(F.col("_margin").isNotNull() | line.rlike(PAGE_NUMBER), "margin").when(text.mostly_numeric(line), "numeric")
+    some = some.withColumn("gone", early.cast("string")).drop("_doc", "_margin")
     so_far = doc.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    some = some.withColumn("_skip", F.last(event, ignorenulls=True).over(so_far)).where("_skip is null or _skip = 'off'")
-    caption = F.when(F.col("line").rlike(text.CAPTION), text.line_key(F.regexp_replace("line", text.CAPTION, "")))
+    nth = F.sum(F.col("gone").isNull().cast("int")).over(so_far)
+    head = F.col("gone").isNull() & line.rlike(ABSTRACT) & (F.col("_nth") <= ABSTRACT_WITHIN)
+    some = some.withColumn("_nth", nth).withColumn("_head", F.min(F.when(head, F.col("no"))).over(doc))
+    rest = F.trim(F.regexp_extract("line", ABSTRACT, 1))
+    some = some.withColumn("line", F.when(F.col("no") == F.col("_head"), rest).otherwise(line))
+    before = F.when(F.col("_head").isNotNull(), (F.col("no") < F.col("_head")) | (F.col("no") == F.col("_head")) & (line == "")).otherwise(line.rlike(EMAIL))
+    some = some.withColumn("gone", F.coalesce("gone", F.when(before, "before")))
+    stop = F.min(F.when(F.col("gone").isNull() & line.rlike(STOP_SECTION), F.col("no"))).over(doc)
+    some = some.withColumn("_stop", stop).withColumn("gone", F.coalesce("gone", F.when(F.col("no") >= F.col("_stop"), "after")))
+    event = F.when(F.col("gone").isNull(), F.when(line.rlike(ACKNOWLEDGEMENT), "on").when(text.is_heading(line), "off"))
+    some = some.withColumn("_thanks", F.last(event, ignorenulls=True).over(so_far))
+    some = some.withColumn("gone", F.coalesce("gone", F.when(F.col("_thanks") == "on", "thanks")))
+    caption = F.when(F.col("gone").isNull() & line.rlike(text.CAPTION), text.line_key(F.regexp_replace("line", text.CAPTION, "")))
     some = some.withColumn("_caption", caption)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_caption").orderBy("no"))
-    return some.withColumn("_nth", nth).where("_caption is null or _nth = 1").select("doc_id", "no", "line")
+    again = F.row_number().over(Window.partitionBy("doc_id", "_caption").orderBy("no"))
+    some = some.withColumn("gone", F.coalesce("gone", F.when(F.col("_caption").isNotNull() & (again > 1), "caption")))
+    return some.select("doc_id", "page", "no", "line", "gone", "_head", "_stop")
+
+
+def clean(lines: DataFrame) -> DataFrame:
+    """The lines (doc_id, no, line) of the body of texts in lines (doc_id, page, no, line)."""
+    return marked(lines).where("gone is null").select("doc_id", "no", "line")
+
+
+def diagnostics(lines: DataFrame) -> DataFrame:
+    """What the cleaning of each text found and removed."""
+    return marked(lines).groupBy("doc_id").agg(
+        F.count_distinct("page").alias("page_count"),
+        (F.max("_head").isNotNull()).alias("abstract_heading_found"),
+        (F.max("_stop").isNotNull()).alias("stopped_at_references"),
+        F.count_if(F.col("gone") == "margin").alias("removed_repeated_margin_lines"),
+        F.count_if(F.col("gone") == "numeric").alias("removed_numeric_lines"),
+        F.count_if(F.col("gone") == "caption").alias("removed_duplicate_captions"),
+    )
 
 
 def body(cleaned: DataFrame) -> DataFrame:
     """doc_id, clean_text, body_word_count and low_extraction of cleaned lines."""
     joined = cleaned.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text.dehyphenated(F.col("t")), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    flat = F.regexp_replace(F.regexp_replace(text.dehyphenated(F.col("t")), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    flat = F.regexp_replace(flat, r"^\s+|\s+$", "")
     return joined.select("doc_id", flat.alias("clean_text")).withColumns(
         {"body_word_count": text.word_count(F.col("clean_text")), "low_extraction": text.word_count(F.col("clean_text")) < 100}
     )

@@ -38,34 +38,47 @@ def dehyphenate(spark, sf_dir):
     return d.select("doc_id", text.word_count(t).cast("long").alias("words"), F.length(t).alias("n"), F.md5(t).alias("digest"))
 
 
-MARKS = """marked AS (SELECT doc_id, no, trim(CASE WHEN no = 1 AND doc_id % 2 = 0 THEN 'Abstract: ' || line WHEN no IN (3, 5) AND doc_id % 4 = 0 THEN 'Figure ' || no || '. caption'
-  WHEN no = 4 AND doc_id % 3 = 0 THEN 'Acknowledgments' WHEN no = 6 AND doc_id % 3 = 0 THEN 'CONCLUSION' WHEN no = 8 AND doc_id % 5 = 0 THEN '7. References' WHEN no = 7 THEN '12.5 33.1 x (9)' ELSE line END) AS line
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+MARKS = """marked AS (SELECT doc_id, no // 8 AS page, no, trim(regexp_replace(CASE WHEN no % 8 = 0 AND no <> 8 AND doc_id % 2 = 1 THEN 'Running head ' || no WHEN no = 1 AND doc_id % 2 = 0 THEN 'Abstract: ' || line WHEN no IN (3, 5) AND doc_id % 4 = 0 THEN 'Figure ' || no || '. caption'
+  WHEN no = 4 AND doc_id % 3 = 0 THEN 'Acknowledgments' WHEN no = 6 AND doc_id % 3 = 0 THEN 'CONCLUSION' WHEN no = 8 AND doc_id % 5 = 0 THEN '7. References' WHEN no = 7 THEN '12.5 ± 33.1 x (9)' WHEN no = 9 THEN 'Page 3 of 12' WHEN no = 2 THEN 'mail a.b@c.org now' ELSE line END, '[ \\t]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"""
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents with headings, captions and numbers put in at fixed places."""
+    """Lines of documents with headings, captions, margins and numbers put in at fixed places, pages of 8 lines."""
     n, d, out = F.col("no"), F.col("doc_id"), F.col("line")
-    out = F.when(n == 7, "12.5 33.1 x (9)").otherwise(out)
+    out = F.when(n == 2, "mail a.b@c.org now").otherwise(out)
+    out = F.when(n == 9, "Page 3 of 12").otherwise(out)
+    out = F.when(n == 7, "12.5 ± 33.1 x (9)").otherwise(out)
     out = F.when((n == 8) & (d % 5 == 0), "7. References").otherwise(out)
     out = F.when((n == 6) & (d % 3 == 0), "CONCLUSION").otherwise(out)
     out = F.when((n == 4) & (d % 3 == 0), "Acknowledgments").otherwise(out)
     out = F.when(n.isin(3, 5) & (d % 4 == 0), F.concat(F.lit("Figure "), n, F.lit(". caption"))).otherwise(out)
     out = F.when((n == 1) & (d % 2 == 0), F.concat(F.lit("Abstract: "), "line")).otherwise(out)
-    return cleaning.lines(table(spark, sf_dir, "documents")).withColumn("line", out)
+    out = F.when((n % 8 == 0) & (n != 8) & (d % 2 == 1), F.concat(F.lit("Running head "), n)).otherwise(out)
+    lines = cleaning.lines(table(spark, sf_dir, "documents"))
+    return lines.withColumns({"line": out, "page": F.floor(n / 8)})
 
 
 HEADING = "(length(line) BETWEEN 2 AND 100 AND NOT regexp_matches(line, '[.?!]$') AND len(regexp_split_to_array(line, '\\s+')) <= 12 AND (regexp_matches(line, '^(?:\\d+(?:\\.\\d+)*[.)]?\\s+)?[A-Z][A-Za-z0-9 /&,:()''\\-]{1,90}$') OR (upper(line) = line AND lower(line) <> line)))"
 COMPACT = "regexp_replace(line, '\\s+', '', 'g')"
-CLEAN = f"""{MARKS},
-one AS (SELECT * FROM marked WHERE NOT (length({COMPACT}) >= 8 AND len(regexp_extract_all({COMPACT}, '[0-9]')) >= 3 AND len(regexp_extract_all({COMPACT}, '[0-9.,;%()\\[\\]{{}}:+=*/<>-]')) / length({COMPACT}) >= 0.58)),
-two AS (SELECT *, min(CASE WHEN regexp_matches(line, '^(?i)\\s*abstract') AND no < 180 THEN no END) OVER (PARTITION BY doc_id) AS head FROM one),
-three AS (SELECT doc_id, no, head, CASE WHEN no = head THEN trim(regexp_extract(line, '(?i)^\\s*abstract\\s*(?:[—–:\\-]\\s*)?(.*)$', 1)) ELSE line END AS line FROM two WHERE head IS NULL OR no >= head),
+LINE_KEY = "trim(trim(regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')), ' -–—|·')"
+MARGINS = f"""sides AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY no) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY no DESC) AS down FROM marked WHERE trim(line) <> ''),
+keys AS (SELECT doc_id, {LINE_KEY} AS key, count(DISTINCT page) AS pages_with FROM sides WHERE (up <= 3 OR down <= 3) AND length(trim(line)) <= 160 GROUP BY ALL),
+margins AS (SELECT doc_id, key, pages_with FROM keys JOIN (SELECT doc_id, count(DISTINCT page) AS p FROM marked GROUP BY doc_id) USING (doc_id) WHERE p >= 3 AND key <> '' AND pages_with >= greatest(3, ceil(p * 0.4)))"""
+CLEAN = f"""{MARKS}, {MARGINS},
+zero AS (SELECT m.doc_id, page, no, line, CASE WHEN line = '' THEN NULL WHEN key IS NOT NULL OR regexp_matches(line, '^(?i)(?:page\\s+)?\\d+(?:\\s+of\\s+\\d+)?$') THEN 'margin'
+  WHEN length({COMPACT}) >= 8 AND len(regexp_extract_all({COMPACT}, '[0-9]')) >= 3 AND len(regexp_extract_all({COMPACT}, '[0-9.,;%±−–—()\\[\\]{{}}:+=*/<>]')) / length({COMPACT}) >= 0.58 THEN 'numeric' END AS gone
+  FROM marked m LEFT JOIN margins k ON m.doc_id = k.doc_id AND line <> '' AND {LINE_KEY} = key),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS nth FROM zero WHERE gone IS NULL),
+two AS (SELECT *, min(CASE WHEN regexp_matches(line, '^(?i)\\s*abstract') AND nth <= 180 THEN no END) OVER (PARTITION BY doc_id) AS head FROM one),
+three AS (SELECT doc_id, page, no, head, CASE WHEN no = head THEN trim(regexp_extract(line, '(?i)^\\s*abstract\\s*(?:[—–:\\-]\\s*)?(.*)$', 1)) ELSE line END AS line FROM two
+  WHERE no >= head OR head IS NULL AND NOT regexp_matches(line, '\\b[\\w.+-]+@[\\w.-]+\\.\\w+\\b')),
 four AS (SELECT *, min(CASE WHEN regexp_matches(line, '(?i)^(?:\\d+(?:\\.\\d+)*[.)]?\\s+)?(?:references|bibliography|works cited)\\s*$') THEN no END) OVER (PARTITION BY doc_id) AS stop FROM three WHERE head IS NULL OR no > head OR line <> ''),
 five AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(?:\\d+(?:\\.\\d+)*[.)]?\\s+)?acknowledg(?:e)?ments?\\s*$') THEN 'on' WHEN {HEADING} THEN 'off' END AS ev FROM four WHERE stop IS NULL OR no < stop),
 six AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS skip FROM five),
 seven AS (SELECT *, CASE WHEN regexp_matches(line, '^(?i:fig(?:ure)?|table)\\s*\\d+[A-Za-z]?[.:\\-]?\\s*') THEN trim(regexp_replace(regexp_replace(lower(regexp_replace(line, '^(?i:fig(?:ure)?|table)\\s*\\d+[A-Za-z]?[.:\\-]?\\s*', '')), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) END AS caption FROM six WHERE skip IS NULL OR skip = 'off'),
-cleaned AS (SELECT doc_id, no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, caption ORDER BY no) AS nth FROM seven) WHERE caption IS NULL OR nth = 1)"""
+eight AS (SELECT *, row_number() OVER (PARTITION BY doc_id, caption ORDER BY no) AS nth FROM seven),
+cleaned AS (SELECT doc_id, no, line FROM eight WHERE caption IS NULL OR nth = 1)"""
 
 
 @query(f"WITH {CLEAN} SELECT doc_id, no::INT AS no, line FROM cleaned")
@@ -73,22 +86,24 @@ def clean_lines(spark, sf_dir):
     return cleaning.clean(marked(spark, sf_dir))
 
 
-@query(f"""WITH {CLEAN}, b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY no), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS t FROM cleaned GROUP BY doc_id)
+@query(f"""WITH {CLEAN}, b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY no), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t FROM cleaned GROUP BY doc_id)
 SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '[A-Za-z]+'))::INT AS body_word_count, len(regexp_extract_all(t, '[A-Za-z]+')) < 100 AS low_extraction FROM b""")
 def clean_bodies(spark, sf_dir):
     made = cleaning.body(cleaning.clean(marked(spark, sf_dir)))
     return made.select("doc_id", F.md5("clean_text").alias("digest"), "body_word_count", "low_extraction")
 
 
-@query(f"""WITH l AS (SELECT doc_id, no, no // 8 AS page, CASE WHEN no % 8 = 0 THEN 'Running head ' || no ELSE line END AS line FROM
-  (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
-e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY no) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY no DESC) AS down FROM l WHERE trim(line) <> ''),
-k AS (SELECT doc_id, trim(trim(regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')), ' -–—|·') AS key, count(DISTINCT page) AS pages_with FROM e WHERE (up <= 3 OR down <= 3) AND length(trim(line)) <= 160 GROUP BY ALL)
-SELECT doc_id, key, pages_with FROM k JOIN (SELECT doc_id, count(DISTINCT page) AS p FROM l GROUP BY doc_id) USING (doc_id) WHERE p >= 3 AND key <> '' AND pages_with >= greatest(3, ceil(p * 0.4))""")
+@query(f"""WITH {CLEAN}, a AS (SELECT doc_id, count(DISTINCT page) AS page_count, count(*) FILTER (gone = 'margin') AS removed_repeated_margin_lines, count(*) FILTER (gone = 'numeric') AS removed_numeric_lines FROM zero GROUP BY doc_id),
+h AS (SELECT doc_id, max(head) IS NOT NULL AS h FROM two GROUP BY doc_id), s AS (SELECT doc_id, max(stop) IS NOT NULL AS s FROM four GROUP BY doc_id), c AS (SELECT doc_id, count(*) FILTER (caption IS NOT NULL AND nth > 1) AS c FROM eight GROUP BY doc_id)
+SELECT doc_id, page_count, coalesce(h, false) AS abstract_heading_found, coalesce(s, false) AS stopped_at_references, removed_repeated_margin_lines, removed_numeric_lines, coalesce(c, 0) AS removed_duplicate_captions
+FROM a LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def cleaning_diagnostics(spark, sf_dir):
+    return cleaning.diagnostics(marked(spark, sf_dir))
+
+
+@query(f"WITH {MARKS}, {MARGINS} SELECT * FROM margins")
 def margin_lines(spark, sf_dir):
-    lines = cleaning.lines(table(spark, sf_dir, "documents")).withColumn("page", F.floor(F.col("no") / 8))
-    lines = lines.withColumn("line", F.when(F.col("no") % 8 == 0, F.concat(F.lit("Running head "), "no")).otherwise(F.col("line")))
-    return cleaning.margin_lines(lines)
+    return cleaning.margin_lines(marked(spark, sf_dir).withColumn("line", F.trim(F.regexp_replace("line", r"[ \t]+", " "))))
 
 
 KEYED = f"keyed AS (SELECT doc_id, {KEY.format(TITLE)} AS k, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM documents)"
