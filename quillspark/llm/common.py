@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,15 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str, step: int = 512) -> Ite
             yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
 
 
+def released() -> None:
+    """Hand freed memory back to the system: a worker lives on, idle or for later stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def gathered(values: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     """One record batch from lists or lists of numpy pieces."""
     out = []

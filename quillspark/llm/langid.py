@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LETTERS, rows, with_columns
+from quillspark.llm.common import LETTERS, released, rows, with_columns
 from quillspark.llm.words import WordTable, groups_of, hashed
 
 BUCKETS, BLOCK = 1 << 16, 96
@@ -277,7 +277,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for (texts,) in rows(iter([batch]), "text", step=128):
                 ids, counts = table.rows(texts)
                 starts = np.concatenate(([0], np.cumsum(counts)))
-                for a, b in groups_of(counts, 100_000):
+                for a, b in groups_of(counts, 50_000):
                     share, own = np.zeros((b - a, max(1, len(m.langs)))), np.zeros(b - a)
                     some = np.flatnonzero(counts[a:b])
                     if len(some) and m.langs:
@@ -291,6 +291,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     sure += np.minimum(1.0, own).tolist()
             kept = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "sure"])
+        del m, table
+        KNOWN.clear()
+        released()
 
     made = docs.mapInArrow(run, with_columns(docs.schema, "lang_pred string", "score double", "sure double"))
     return made.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))

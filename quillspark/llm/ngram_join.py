@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import rows
+from quillspark.llm.common import released, rows
 from quillspark.operators.components import connected
 from quillspark.shared import dropped, observed, written
 
@@ -130,6 +130,8 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
                     size = 0
         if sets:
             yield counted()
+        shingler.known.clear()
+        released()
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = written(found, "counts")
@@ -188,6 +190,8 @@ def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy:
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(bins, pa.binary()), lists, pa.array(few, pa.int64())],
                 names=["doc_id", "n", "s", "t", "bins", "prefix", "rare"],
             )
+        shingler.known.clear()
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>, rare long")
 

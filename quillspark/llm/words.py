@@ -44,16 +44,18 @@ class WordTable(dict):
         counts = np.fromiter(map(len, found), np.int64, len(found))
         out = np.fromiter((self[w] for ws in found for w in ws), np.int32, int(counts.sum()))
         if self.new or self.values is None:
-            made, self.new = self.make(self.new), []
-            if self.values is None:
-                self.room, self.used = [np.empty((max(4096, len(x)), *x.shape[1:]), x.dtype) for x in made], 0
-            to = self.used + len(made[0])
-            while to > len(self.room[0]):
-                self.room = [np.concatenate([x, np.empty_like(x)]) for x in self.room]
-            for x, own in zip(self.room, made, strict=True):
-                x[self.used : to] = own
-            self.used = to
-            self.values = [x[:to] for x in self.room]
+            new, self.new = self.new, []
+            for at in range(0, max(1, len(new)), 4096):
+                made = self.make(new[at : at + 4096])
+                if self.values is None:
+                    self.room, self.used, self.values = [np.empty((8192, *x.shape[1:]), x.dtype) for x in made], 0, []
+                to = self.used + len(made[0])
+                while to > len(self.room[0]):
+                    self.room = [np.concatenate([x, np.empty_like(x)]) for x in self.room]
+                for x, own in zip(self.room, made, strict=True):
+                    x[self.used : to] = own
+                self.used = to
+            self.values = [x[: self.used] for x in self.room]
         return out, counts
 
 
