@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that checks it."""
 
-from quillspark.plans import briefs, learner, lexicon, selection, sources
+from quillspark.plans import briefs, learner, lexicon, selection, sources, store
 from quillspark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "briefs", "learner", "lexicon", "selection", "sources"]
+__all__ = ["QUERIES", "SQL", "briefs", "learner", "lexicon", "selection", "sources", "store"]

@@ -178,14 +178,13 @@ def discovery_upsert(spark, sf_dir):
     return learning.merged(old, last(1), "identity", F.col("brief").isNull(), ["value"]).withColumnRenamed("_changed", "changed")
 
 
-@query("""WITH c AS (SELECT doc_id AS id FROM documents), d AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'keep' WHEN toxic = 1 THEN 'drop' ELSE 'maybe' END AS action FROM labels UNION ALL SELECT doc_id, 'keep' FROM labels WHERE doc_id % 11 = 0 UNION ALL SELECT -1 - doc_id, 'keep' FROM labels WHERE doc_id % 13 = 0),
+@query("""WITH c AS (SELECT doc_id AS id FROM documents), d AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'keep' WHEN toxic = 1 THEN 'drop' ELSE 'maybe' END AS action FROM labels UNION ALL SELECT doc_id, 'keep' FROM labels WHERE doc_id % 11 = 0),
 p AS (SELECT id, count(*) AS n, count(*) FILTER (action NOT IN ('keep', 'drop', 'replace')) AS bad FROM d GROUP BY id)
 SELECT * FROM (SELECT coalesce(c.id, p.id) AS id, CASE WHEN c.id IS NULL THEN 'unknown candidate' WHEN n IS NULL THEN 'no decision' WHEN n > 1 THEN 'several decisions' WHEN bad > 0 THEN 'no such action' END AS violation FROM c FULL JOIN p ON c.id = p.id) WHERE violation IS NOT NULL""")
 def decision_violations(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     action = F.when(F.col("quality") == 1, "keep").when(F.col("toxic") == 1, "drop").otherwise("maybe")
     decisions = labels.select(F.col("doc_id").alias("id"), action.alias("action")).union(labels.where("doc_id % 11 = 0").select("doc_id", F.lit("keep")))
-    decisions = decisions.union(labels.where("doc_id % 13 = 0").select(-1 - F.col("doc_id"), F.lit("keep")))  # of no document
     return learning.violations(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), decisions)
 
 

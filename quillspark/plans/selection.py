@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import cleaning, discovery, selection
+from quillspark.operators import cleaning, discovery, merging, selection
 from quillspark.plans.base import query, table
 
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -205,11 +205,11 @@ def foundation_quota(spark, sf_dir):
     return discovery.foundation_quota(candidates(spark, sf_dir).drop("doc_id"), 25)
 
 
-@query("""WITH c AS (SELECT doc_id AS "order", source AS bucket FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY "order") AS n, min("order") OVER (PARTITION BY bucket) AS b FROM c)
-SELECT "order", bucket, packet_rank::INT AS packet_rank FROM (SELECT *, row_number() OVER (ORDER BY n, b) AS packet_rank FROM p) WHERE packet_rank <= greatest(100, (SELECT count(DISTINCT bucket) FROM c))""")
+@query("""WITH c AS (SELECT doc_id AS "order", coalesce(source, '-') AS bucket FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY "order") AS n, min("order") OVER (PARTITION BY bucket) AS b FROM c)
+SELECT "order", packet_rank FROM (SELECT *, row_number() OVER (ORDER BY n, b) AS packet_rank FROM p) WHERE packet_rank <= greatest(100, (SELECT count(DISTINCT bucket) FROM c))""")
 def review_packet(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("order"), F.col("source").alias("bucket"))
-    return discovery.review_packet(d, 100)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("order"), F.array(F.coalesce("source", F.lit("-"))).alias("buckets"))
+    return merging.review_packet(d, 70)
 
 
 @query("SELECT source AS provider, source AS query_id, lang AS lane, count(*) AS candidates FROM documents GROUP BY ALL")
@@ -228,13 +228,66 @@ def candidate_merge_keys(spark, sf_dir):
     return d.select("doc_id", F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("candidates"), F.min("doc_id").alias("first_id"))
 
 
-@query()
-def candidate_merge(spark, sf_dir):
-    """Candidates of documents: a DOI for one in three, an arXiv id for one in five, else titles."""
+MERGED = f"""cands AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || (doc_id % 200) END AS doi, CASE WHEN doc_id % 5 = 0 THEN '24.' || (doc_id % 150) END AS arxiv,
+  CASE WHEN doc_id % 7 = 0 THEN 's' || (doc_id % 90) END AS third, {KEY.format(TITLE)} AS title FROM documents),
+walk AS (SELECT 0::BIGINT AS i, MAP {{}}::MAP(VARCHAR, BIGINT) AS ids, MAP {{}}::MAP(BIGINT, VARCHAR) AS dois, MAP {{}}::MAP(BIGINT, VARCHAR) AS arxivs, 0::BIGINT AS doc_id, 0::BIGINT AS m
+  UNION ALL SELECT i, map_concat(ids, map_from_entries(list_filter([('d' || doi, m), ('a' || arxiv, m), ('s' || third, m), (CASE WHEN title <> '' THEN 't' || title END, m)], lambda e: e[1] IS NOT NULL))),
+    CASE WHEN doi IS NOT NULL AND dois[m] IS NULL THEN map_concat(dois, MAP {{m: doi}}) ELSE dois END, CASE WHEN arxiv IS NOT NULL AND arxivs[m] IS NULL THEN map_concat(arxivs, MAP {{m: arxiv}}) ELSE arxivs END, doc_id, m
+  FROM (SELECT c.i, ids, dois, arxivs, c.doc_id, doi, arxiv, third, title, CASE WHEN coalesce(ids['d' || doi], ids['a' || arxiv], ids['s' || third]) IS NOT NULL THEN coalesce(ids['d' || doi], ids['a' || arxiv], ids['s' || third])
+    WHEN title <> '' AND ids['t' || title] IS NOT NULL AND NOT coalesce(dois[ids['t' || title]] <> doi, false) AND NOT coalesce(arxivs[ids['t' || title]] <> arxiv, false) THEN ids['t' || title] ELSE c.doc_id END AS m
+    FROM walk JOIN cands c ON c.i = walk.i + 1)),
+groups AS (SELECT doc_id, m FROM walk WHERE i > 0)"""
+
+
+def merge_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of documents: a DOI for one in three, an arXiv id for one in five, a third id for one in seven, and titles."""
     d = documents(spark, sf_dir)
-    doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), (F.col("doc_id") % 200).cast("string")))
-    arxiv = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("24."), (F.col("doc_id") % 150).cast("string")))
-    return discovery.merge_groups(d.select(F.col("doc_id").alias("order"), doi.alias("doi"), arxiv.alias("arxiv_id"), "title"))
+    some = lambda n, m, prefix: F.when(F.col("doc_id") % n == 0, F.concat(F.lit(prefix), (F.col("doc_id") % m).cast("string")))
+    return d.select(F.col("doc_id").alias("order"), some(3, 200, "10.1/").alias("doi"), some(5, 150, "24.").alias("arxiv_id"), some(7, 90, "s").alias("semantic_scholar_id"), "title", "source", "lang")
+
+
+@query(f'WITH RECURSIVE {MERGED} SELECT doc_id AS "order", m AS merged_into FROM groups')
+def candidate_merge(spark, sf_dir):
+    return merging.merge_groups(merge_input(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {MERGED}, h AS (SELECT doc_id, coalesce(source, '-') AS provider, coalesce(lang, '-') AS query_id, 'l' || doc_id AS label FROM documents),
+f AS (SELECT m AS merged_into, provider, query_id, min((h.doc_id, label)) AS k FROM h JOIN groups USING (doc_id) GROUP BY ALL)
+SELECT merged_into, row_number() OVER (PARTITION BY merged_into ORDER BY k[1], provider, query_id)::INT AS place, provider, query_id, k[2] AS label FROM f""")
+def merged_query_hits(spark, sf_dir):
+    c = merge_input(spark, sf_dir)
+    own = F.col("order").cast("string")
+    hits = c.select("order", F.coalesce("source", F.lit("-")).alias("provider"), F.coalesce("lang", F.lit("-")).alias("query_id"), F.concat(F.lit("l"), own).alias("label"))
+    return merging.merged_hits(hits, merging.merge_groups(c))
+
+
+@query(f"""WITH RECURSIVE {MERGED}, r AS (SELECT doc_id, n AS no, 'https://h' || ((doc_id + n) % 40) || '.org/' || n AS url, coalesce(source, '-') AS provider FROM documents, (SELECT unnest([0, 1]) AS n)),
+own AS (SELECT r.*, m AS merged_into FROM r JOIN groups USING (doc_id)),
+rest AS (SELECT * FROM own o WHERE (doc_id <> merged_into OR no <> 0) AND NOT EXISTS (SELECT 1 FROM own k WHERE k.doc_id = k.merged_into AND k.no = 0 AND k.merged_into = o.merged_into AND k.url = o.url)),
+f AS (SELECT merged_into, url, min((doc_id, no, provider)) AS k FROM rest GROUP BY ALL)
+SELECT merged_into, row_number() OVER (PARTITION BY merged_into ORDER BY k[1], k[2])::INT AS route_no, k[3] AS provider, url FROM f""")
+def merged_download_routes(spark, sf_dir):
+    c = merge_input(spark, sf_dir)
+    routes = c.withColumn("no", F.explode(F.array(F.lit(0), F.lit(1))))
+    n = F.col("no").cast("string")
+    url = F.concat(F.lit("https://h"), ((F.col("order") + F.col("no")) % 40).cast("string"), F.lit(".org/"), n)
+    return merging.merged_routes(routes.select("order", "no", F.coalesce("source", F.lit("-")).alias("provider"), url.alias("url")), merging.merge_groups(c))
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[A-Za-z]+')) DESC, doc_id) AS i,
+  list_filter([CASE WHEN doc_id % 4 = 0 THEN 'doi:10.1/' || (doc_id % 60) END, CASE WHEN doc_id % 6 = 0 THEN 'arxiv:' || (doc_id % 90) END, CASE WHEN {KEY.format(TITLE)} <> '' THEN 'title:' || {KEY.format(TITLE)} END], lambda k: k IS NOT NULL) AS keys
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS doc_id, MAP {{}}::MAP(VARCHAR, BIGINT) AS owners, NULL::BIGINT AS dup UNION ALL
+  SELECT i, doc_id, CASE WHEN dup IS NULL THEN map_concat(owners, map_from_entries([(k, doc_id) for k in keys])) ELSE owners END, dup FROM
+  (SELECT d.i, d.doc_id, owners, keys, list_filter([owners[k] for k in keys], lambda o: o IS NOT NULL)[1] AS dup FROM walk JOIN d ON d.i = walk.i + 1))
+SELECT doc_id, CASE WHEN dup IS NULL THEN 'include' ELSE 'duplicate' END AS decision, dup AS duplicate_of FROM walk WHERE i > 0""")
+def exact_duplicates_greedy(spark, sf_dir):
+    """Duplicates by DOI, arXiv id and title, best extracted first."""
+    d = documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text")})
+    some = lambda n, m, prefix: F.when(F.col("doc_id") % n == 0, F.concat(F.lit(prefix), (F.col("doc_id") % m).cast("string")))
+    title = text.title_key(F.col("title"))
+    keys = F.array(some(4, 60, "doi:10.1/"), some(6, 90, "arxiv:"), F.when(title != "", F.concat(F.lit("title:"), title)))
+    return merging.greedy_exact(d.withColumn("words", text.word_count(F.col("text"))), keys)
 
 
 @query("""WITH o AS (SELECT event_id, event_type, event_type IN ('purchase', 'click') AS ok FROM events)

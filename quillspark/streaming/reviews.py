@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,52 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.operators.scheduling import Card, Scheduler
 from quillspark.shared import new_path
 
-# The published default weights of the FSRS-4.5 memory model.
-W = (0.4872, 1.4003, 3.7145, 13.8206, 5.1618, 1.2298, 0.8975, 0.031, 1.6474, 0.1367, 1.0461, 2.1072, 0.0793, 0.3246, 1.587, 0.2272, 2.8755)
-DECAY, FACTOR, RETENTION = -0.5, 19 / 81, 0.9
-RATINGS = {"again": 1, "hard": 2, "good": 3}
-OUT = "item_id long, reviews long, lapses long, stability double, difficulty double, last_review timestamp, due timestamp"
-
-
-def reviewed(card: tuple | None, rating: str, at: pd.Timestamp) -> tuple:
-    """A card (reviews, lapses, stability, difficulty, last) after a rating at a time; None is a new card. No fuzz."""
-    g = RATINGS[rating]
-    first = lambda r: min(10.0, max(1.0, W[4] - (r - 3) * W[5]))
-    if card is None:
-        return (1, int(g == 1), max(0.1, W[g - 1]), first(g), at)
-    n, lapses, s, d, last = card
-    days = max(0.0, (at - last).total_seconds() / 86_400)
-    r = (1 + FACTOR * days / s) ** DECAY
-    if g == 1:
-        s2 = min(s, W[11] * d ** -W[12] * ((s + 1) ** W[13] - 1) * math.exp(W[14] * (1 - r)))
-    else:
-        s2 = s * (1 + math.exp(W[8]) * (11 - d) * s ** -W[9] * (math.exp(W[10] * (1 - r)) - 1) * (W[15] if g == 2 else 1))
-    d2 = min(10.0, max(1.0, W[7] * first(4) + (1 - W[7]) * (d - W[6] * (g - 3))))
-    return (n + 1, lapses + (g == 1), max(0.1, s2), d2, max(last, at))
-
-
-def interval_days(stability: float) -> int:
-    return max(1, round(stability / FACTOR * (RETENTION ** (1 / DECAY) - 1)))
+OUT = "item_id long, reviews long, lapses long, state int, step int, stability double, difficulty double, last_review timestamp, due timestamp"
+STATE = "reviews long, lapses long, state int, step int, stability double, difficulty double, last long, due long"
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    card = None
+    scheduler, card, n, lapses = Scheduler(), Card(), 0, 0
     if state.exists:
-        n, lapses, s, d, last = state.get
-        card = (n, lapses, s, d, pd.Timestamp(last, unit="us"))
-    rows = pd.concat(list(frames))
-    for r in rows.sort_values(["at", "seq"]).itertuples():
-        card = reviewed(card, r.rating, r.at)
-    n, lapses, s, d, last = card
-    state.update((n, lapses, s, d, int(last.value // 1000)))
-    yield pd.DataFrame({"item_id": [key[0]], "reviews": [n], "lapses": [lapses], "stability": [s], "difficulty": [d], "last_review": [last], "due": [last + pd.Timedelta(days=interval_days(s))]})
+        n, lapses, kind, step, s, d, last, due = state.get
+        card = Card(kind, None if step < 0 else step, s, d, pd.Timestamp(last, unit="us"), pd.Timestamp(due, unit="us"))
+    for r in pd.concat(list(frames)).sort_values(["at", "seq"]).itertuples():
+        card, n, lapses = scheduler.review(card, r.rating, r.at), n + 1, lapses + (r.rating == "again")
+    step = -1 if card.step is None else card.step
+    state.update((n, lapses, card.state, step, card.stability, card.difficulty, int(card.last.value // 1000), int(card.due.value // 1000)))
+    yield pd.DataFrame({"item_id": [key[0]], "reviews": [n], "lapses": [lapses], "state": [card.state], "step": [step], "stability": [card.stability], "difficulty": [card.difficulty], "last_review": [card.last], "due": [card.due]})
 
 
 def review_states(log: DataFrame) -> DataFrame:
-    """The state of each item after each micro-batch of a stream of reviews (item_id, seq, rating, at)."""
-    return log.groupBy("item_id").applyInPandasWithState(_fold, OUT, "n long, lapses long, s double, d double, last long", "update", GroupStateTimeout.NoTimeout)
+    """The state of each item after each micro-batch of a stream of reviews (item_id, seq, rating, at).
+
+    Reviews of a micro-batch are taken in the order of time and seq; one that comes in a
+    later micro-batch than its time says is taken where it comes, as of zero days later.
+    step is -1 in review.
+    """
+    return log.groupBy("item_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def review_log(log: DataFrame) -> DataFrame:
+    """The rows that a review appends to the log, as a stream."""
+    return log.select("item_id", "rating", F.col("at").alias("reviewed_at"), F.to_json(F.struct("item_id", "rating", "at")).alias("log_json"))
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:

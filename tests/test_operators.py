@@ -2,12 +2,13 @@
 
 import json
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
-from quillspark.operators import calibration, cleaning, discovery, learning, lexicon, selection
+from quillspark.operators import calibration, cleaning, discovery, learning, lexicon, merging, scheduling, selection
 from quillspark.operators.components import connected
 from quillspark.sources import files
 from quillspark.sources.recorded import RecordedResponses
@@ -59,12 +60,35 @@ def test_identifiers_and_titles(spark):
 
 
 def test_cleaning(spark):
-    lines = ["Running title", "Abstract: starts here", "Figure 1. A caption", "body of text", "Figure 2. A caption", "Acknowledgments", "thanks to all.", "CONCLUSION", "12.5 33.1 (9) 4", "the end", "7. References", "gone"]
-    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, no int, line string")
-    kept = [r.line for r in cleaning.clean(df).orderBy("no").collect()]
+    lines = ["Running title", "Abstract: starts here", "Figure 1. A caption", "body of text", "Figure 2. A caption", "Acknowledgments", "thanks to all.", "CONCLUSION", "12.5 ± 33.1 (9) 4", "the end", "7. References", "gone"]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    kept = [r.line for r in cleaning.clean(cleaning.lines(df)).orderBy("no").collect()]
     assert kept == ["starts here", "Figure 1. A caption", "body of text", "CONCLUSION", "the end"]
 
 
+def test_cleaning_of_pages(spark):
+    pages = [
+        "Journal of Small Things 2021\nA Title\nAuthor One a@b.org\n1\n\nAbstract — We show infor-\nmation.\nFigure 1. The same caption",
+        "Journal of Small Things 2022\nMore of  the text.\nFigure 2: The same caption\nPage 2 of 3",
+        "Journal of Small Things 2023\nThe end.\n\n\n\nREFERENCES\nJournal of Small Things 2023\n[1] x",
+    ]
+    df = spark.createDataFrame([(1, "\f".join(pages)), (2, "no abstract\nmail me at x@y.org\ntext"), (3, None)], "doc_id long, text string")
+    lines = cleaning.lines(df)
+    body = {r.doc_id: r.clean_text for r in cleaning.body(cleaning.clean(lines)).collect()}
+    assert body[1] == "We show information.\nFigure 1. The same caption\nMore of the text.\nThe end." and body[2] == "no abstract\ntext"
+    told = {r.doc_id: r for r in cleaning.diagnostics(lines).collect()}
+    one = told[1]
+    assert (one.page_count, one.abstract_heading_found, one.stopped_at_references, one.removed_repeated_margin_lines, one.removed_duplicate_captions) == (3, True, True, 6, 1)
+    assert told[3].page_count == 1 and not told[2].abstract_heading_found
+
+
+def test_abstract_is_looked_for_among_the_lines_that_are_left(spark):
+    lines = ["1 2 3 4 5 6 7 8"] * 100 + [f"line {x}" for x in "abcdefghij" * 8] + ["Abstract", "body"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["x y"] * 180 + lines[-2:]))], "doc_id long, text string")
+    kept = cleaning.clean(cleaning.lines(df))
+    assert [r.line for r in kept.where("doc_id = 1").collect()] == ["body"] and kept.where("doc_id = 2").count() == 182
+
+
 def test_exact_duplicates_keep_the_longest(spark):
     df = spark.createDataFrame([(1, "t", 500), (2, "t", 800), (3, "", 1), (4, "", 1)], "doc_id long, title_key string, words int")
     got = {r.doc_id: (r.decision, r.duplicate_of) for r in selection.exact_duplicates(df).collect()}
@@ -97,10 +121,57 @@ def test_foundation_quota_matches_a_loop(spark):
         assert {(x.query, x.rank) for x in discovery.foundation_quota(df, limit).collect()} == want
 
 
-def test_merge_groups_matches_a_loop(spark):
-    rows = [(1, "10.1/a", None, "T one"), (2, None, "24.1", "T one"), (3, "10.1/b", None, "T one"), (4, None, "24.1", "other"), (5, None, None, "OTHER!"), (6, None, None, None)]
-    got = {r.order: r.merged_into for r in discovery.merge_groups(spark.createDataFrame(rows, "order long, doi string, arxiv_id string, title string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1, 6: 6}
+def test_merge_groups(spark):
+    rows = [(1, "10.1/a", None, None, "T one"), (2, None, "24.1", None, "T one"), (3, "10.1/b", None, None, "T one"), (4, None, "24.1", None, "other"), (5, None, None, None, "OTHER!"), (6, None, None, None, None), (7, None, None, "x", None), (8, None, None, "x", "new")]
+    ddl = "order long, doi string, arxiv_id string, semantic_scholar_id string, title string"
+    got = {r.order: r.merged_into for r in merging.merge_groups(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1, 6: 6, 7: 7, 8: 7}
+    assert merging.merge_groups(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_merge_groups_follow_the_rule_in_order(spark):
+    rng = random.Random(11)
+    pick = lambda prefix, n, p: f"{prefix}{rng.randrange(n)}" if rng.random() < p else None
+    rows = [(i, pick("10.1/", 12, 0.3), pick("24.", 12, 0.3), pick("s", 14, 0.15), pick("title ", 10, 0.8)) for i in range(120)]
+    records, known = {}, {}
+    for order, doi, arxiv, third, title in rows:
+        strong = [known[k] for k in (("d", doi), ("a", arxiv), ("s", third)) if k[1] and k in known]
+        into = strong[0] if strong else None
+        if into is None and title and ("t", title) in known:
+            r = known["t", title]
+            if not any(mine and own and mine != own for mine, own in zip((doi, arxiv), records[r])):
+                into = r
+        into = order if into is None else into
+        old = records.get(into, (None, None))
+        records[into] = (old[0] or doi, old[1] or arxiv)
+        known |= {k: into for k in (("d", doi), ("a", arxiv), ("s", third), ("t", title)) if k[1]}
+        rows[order] = (*rows[order][:5], into)
+    got = merging.merge_groups(spark.createDataFrame([r[:5] for r in rows], "order long, doi string, arxiv_id string, semantic_scholar_id string, title string"))
+    assert {r.order: r.merged_into for r in got.collect()} == {r[0]: r[5] for r in rows}
+
+
+def test_greedy_exact_duplicates(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(5), [f"k{rng.randrange(25)}" for _ in range(rng.randrange(4))]) for i in range(80)]
+    owners, want = {}, {}
+    for i, words, keys in sorted(rows, key=lambda r: (-r[1], r[0])):
+        own = [owners[k] for k in keys if k in owners]
+        want[i] = own[0] if own else None
+        owners |= {} if own else dict.fromkeys(keys, i)
+    got = merging.greedy_exact(spark.createDataFrame(rows, "doc_id long, words int, ks array<string>"), F.col("ks"))
+    assert {r.doc_id: r.duplicate_of for r in got.collect()} == want
+
+
+def test_review_packets(spark):
+    rows = [(1, ["openalex:q1:all"]), (2, ["openalex:q1:all"]), (3, ["arxiv:q2:recent"])]
+    packet = lambda rows, target, limit=None: [r.order for r in merging.review_packet(spark.createDataFrame(rows, "order long, buckets array<string>"), target, limit).orderBy("packet_rank").collect()]
+    assert packet(rows, 2, 3) == [1, 3, 2] and packet([], 2) == []
+    several = [(1, ["a", "b"]), (2, ["b"]), (3, ["c", "a"]), (4, ["c"]), (5, ["a"]), (6, ["b"])]
+    assert packet(several, 1) == [1, 3, 5, 2, 4, 6]  # b is covered by 1; then a gives 5, b 2, c 4, b 6
+    assert packet(several, 1, 3) == [1, 3, 5]
+    with pytest.raises(Exception, match="too small"):
+        packet(several, 1, 1)
+    assert merging.default_review_limit(70) == 100 and merging.default_review_limit(3) == 13
 
 
 def test_components(spark):
@@ -129,12 +200,42 @@ def test_spelling_suggestions(spark):
     assert [(r.term, r.edit_distance) for r in lexicon.spelling_suggestions(words, lex).orderBy("rank").collect()] == [("relieve", 1), ("receive", 2)]
 
 
-def test_review_scheduler():
-    t = pd.Timestamp("2024-01-01")
-    good = reviews.reviewed(None, "good", t)
-    later = reviews.reviewed(good, "good", t + pd.Timedelta(days=4))
-    assert later[2] > good[2] and reviews.reviewed(later, "again", t + pd.Timedelta(days=20))[2] < later[2]
-    assert reviews.interval_days(good[2]) == round(good[2])
+def test_review_scheduler_has_the_published_histories():
+    scheduler, card, at, days = scheduling.Scheduler(), scheduling.Card(), datetime(2022, 11, 29, 12, 30), []
+    for rating in "good good good good good good again again good good good good good".split():
+        card = scheduler.review(card, rating, at)
+        days.append((card.due - card.last).days)
+        at = card.due
+    assert days == [0, 2, 11, 46, 163, 498, 0, 0, 2, 4, 7, 12, 21]
+    card, at = scheduling.Card(), datetime(2022, 11, 29, 12, 30)
+    for rating, wait in zip("again good good good good good".split(), (0, 0, 1, 3, 8, 21)):
+        at += timedelta(days=wait)
+        card = scheduler.review(card, rating, at)
+    assert abs(card.stability - 53.62691) < 1e-4 and abs(card.difficulty - 6.3574867) < 1e-4
+
+
+def test_learning_steps():
+    scheduler, at = scheduling.Scheduler(), datetime(2024, 1, 1)
+    first = {r: scheduler.review(scheduling.Card(), r, at) for r in ("again", "hard", "good")}
+    assert {r: (c.state, c.step, (c.due - at).total_seconds() / 60) for r, c in first.items()} == {"again": (1, 0, 1), "hard": (1, 0, 5.5), "good": (1, 1, 10)}
+    card = scheduler.review(first["good"], "good", at + timedelta(minutes=10))
+    assert card.state == scheduling.REVIEW and card.step is None and (card.due - card.last).days >= 1
+    lapsed = scheduler.review(card, "again", card.due)
+    assert (lapsed.state, lapsed.step, lapsed.due - lapsed.last) == (scheduling.RELEARNING, 0, timedelta(minutes=10))
+    assert (scheduler.review(lapsed, "hard", lapsed.due).due - lapsed.due) == timedelta(minutes=15)
+
+
+def test_review_stream_continues_cards(spark, tmp_path):
+    t = [datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 10), datetime(2024, 1, 4), datetime(2024, 2, 1)]
+    rows = [(1, i, "good" if i != 2 else "again", x) for i, x in enumerate(t)] + [(2, 9, "hard", t[0])]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "item_id long, seq long, rating string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "log" / f"part={i}"))
+    log = spark.readStream.schema("item_id long, seq long, rating string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "log"))
+    got = {r.item_id: r for r in reviews.latest(reviews.drained(reviews.review_states(log), "test-reviews", "update")).collect()}
+    scheduler, card = scheduling.Scheduler(), scheduling.Card()
+    for _, _, rating, at in rows[:4]:
+        card = scheduler.review(card, rating, at)
+    assert (got[1].reviews, got[1].lapses, got[1].state) == (4, 1, card.state) and abs(got[1].stability - card.stability) < 1e-9 and got[2].reviews == 1
 
 
 def test_sources(spark, tmp_path):
@@ -147,7 +248,7 @@ def test_sources(spark, tmp_path):
     spark.dataSource.register(RecordedResponses)
     got = spark.read.format("recorded").option("path", str(tmp_path / "r")).load().orderBy("rank").collect()
     assert [(r.candidate_id, r.year) for r in got] == [("x", 2020), ("y", None)]
-    assert files.readable("<nav>x</nav><p>a <b>b</b><br>c</p><script>y</script>") == "a b\nc"
+    assert files.readable("<nav>x</nav><p>a <b>b</b><br>c</p><script>y</script>") == "a bc"
     files.write_tsv(spark.createDataFrame([(1, ["a"])], "k long, v array<string>"), str(tmp_path / "o"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "o")).first().v.count("a") == 1
 
