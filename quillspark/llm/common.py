@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 #: A word of the corpus contracts: a run without ASCII white space.
@@ -34,6 +36,18 @@ def released() -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows for jobs that run inside: long texts fill large ones on both sides of a worker's pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def gathered(values: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     """One record batch from lists or lists of numpy pieces."""
     out = []

@@ -243,7 +243,10 @@ def sample(docs: DataFrame, most: int, longest: int) -> tuple[list[str], list[st
 
 def train(docs: DataFrame, most: int = 300, longest: int = 3000) -> Model:
     """A model from text and lang of documents whose crc32(doc_id) mod 3 is not 1."""
-    return fit(*sample(docs, most, longest))
+    model = fit(*sample(docs, most, longest))
+    KNOWN.clear()
+    released()
+    return model
 
 
 def label(m: Model, text: str | None) -> list[tuple[str, str, float]]:

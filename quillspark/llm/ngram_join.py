@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import released, rows
+from quillspark.llm.common import released, rows, small_batches
 from quillspark.operators.components import connected
 from quillspark.shared import dropped, observed, written
 
@@ -145,9 +145,9 @@ def frequent(docs: DataFrame, shingler: Shingler, most: int, local: int = 3, hel
     if least is None:
         dropped(found)
         return np.zeros(0, np.uint64)
-    top = found.where(step >= least).toPandas().sort_values(["n", "token"])
+    top = found.where(step >= least).toArrow().sort_by([("n", "ascending"), ("token", "ascending")])
     dropped(found)
-    return top["token"].to_numpy(np.int64).view(np.uint64)
+    return top.column("token").to_numpy().view(np.uint64)
 
 
 BINS = 512
@@ -212,6 +212,7 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFra
                     most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)) if x and y else min(n, m)
                     keep.append(most >= similarity.least_shared(n, m))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        released()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -240,6 +241,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingler: Shingler, similarity:
                         out.append((a, b))
                 before = b is None
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        shingler.known.clear()
+        released()
 
     links = written(stream.mapInArrow(run, "a long, b long"), "links")
     dropped(dealt, texts)
@@ -324,11 +327,15 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
     links where any of them does. Rows without an id link with nothing and have a null
     component_id. Other columns are ignored; an empty table gives no row.
 
-    bucket: entries of a list that meet in the first round; eight times as many in each
+    bucket: entries of a list that meet in the first round; sixteen times as many in each
     further one, until all of the longest list do.
     """
     similarity, shingler = similarity or Similarity(), Shingler(size)
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _joined(docs.select("doc_id", "text"), shingler, similarity, frequent_most, bucket)
+
+
+def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequent_most: int, bucket: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     sets = written(prefixes(docs, shingler, similarity, frequent(docs, shingler, frequent_most)), "sets")
     own = ["n", "s", "t"]
@@ -371,13 +378,15 @@ def join(docs: DataFrame, size: int = 5, similarity: Similarity | None = None, f
         dropped(tried(pairs))
         if crowds is not None:
             dropped(pairs)
-        k, done, bucket = k + 1, bucket, bucket * 8
-    for held in waiting or []:
-        apart = label.of(label.of(held, "a", "_c"), "b", "_d").where("_c <> _d")
+        k, done, bucket = k + 1, bucket, bucket * 16
+    if waiting:
+        all_waiting = waiting[0]
+        for held in waiting[1:]:
+            all_waiting = all_waiting.union(held)
+        apart = label.of(label.of(all_waiting.distinct(), "a", "_c"), "b", "_d").where("_c <> _d")
         one, other = (members.select(F.col("g").alias(g), F.col("rep").alias(r)) for g, r in (("a", "_x"), ("b", "_y")))
         whole = apart.join(one, "a").join(other, "b").where("a <> _x or b <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
-        dropped(tried(whole.distinct()))
-        dropped(held)
+        dropped(tried(whole.distinct()), *waiting)
     of_class = label.of(classes.select(*own, "rep"), "rep").drop("rep")
     found = sets.join(of_class, own, "left")
     dropped(members, lists, crowds)
