@@ -11,7 +11,7 @@ from quillspark.functions import text
 from quillspark.operators.store import plain
 
 # What records may say.
-SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"
+SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,199}$"
 ITEM_TYPES = ("new_paper", "recent_paper", "classic_paper", "backlog_paper", "public_report", "research_update")
 SUPPLEMENTAL = ("public_report", "research_update")
 REVIEWER, CANDIDATE_LIMITS = "current-host-agent", (50, 100, 150, 200)
@@ -131,7 +131,7 @@ def provenance(items: DataFrame, prepared: DataFrame) -> DataFrame:
         (F.col("_id").isNull(), "not prepared"),
         (F.col("item_id").isNull(), "missing"),
         *[(F.col(c) != F.col(f"_{c}"), f"changed {c}") for c in ("title", "source_url", "item_type")],
-        (F.exists("_words", lambda w: context(w).isNull()), "word not grounded"),
+        (F.col("_id").isNotNull() & F.exists("_words", lambda w: context(w).isNull()), "word not grounded"),
         (F.exists("_words", lambda w: context(w) != F.trim(w["context"])), "changed context"),
     )
     return both.select(F.coalesce("item_id", "_id").alias("item_id"), F.explode(why).alias("violation"))

@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that checks it."""
 
-from quillspark.plans import briefs, cards, learner, lexicon, providers, selection, sources, store
+from quillspark.plans import briefs, cards, learner, lexicon, providers, selection, sources, store, validation
 from quillspark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "briefs", "cards", "learner", "lexicon", "providers", "selection", "sources", "store"]
+__all__ = ["QUERIES", "SQL", "briefs", "cards", "learner", "lexicon", "providers", "selection", "sources", "store", "validation"]
