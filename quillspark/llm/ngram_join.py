@@ -388,7 +388,8 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
         whole = apart.join(one, "a").join(other, "b").where("a <> _x or b <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
         dropped(tried(whole.distinct()), *waiting)
     of_class = label.of(classes.select(*own, "rep"), "rep").drop("rep")
-    found = sets.join(of_class, own, "left")
-    dropped(members, lists, crowds)
+    found = sets.select("doc_id", *own).join(of_class, own, "left")
     result = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), result.alias("component_id"))
+    out = written(found.select("doc_id", F.col("n").alias("n_shingles"), result.alias("component_id")), "components")
+    dropped(sets, classes, members, lists, crowds, label.table)
+    return out
