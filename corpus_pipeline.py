@@ -28,10 +28,16 @@ def _restored(told: DataFrame, docs: DataFrame) -> DataFrame:
     return told.select(*[F.col(c if c in ("doc_id", "text") else f"_column_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """A written table of the rows with a number each (_id), which no other row has."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return written(docs.select(F.monotonically_increasing_id().alias("_id"), row), "numbered")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit hash of the whole row (_id): rows that are equal in every column have the same."""
+    return docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def _taken(rows: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows (_keyed) that picks (_id, rows, copies) name, `copies` times; of equal rows (rows > 1) together."""
+    once = rows.join(picks.where("rows = 1").select("_id", "copies"), "_id").select("_row", "copies")
+    several = rows.join(picks.where("rows > 1").select("_id", "copies"), "_id").groupBy("_id").agg(F.min("_row").alias("_row"), F.max("copies").alias("copies"))
+    return once.union(several.select("_row", "copies")).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,30 +65,32 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row of the smallest doc_id, a null id last, of several the least text.
+    """Of each component of near duplicates the row of the smallest doc_id, a null id last, of several the least hash of the text, then of the row.
 
-    Every row is a document: rows of null ids, and rows of one id with unlike texts, are
-    compared by their texts like all others, and exact repeats are one. Texts without words
-    link with nothing and stay, each row of them. An empty table stays empty.
+    Rows that are equal in every column are one. Others are documents: rows of null ids, and
+    rows of one id with unlike texts, are compared by their texts like all. Texts without
+    words link with nothing and stay. An empty table stays empty.
     """
-    rows = _numbered(docs)
+    rows = _keyed(docs)
     found = ngram_join.join(rows.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")))
-    joined = found.join(rows.select(F.col("_id").alias("doc_id"), F.col("_row.doc_id").alias("_doc"), F.substring(F.sha2(F.col("_row.text"), 256), 1, 16).alias("_text")), "doc_id")
-    first = F.min(F.struct(F.col("_doc").isNull().alias("null"), "_doc", "_text", "doc_id"))["doc_id"]
-    kept = written(joined.groupBy("component_id").agg(first.alias("_id")).select("_id"), "kept")
-    return rows.join(kept, "_id", "left_semi").select("_row.*")
+    named = rows.select("_id", F.col("_row.doc_id").alias("_doc"), F.xxhash64("_row.text").alias("_text")).distinct()
+    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).join(named, F.col("doc_id") == F.col("_id"))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("null"), "_doc", "_text", "_id", "rows"))
+    kept = ids.groupBy("component_id").agg(first.alias("_first")).select("_first._id", "_first.rows", F.lit(1).alias("copies"))
+    return _taken(rows, written(kept, "kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, to the nearest whole number, 0 to 3 times.
 
-    Rows of null and repeated ids are told apart by their numbers. Texts without words have no size and go; an empty table stays empty.
+    Rows of null and repeated ids are told apart by the whole row; equal rows are taken as
+    often as the mix takes all of them. Texts without words have no size and go; an empty table stays empty.
     """
-    rows = _numbered(docs)
+    rows = _keyed(docs)
     share = mixing.mix(rows.select("_id", "_row.doc_id", "_row.text", "_row.source"), carry=("_id",))
-    share = share.where("taken > 0").select("_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    rows = rows.join(share.where("_copies > 0"), "_id")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    copies = F.when(F.col("taken") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    picks = share.groupBy("_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(copies).alias("copies")).where("copies > 0")
+    return _taken(rows, written(picks, "picks"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
