@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators.ordering import numbered
 
 
 def with_fallback(rows: DataFrame, cards: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def ordered_union(key: str, order: str, *frames: DataFrame) -> DataFrame:
         own = df.select(F.col(key), F.struct(F.lit(i).alias("f"), F.col(order).alias("o")).alias("_at"))
         both = own if both is None else both.union(own)
     once = both.groupBy(key).agg(F.min("_at").alias("_at"))
-    return once.select(key, F.row_number().over(Window.orderBy("_at")).alias("position"))
+    return numbered(once.select(key, "_at.f", "_at.o"), ["f", "o", key], "position").select(key, "position")
 
 
 def page(df: DataFrame, order: list[Column | str], size: int, number: int) -> DataFrame:

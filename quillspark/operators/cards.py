@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators.ordering import numbered
 from quillspark.operators.store import plain
 
 # Surfaces of acronyms, lines that are no sentence, sizes of a card's texts.
@@ -119,18 +120,6 @@ def review_batches(reviewed: DataFrame, sentences: DataFrame, size: int = 40) ->
     return numbered(own, ["lemma", "part_of_speech"]).withColumn("batch", F.ceil(F.col("number") / size)).drop("number")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with number, from 1 in an order: ranks within ranges, and the sizes of the ranges before."""
-    from quillspark.shared import written
-
-    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_id", 33)
-    sizes = parts.groupBy(part.alias("_part")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    offsets = sizes.select("_part", before.alias("_before"))
-    return parts.withColumn("_part", part).join(offsets, "_part").withColumn("number", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
-
-
 def first_source(examples: DataFrame, papers: DataFrame) -> DataFrame:
     """Of each key's examples (key, no, paper_id, sentence) the first whose paper (paper_id, title, file, url) is there, with its title or file name."""
     own = examples.where("trim(coalesce(sentence, '')) <> ''").join(papers, "paper_id")

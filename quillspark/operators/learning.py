@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
+from quillspark.operators.ordering import numbered
 
 
 def due_queue(items: DataFrame, sources: DataFrame, as_of: Column, limit: int = 100) -> DataFrame:
@@ -89,8 +90,8 @@ def export_sheet(rows: DataFrame) -> DataFrame:
     """Rows as a workbook shows them, in its order: sheet, row, lemma, tier, inclusion, probability."""
     known = F.col("classification") == "likely_known"
     inclusion = F.when(known, "later").when(F.col("important_boundary_protected"), "protected").otherwise("suggested")
-    order = Window.orderBy(known.cast("int"), "importance_tier", "probability_known", F.desc("document_count"), F.desc("total_count"), "lemma")
-    return rows.select(F.when(known, "other").otherwise("selected").alias("sheet"), F.row_number().over(order).alias("row"), "lemma", "importance_tier", inclusion.alias("inclusion"), model.percent(F.col("probability_known")).alias("probability"))
+    order = [known.cast("int"), "importance_tier", "probability_known", F.desc("document_count"), F.desc("total_count"), "lemma"]
+    return numbered(rows, order, "row").select(F.when(known, "other").otherwise("selected").alias("sheet"), "row", "lemma", "importance_tier", inclusion.alias("inclusion"), model.percent(F.col("probability_known")).alias("probability"))
 
 
 def violations(candidates: DataFrame, decisions: DataFrame, key: str = "id", known: tuple[str, ...] = ("keep", "drop", "replace")) -> DataFrame:

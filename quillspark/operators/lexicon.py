@@ -61,14 +61,18 @@ def modal_pos(toks: DataFrame) -> DataFrame:
 
 
 def examples(docs: DataFrame, most: int = 3, shortest: int = 35, longest: int = 500) -> DataFrame:
-    """The first distinct sentences of fitting length that hold each lemma, in encounter order."""
+    """The first distinct sentences of fitting length that hold each lemma, in encounter order.
+
+    Sentences stand in for themselves by a hash of 64 bits; only those that are shown are fetched.
+    """
     said = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent", "sentence"))
     said = said.where(F.length("sentence").between(shortest, longest))
-    held = said.select("doc_id", "sent", "sentence", F.explode(F.array_distinct(F.transform(text.words(F.col("sentence")), F.lower))).alias("lemma"))
+    held = said.select("doc_id", "sent", F.xxhash64("sentence").alias("_h"), F.explode(F.array_distinct(F.transform(text.words(F.col("sentence")), F.lower))).alias("lemma"))
     held = held.where(F.length("lemma") >= text.LEMMA_LENGTH)
-    once = held.groupBy("lemma", "sentence").agg(F.min(F.struct("doc_id", "sent")).alias("_at"))
+    once = held.groupBy("lemma", "_h").agg(F.min(F.struct("doc_id", "sent")).alias("_at"))
     rank = F.row_number().over(Window.partitionBy("lemma").orderBy("_at"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= most).select("lemma", "rank", F.col("_at.doc_id").alias("doc_id"), "sentence")
+    first = once.withColumn("rank", rank).where(F.col("rank") <= most).select("lemma", "rank", "_at.doc_id", "_at.sent")
+    return first.join(said, ["doc_id", "sent"]).select("lemma", "rank", "doc_id", "sentence")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -108,6 +112,33 @@ def term_counts(grams: DataFrame, documents: int) -> DataFrame:
     return by.where((F.col("total_count") >= 2) & (F.col("document_count") >= (2 if documents >= 3 else 1)))
 
 
+def corpus_terms(docs: DataFrame, low: int = 2, high: int = 6, stop: tuple[str, ...] = ()) -> DataFrame:
+    """term, size, total_count, document_count, documents (of the corpus): term_counts() of all n-grams, in one exchange.
+
+    A document's terms are an array, sorted; a term counts for its document where it differs
+    from the one before. So a term's counts are sums that tasks add up before they meet.
+    """
+    ends = F.array(*[F.lit(w) for w in stop]).cast("array<string>")
+    lines = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), text.words)
+    lines = F.transform(lines, lambda ws: F.transform(ws, lambda w: F.struct(w.alias("w"), (~F.array_contains(ends, w)).alias("ok"))))
+
+    def of_line(ws: Column) -> Column:
+        def of_size(k: int) -> Column:
+            at = F.filter(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.get(ws, i - 1)["ok"] & F.get(ws, i + k - 2)["ok"])
+            runs_of = F.transform(at, lambda i: F.concat_ws(" ", *[F.get(ws, i + j - 1)["w"] for j in range(k)]))
+            return F.when(F.size(ws) >= k, runs_of).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*[of_size(k) for k in range(low, high + 1)])
+
+    own = docs.select(F.sort_array(F.filter(F.flatten(F.transform(lines, of_line)), lambda t: F.length(t) >= 5)).alias("_t"))
+    marked = F.transform("_t", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("_t", i - 1) != t)).cast("long").alias("first")))
+    flat = own.select(F.explode(marked).alias("_m")).select("_m.term", "_m.first")
+    by = flat.groupBy("term").agg(F.count(F.lit(1)).alias("total_count"), F.sum("first").alias("document_count")).where("total_count >= 2")
+    size = docs.agg(F.count(F.lit(1)).alias("documents"))
+    out = by.crossJoin(F.broadcast(size)).where((F.col("documents") < 3) | (F.col("document_count") >= 2))  # one row
+    return out.withColumn("size", F.size(F.split("term", " ")))
+
+
 def c_values(terms: DataFrame) -> DataFrame:
     """C-value: log2 of a term's length times its count less the mean count of the terms around it.
 
@@ -121,9 +152,9 @@ def c_values(terms: DataFrame) -> DataFrame:
     return terms.join(inside, "term", "left").select("term", "total_count", "document_count", F.round(F.greatest(F.lit(0.0), value), 6).alias("c_value"))
 
 
-def shared_terms(terms: DataFrame, documents: int, share: float = 0.10) -> DataFrame:
-    """Terms that stand in a share of all documents, at least in one."""
-    least = max(1, -(-int(round(documents * share * 1e6)) // 1_000_000))
+def shared_terms(terms: DataFrame, share: float = 0.10) -> DataFrame:
+    """Terms that stand in a share of all documents (documents), at least in one."""
+    least = F.greatest(F.lit(1), F.ceil(F.round(F.col("documents") * share, 6)))
     return terms.where(F.col("document_count") >= least)
 
 

@@ -29,7 +29,7 @@ def brief_vocabulary_first(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT user_id AS id, 0 AS f, event_id AS o FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, 1, event_id FROM events WHERE event_type = 'click')
-SELECT id, row_number() OVER (ORDER BY a)::INT AS position FROM (SELECT id, min((f, o)) AS a FROM u GROUP BY id)""")
+SELECT id, row_number() OVER (ORDER BY a) AS position FROM (SELECT id, min((f, o)) AS a FROM u GROUP BY id)""")
 def selection_union(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("o"), "event_type")
     return briefs.ordered_union("id", "o", e.where("event_type = 'purchase'"), e.where("event_type = 'click'"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
 from quillspark.operators import calibration, learning
+from quillspark.operators.ordering import numbered
 from quillspark.plans import lexicon
 from quillspark.plans.base import query, table
+from quillspark.shared import written
 
 # Words with made-up dimensions, by fixed rules, so that both engines see the same ones.
 WORDS = f"""{lexicon.VOCAB},
@@ -36,9 +38,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lexicon.vocab(spark, sf_dir)
     level = F.element_at(F.array(*map(F.lit, ("A1", "A2", "B1", "B2", None, None))), (F.col("total_count") % 6 + 1).cast("int"))
     tag = F.element_at(F.array(*map(F.lit, ("gk", "cet4", "cet6", None))), (F.col("document_count") % 4 + 1).cast("int"))
-    pos = F.row_number().over(Window.orderBy(F.desc("document_count"), F.desc("total_count"), "lemma"))
-    out = v.select("lemma", "total_count", "document_count", "document_share", (2.0 + (F.length("lemma") * 7 % 40) / 10.0).alias("zipf"), level.alias("cefr_level"), F.array_compact(F.array(tag)).alias("exam_tags"), text.part_of_speech(F.col("lemma")).alias("part_of_speech"), pos.alias("input_pos"))
-    return calibration.enriched(out)
+    v = numbered(v, [F.desc("document_count"), F.desc("total_count"), "lemma"], "input_pos")
+    out = v.select("lemma", "total_count", "document_count", "document_share", (2.0 + (F.length("lemma") * 7 % 40) / 10.0).alias("zipf"), level.alias("cefr_level"), F.array_compact(F.array(tag)).alias("exam_tags"), text.part_of_speech(F.col("lemma")).alias("part_of_speech"), F.col("input_pos").cast("int").alias("input_pos"))
+    return written(calibration.enriched(out), "words")  # several aggregates and joins read it
 
 
 def answers(rows: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def mastery_groups(spark, sf_dir):
 
 
 @query(f"""WITH {CALIBRATED} SELECT CASE WHEN classification = 'likely_known' THEN 'other' ELSE 'selected' END AS sheet,
-  row_number() OVER (ORDER BY (classification = 'likely_known')::INT, tier, round(p, 6), document_count DESC, total_count DESC, lemma)::INT AS "row", lemma, tier AS importance_tier,
+  row_number() OVER (ORDER BY (classification = 'likely_known')::INT, tier, round(p, 6), document_count DESC, total_count DESC, lemma) AS "row", lemma, tier AS importance_tier,
   CASE classification WHEN 'likely_known' THEN 'later' WHEN 'important_boundary' THEN 'protected' ELSE 'suggested' END AS inclusion,
   printf('%.1f', (floor(round(p, 6) * 1000 + 0.5) / 10)::DOUBLE) || '%' AS probability FROM cal""")
 def export_sheet(spark, sf_dir):
@@ -210,7 +212,7 @@ f AS (SELECT DISTINCT query, name FROM (SELECT name, unnest(string_split(name, '
 SELECT query, count(*) AS matches, min(name) AS first_name FROM f GROUP BY query""")
 def fuzzy_term_search(spark, sf_dir):
     """All terms that each word of six letters or more of the benchmark finds, as a search box would."""
-    names = lexicon.terms(spark, sf_dir)[0].select(text.search_norm(F.col("term")).alias("name")).distinct()
+    names = lexicon.terms(spark, sf_dir).select(text.search_norm(F.col("term")).alias("name")).distinct()
     asked = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))).alias("q"))
     found = learning.fuzzy_search(names, asked.select(F.lower("q").alias("query")).distinct())
     return found.groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("name").alias("first_name"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text
 from quillspark.operators import lexicon as lx
 from quillspark.plans.base import query, table
+from quillspark.shared import written
 
 #: Words at whose ends terms don't stand.
 STOP = ("the", "of", "and", "to", "in", "is", "a", "an", "for", "on", "with", "from", "by", "it", "as", "at", "be")
@@ -91,15 +92,13 @@ terms AS (SELECT term, size, sum(n)::BIGINT AS total_count, count(*) AS document
   HAVING total_count >= 2 AND document_count >= 2)"""
 
 
-def terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    docs = documents(spark, sf_dir)
-    n = docs.count()
-    return lx.term_counts(lx.ngrams(docs, stop=STOP), n), n
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lx.corpus_terms(documents(spark, sf_dir), stop=STOP)
 
 
 @query(f"WITH {TERMS} SELECT term, total_count, document_count FROM terms")
 def term_candidates_ngram(spark, sf_dir):
-    return terms(spark, sf_dir)[0].select("term", "total_count", "document_count")
+    return terms(spark, sf_dir).select("term", "total_count", "document_count")
 
 
 C_VALUES = f"""{TERMS}, parents AS (SELECT total_count AS f, string_split(term, ' ') AS w, size FROM terms WHERE size > 2),
@@ -110,14 +109,13 @@ cv AS (SELECT term, total_count, document_count, round(greatest(0.0, log2(size)
 
 @query(f"WITH {C_VALUES} SELECT * FROM cv ORDER BY document_count DESC, c_value DESC, total_count DESC, term")
 def c_value_terms(spark, sf_dir):
-    found = lx.c_values(terms(spark, sf_dir)[0])
+    found = lx.c_values(written(terms(spark, sf_dir), "terms"))
     return found.orderBy(F.desc("document_count"), F.desc("c_value"), F.desc("total_count"), "term")
 
 
 @query(f"WITH {TERMS} SELECT term, total_count, document_count FROM terms WHERE document_count >= greatest(1, ceil((SELECT count(*) FROM documents) * 0.10))")
 def shared_terminology(spark, sf_dir):
-    found, n = terms(spark, sf_dir)
-    return lx.shared_terms(found, n).select("term", "total_count", "document_count")
+    return lx.shared_terms(terms(spark, sf_dir)).select("term", "total_count", "document_count")
 
 
 #: Documents with a mark-up of acronyms: three words before one in brackets, made of each text's own words.

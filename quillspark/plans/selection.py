@@ -192,7 +192,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.col("source").alias("query"), rank.alias("rank"), text.title_key(F.col("title")).alias("identity"), lane.alias("lane"))
 
 
-@query(f"WITH {CANDIDATES} SELECT identity, row_number() OVER (ORDER BY a)::INT AS discovery_order FROM (SELECT identity, min((rank, query)) AS a FROM cand GROUP BY identity)")
+@query(f"WITH {CANDIDATES} SELECT identity, row_number() OVER (ORDER BY a) AS discovery_order FROM (SELECT identity, min((rank, query)) AS a FROM cand GROUP BY identity)")
 def interleave_ranks(spark, sf_dir):
     return discovery.interleaved(candidates(spark, sf_dir))
 
@@ -200,7 +200,7 @@ def interleave_ranks(spark, sf_dir):
 @query(f"""WITH {CANDIDATES}, p AS (SELECT *, row_number() OVER (ORDER BY rank, query) AS position FROM cand),
 f AS (SELECT identity, min(position) FILTER (lane = 'foundation') AS f, min(position) FILTER (lane <> 'foundation') AS r FROM p GROUP BY identity),
 cut AS (SELECT max(f) AS cut FROM (SELECT f, row_number() OVER (ORDER BY f) AS nth FROM f WHERE f IS NOT NULL AND (r IS NULL OR f < r)) WHERE nth = 25)
-SELECT query, rank::INT AS rank, identity, lane, position::INT AS position FROM p, cut WHERE lane <> 'foundation' OR cut IS NULL OR position <= cut""")
+SELECT query, rank::INT AS rank, identity, lane, position FROM p, cut WHERE lane <> 'foundation' OR cut IS NULL OR position <= cut""")
 def foundation_quota(spark, sf_dir):
     return discovery.foundation_quota(candidates(spark, sf_dir).drop("doc_id"), 25)
 

@@ -146,7 +146,7 @@ def reconstructed(index: Column) -> Column:
 
 def batches(df: DataFrame, order: list[Column], size: int = 40) -> DataFrame:
     """df with batch, from 1: `size` rows each in the given order."""
-    from pyspark.sql import Window
+    from quillspark.operators.ordering import numbered
 
-    return df.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy(*order)) / size))
+    return numbered(df, order, "batch").withColumn("batch", F.ceil(F.col("batch") / size))
 
