@@ -259,8 +259,8 @@ class Labels:
         """df with the component of its column `node`."""
         if self.table is None:
             return df.withColumn(name, F.col(node))
-        own = self.table.select(F.col("node").alias("_node"), F.col("c").alias("_c"))
-        return df.join(own, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_c", node)).drop("_node", "_c")
+        own = self.table.select(F.col("node").alias("_label_of"), F.col("c").alias("_label"))
+        return df.join(own, F.col(node) == F.col("_label_of"), "left").withColumn(name, F.coalesce("_label", node)).drop("_label_of", "_label")
 
     def merge(self, links: DataFrame) -> None:
         """Take in links (a, b): the components that they touch are joined, as far as those go."""

@@ -262,6 +262,36 @@ def test_ngram_join_matches_brute_force(spark):
     assert ngram_join.join(empty(spark)).count() == 0
 
 
+def test_ngram_join_of_hot_lists(spark):
+    """A line that many unlike texts share, large groups of exact and near copies, a long text, chains of links."""
+    rng = random.Random(21)
+    common, base, long = words(rng, 24), words(rng, 60).split(), words(rng, 12_000)
+    texts = [(i, f"{common} {words(rng, rng.randint(0, 4))}".strip()) for i in range(120)]  # mostly the common line
+    texts += [(1000 + i, " ".join(base)) for i in range(60)]
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append((2000 + i, " ".join(w)))
+    texts += [(3000, long), (3001, long + " more"), (3002, long.upper())]
+    chain = words(rng, 40).split()
+    for i in range(12):  # each links with its neighbours alone
+        chain = [*chain[3:], *words(rng, 3).split()]
+        texts.append((4000 + i, " ".join(chain)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    label, sizes = brute_components(docs.collect())
+    for bucket in (2, 8, 10_000):
+        got = ngram_join.join(docs, bucket=bucket).collect()
+        assert {r.doc_id: r.component_id for r in got} == label and {r.doc_id: r.n_shingles for r in got} == sizes
+
+
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, a), (3, a), (3, b), (7, b), (9, a + " x"), (9, a + " x"), (11, None), (None, None)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(None, None): 2, (3, 3): 2, (7, 3): 1, (9, 3): 2, (11, 11): 1}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(60)] + [(900, 900 + i) for i in range(1, 40)]
