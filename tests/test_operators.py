@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
-from quillspark.operators import calibration, cleaning, discovery, learning, lexicon, merging, scheduling, selection
+from quillspark.operators import annotation, calibration, cards, cleaning, discovery, learning, lexicon, merging, scheduling, selection, validation
 from quillspark.operators.components import connected
 from quillspark.sources import files
 from quillspark.sources.recorded import RecordedResponses
@@ -356,3 +356,38 @@ def test_terms_and_c_values_take_up_to_six_words(spark):
     got = {r.term: (r.total_count, r.c_value) for r in lexicon.c_values(terms).collect()}
     assert {len(t.split()) for t in got} == {2, 3, 4, 5, 6}
     assert got == {t: (n, round(max(0.0, math.log2(len(t.split())) * (n - (sum(around[t]) / len(around[t]) if t in around else 0.0))), 6)) for t, n in want.items()}
+
+
+def test_terms_of_annotated_phrases(spark):
+    def token(t, pos="NOUN", lemma=None, stop=False):
+        return (t, lemma or t.lower(), pos, stop, t.isalpha(), t.isdigit(), not any(c.isalnum() for c in t))
+
+    phrases = {
+        "robust analysis": [token("the", "DET", stop=True), token("Robust", "ADJ"), token("analyses", lemma="analysis"), token(",", "PUNCT")],
+        "state of art": [token("State"), token("of", "ADP", stop=True), token("art")],
+        "well-known Model".lower(): [token("well", "ADJ"), token("-", "PUNCT"), token("known", "ADJ"), token("Model", "PROPN", "modell")],
+        None: [token("model")],
+    }
+    phrases_out = [None, None, None]
+    more = [[token("models"), token("run", "VERB")], [token("a", "DET", stop=True)], [token(w) for w in "one two three four five six seven".split()]]
+    ddl = f"k int, tokens array<{annotation.TOKEN}>"
+    rows = [(i, t) for i, t in enumerate([*phrases.values(), *more])]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, ddl).select("k", annotation.canonical_term(F.col("tokens")).alias("t")).collect()}
+    assert [got[i] for i in range(len(rows))] == [*phrases, *phrases_out]
+
+
+def test_gate_refuses_a_batch(spark):
+    bad = spark.createDataFrame([("c1", "unknown")], "candidate_id string, violation string")
+    validation.gate(bad.limit(0), "selection")
+    with pytest.raises(validation.Refused, match="c1"):
+        validation.gate(bad, "selection")
+
+
+def test_display_forms_and_expansions(spark):
+    ddl = "lemma string, surface_forms array<struct<form:string,count:bigint>>, expanded boolean"
+    rows = [("llm", [("LLMs", 12), ("LLM", 5)], True), ("results", [("RESULTS", 1), ("results", 40)], False), ("gpu", [("GPUs", 4), ("GPUS", 9)], True), ("word", [("word", 3)], True), ("x", [], False)]
+    got = {r.lemma: r.d for r in spark.createDataFrame(rows, ddl).select("lemma", cards.display_form(F.col("lemma"), F.col("surface_forms"), F.col("expanded")).alias("d")).collect()}
+    assert got == {"llm": "LLM", "results": "results", "gpu": "GPU", "word": "word", "x": "x"}
+    pairs = spark.createDataFrame([("LLM", "large language model"), ("LLM", "Large language models"), ("CA", "case studies"), ("CA", "case study"), ("CB", "boxes")], "acronym string, expansion string")
+    assert {r.acronym: r.expansions for r in cards.expansions(pairs).collect()} == {"llm": ["large language model"], "ca": ["case study"], "cb": ["boxes"]}
+    assert value(spark, cards.means(F.lit("a big language model"), F.lit("Language models"))) is True and value(spark, cards.suggested_sense(F.array(F.lit("Large Language-Model")))) == "large-language-model"
