@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import released, rows, small_batches
 from quillspark.operators.components import connected
-from quillspark.shared import dropped, observed, written
+from quillspark.shared import dropped, observed, swept, written
 
 WORD_MULTIPLIER, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -365,6 +365,7 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
         dropped(members, linked)
         members = then
     lists, told_lists = observed(lists_of(members), "lists", F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
+    swept(docs.sparkSession)
     crowds = written(members.where("rep <> g").select("g").distinct(), "crowds") if told["more"] else None
     k, done, waiting = 0, 1, None
     while done < told_lists["longest"]:
@@ -379,6 +380,7 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
         if crowds is not None:
             dropped(pairs)
         k, done, bucket = k + 1, bucket, bucket * 16
+        swept(docs.sparkSession)
     if waiting:
         all_waiting = waiting[0]
         for held in waiting[1:]:
@@ -392,4 +394,5 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
     result = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     out = written(found.select("doc_id", F.col("n").alias("n_shingles"), result.alias("component_id")), "components")
     dropped(sets, classes, members, lists, crowds, label.table)
+    swept(docs.sparkSession)
     return out
