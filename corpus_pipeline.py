@@ -34,10 +34,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _taken(rows: DataFrame, picks: DataFrame) -> DataFrame:
-    """The rows (_keyed) that picks (_id, rows, copies) name, `copies` times; of equal rows (rows > 1) together."""
-    once = rows.join(picks.where("rows = 1").select("_id", "copies"), "_id").select("_row", "copies")
-    several = rows.join(picks.where("rows > 1").select("_id", "copies"), "_id").groupBy("_id").agg(F.min("_row").alias("_row"), F.max("copies").alias("copies"))
-    return once.union(several.select("_row", "copies")).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    """The rows (_keyed) that picks (_id, rows, copies) name, `copies` times; of equal rows (rows > 1) together.
+
+    A row and its pick meet by a shuffle at every size; equal rows are one before it.
+    """
+    distinct = rows.groupBy("_id").agg(F.min("_row").alias("_row")) if picks.where("rows > 1").limit(1).count() else rows
+    return distinct.join(picks.hint("merge"), "_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
