@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def observed(df: DataFrame, tag: str, *figures: Column) -> tuple[DataFrame, dict
     return out, seen.get if figures else {}
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nobody holds any more: Spark deletes them when the driver collects its garbage, which a job of many rounds may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Delete the files of tables from written() that nothing will read again."""
     for df in tables:
