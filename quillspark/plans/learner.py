@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
-from quillspark.operators import calibration, learning
+from quillspark.operators import calibration, export, learning
 from quillspark.operators.ordering import numbered
 from quillspark.plans import lexicon
 from quillspark.plans.base import query, table
@@ -234,3 +234,17 @@ def half_up_rounding(spark, sf_dir):
 @query("SELECT doc_id, left(sha256(source || chr(31) || coalesce(lang, '')), 32) AS item_id, md5(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g')) AS file_digest FROM documents")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang")).alias("item_id"), F.md5(text.file_id(F.col("text"))).alias("file_digest"))
+
+
+@query(f"""WITH {CALIBRATED} SELECT lemma, part_of_speech, printf('%.6f', round(p, 9)) AS probability_known, classification, total_count::VARCHAR AS total_count, document_count::VARCHAR AS document_count, printf('%.3f', zipf) AS zipf, coalesce(cefr, '') AS cefr_level,
+  printf('%.2f', adj::DOUBLE) AS education_adjustment, CASE tag WHEN 0 THEN 'gk' WHEN 1 THEN 'cet4' WHEN 2 THEN 'cet6' ELSE '' END AS exam_tags, coalesce(response, '') AS direct_response, tier AS importance_tier, (classification = 'important_boundary')::VARCHAR AS important_boundary_protected, '0.70' AS selected_threshold FROM cal""")
+def calibration_text(spark, sf_dir):
+    rows = calibrated(spark, sf_dir).withColumn("probability_known", F.round("probability_known", 9))
+    return export.calibration_text(rows).drop("frequency_prior_probability", "cefr_adjustment", "exam_adjustment")
+
+
+@query(f"""WITH {CALIBRATED} SELECT CASE WHEN classification = 'likely_known' THEN '其他候选' ELSE '个人词表' END AS sheet, lemma AS "词", part_of_speech AS "词性", CASE classification WHEN 'likely_known' THEN '暂不加入' WHEN 'important_boundary' THEN '重要词保护后加入' ELSE '建议加入' END AS "收录状态", tier AS "优先级",
+  printf('%.1f', (floor(round(p, 6) * 1000 + 0.5) / 10)::DOUBLE) || '%' AS "预测掌握度", coalesce(response, '未抽到') AS "30 词回答", document_count::VARCHAR AS "覆盖论文数", total_count::VARCHAR AS "出现次数", '70%' AS "本次阈值" FROM cal""")
+def workbook_sheets(spark, sf_dir):
+    rows = calibrated(spark, sf_dir).withColumns({"probability_known": F.round("probability_known", 6), "display_form": F.col("lemma")})
+    return export.sheets(rows).drop("领域英文释义", "领域中文释义", "论文原句", "论文标题", "论文链接", "论文标识")

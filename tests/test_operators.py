@@ -391,3 +391,18 @@ def test_display_forms_and_expansions(spark):
     pairs = spark.createDataFrame([("LLM", "large language model"), ("LLM", "Large language models"), ("CA", "case studies"), ("CA", "case study"), ("CB", "boxes")], "acronym string, expansion string")
     assert {r.acronym: r.expansions for r in cards.expansions(pairs).collect()} == {"llm": ["large language model"], "ca": ["case study"], "cb": ["boxes"]}
     assert value(spark, cards.means(F.lit("a big language model"), F.lit("Language models"))) is True and value(spark, cards.suggested_sense(F.array(F.lit("Large Language-Model")))) == "large-language-model"
+
+
+def test_json_tags_and_lanes(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n "a": 1,\n "b": "x"\n}')
+    assert files.read_json(spark, str(tmp_path / "one.json"), "a int, b string").first().b == "x"
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r.a for r in files.read_jsonl(spark, str(tmp_path / "l.jsonl"), "a int", strict=True).collect()) == [1, 2]
+    (tmp_path / "t.tsv").write_text("headword\ttags\nRun\tgk x\nrun\tcet4 gk\nb\tzz\n")
+    assert [(r.lemma, r.exam_tags) for r in files.read_exam_tags(spark, str(tmp_path / "t.tsv")).collect()] == [("run", ["cet4", "gk"])]
+    files.write_jsonl(spark.createDataFrame([(2, 1)], "b int, a int"), str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in (tmp_path / "out").glob("*.json")).strip() == '{"a":1,"b":2}'
+    one, two = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(2, "y")], "id int, more string")
+    assert [(r.id, r.more, r.lane) for r in files.lanes(one, two).orderBy("lane").collect()] == [(1, None, 0), (2, "y", 1)]
+    pdf = spark.createDataFrame([(bytearray(b"%PDF-1.7"),), (bytearray(b"<html>"),)], "c binary")
+    assert [r.ok for r in pdf.select(files.is_pdf(F.col("c")).alias("ok")).collect()] == [True, False]
