@@ -328,12 +328,27 @@ def title_token_coverage(spark, sf_dir):
     return d.select("doc_id", discovery.title_evidence(F.col("t"), F.col("h"))[0].alias("coverage"))
 
 
-@query()
+IDENTITY = f"""rec AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'study of ' || array_to_string(list_reverse(list_slice(regexp_extract_all({TITLE}, '[A-Za-z]+'), 1, 9)), ' ') WHEN doc_id % 4 = 1 THEN 'wholly other words here' ELSE {TITLE} END AS title,
+  CASE WHEN doc_id % 5 = 0 THEN '10.1234/x' || doc_id ELSE '' END AS doi, CASE WHEN doc_id % 7 = 0 THEN '2401.' || doc_id ELSE '' END AS arxiv,
+  lower(left(CASE WHEN doc_id % 10 = 0 THEN 'doi 10.1234/x' || doc_id || '. ' WHEN doc_id % 15 = 5 THEN 'see 10.9999/zz9; ' ELSE '' END || CASE WHEN doc_id % 14 = 0 THEN 'arXiv 2401.' || doc_id || ' ' ELSE '' END || text, 12000)) AS head FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+tk AS (SELECT *, regexp_extract_all(lower(title), '[a-z0-9]+') AS t, regexp_extract_all(head, '[a-z0-9]+') AS h, [rtrim(x, '.,;)') for x in regexp_extract_all(head, '10\\.\\d{{4,9}}/[-._;()/:a-z0-9]+')] AS dois FROM rec),
+walk AS (SELECT id, 0 AS i, 0::BIGINT AS p, 0 AS n FROM tk UNION ALL SELECT id, i + 1, CASE WHEN f > 0 THEN p + f ELSE p END, n + (f > 0)::INT FROM (SELECT w.id, i, p, n, coalesce(list_position(h[p + 1:], t[i + 1]), 0) AS f FROM walk w JOIN tk ON tk.id = w.id WHERE i < len(t))),
+ord AS (SELECT id, max(n) AS n FROM walk GROUP BY id),
+ev AS (SELECT tk.*, round(len(list_filter(t, lambda x: list_contains(h, x))) / greatest(len(t), 1), 4) AS cov, round(n / greatest(len(t), 1), 4) AS ordered FROM tk JOIN ord USING (id)),
+why AS (SELECT id, cov, ordered, CASE WHEN doi <> '' AND len(dois) > 0 AND NOT list_contains(dois, doi) THEN 'another doi' WHEN doi <> '' AND contains(head, doi) THEN 'doi' WHEN arxiv <> '' AND contains(head, arxiv) THEN 'arxiv_id'
+  WHEN len(t) > 0 AND contains(array_to_string(h, ' '), array_to_string(t, ' ')) OR len(t) >= 4 AND cov >= 0.9 AND ordered >= 0.8 THEN 'title' ELSE 'mismatch' END AS reason FROM ev)"""
+
+
+@query(f"WITH RECURSIVE {IDENTITY} SELECT id, reason IN ('doi', 'arxiv_id', 'title') AS verified, reason, cov AS title_token_coverage, ordered AS ordered_title_coverage FROM why")
 def title_identity_check(spark, sf_dir):
-    """Whether a text's head bears out its title: exact, or four tokens with 90% met, 80% in order."""
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    d = documents(spark, sf_dir).select("doc_id", tokens("title").alias("t"), tokens(F.substring("text", 1, 12_000)).alias("h"))
-    coverage, ordered = discovery.title_evidence(F.col("t"), F.col("h"))
-    exact = (F.size("t") > 0) & F.contains(F.array_join("h", " "), F.array_join("t", " "))
-    match = exact | ((F.size("t") >= 4) & (coverage >= 0.9) & (ordered >= 0.8))
-    return d.select("doc_id", coverage.alias("title_token_coverage"), ordered.alias("ordered_title_coverage"), match.alias("verified"))
+    """Whether texts, with a DOI or arXiv id put before some, bear out records with titles of their own, turned round, or others."""
+    d = F.col("doc_id")
+    s = d.cast("string")
+    text_, first = F.coalesce("text", F.lit("")), F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    turned = F.concat(F.lit("study of "), F.array_join(F.reverse(F.slice(F.regexp_extract_all(first, F.lit("([A-Za-z]+)"), F.lit(1)), 1, 9)), " "))
+    title = F.when(d % 4 == 0, turned).when(d % 4 == 1, "wholly other words here").otherwise(first)
+    front = F.when(d % 10 == 0, F.concat(F.lit("doi 10.1234/x"), s, F.lit(". "))).when(d % 15 == 5, "see 10.9999/zz9; ").otherwise("")
+    arxiv = F.concat(F.lit("2401."), s)
+    front = F.concat(front, F.when(d % 14 == 0, F.concat(F.lit("arXiv "), arxiv, F.lit(" "))).otherwise(""))
+    records = table(spark, sf_dir, "documents").select(d.alias("id"), title.alias("title"), F.when(d % 5 == 0, F.concat(F.lit("https://doi.org/10.1234/X"), s)).alias("doi"), F.when(d % 7 == 0, arxiv).alias("arxiv_id"), F.concat(front, text_).alias("text"))
+    return discovery.identity_check(records)

@@ -9,13 +9,27 @@ from quillspark.sources import files
 from quillspark.streaming import reviews
 
 
-@query()
+def _without(sql: str) -> str:
+    """SQL of a page without the elements that are not read."""
+    for tag in ("script", "style", "noscript", "svg", "form", "nav", "footer"):
+        sql = f"regexp_replace({sql}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'g')"
+    return sql
+
+
+#: Readable text of well-formed pages, for the character references that the tables hold.
+READABLE = f"""bare AS (SELECT page_id, html, regexp_replace({_without("regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')")}, '>\\s+<', '><', 'g') AS h FROM pages),
+cut AS (SELECT page_id, html, regexp_replace(regexp_replace(h, '(?i)</?(p|h[1-6]|li|blockquote|article)(\\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM bare),
+plain AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&amp;', '&') AS t FROM cut),
+readable AS (SELECT page_id, html, array_to_string(list_filter([trim(regexp_replace(x, '\\s+', ' ', 'g')) for x in string_split(t, chr(10))], lambda x: x <> ''), chr(10) || chr(10)) AS text FROM plain)"""
+
+
+@query(f"WITH {READABLE} SELECT page_id, text FROM readable")
 def html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", files.html_text("html").alias("text"))
 
 
-@query()
+@query(f"WITH {READABLE} SELECT page_id, text, len(regexp_extract_all(text, '\\S+'))::INT AS word_count FROM readable WHERE octet_length(encode(html)) <= 104857600 AND len(regexp_extract_all(text, '\\S+')) >= 200")
 def fetched_pages(spark, sf_dir):
     return files.fetched(table(spark, sf_dir, "pages"))
 
