@@ -1,12 +1,14 @@
-"""The queries of the ten operators, one opN_<name> each, and their SQL where it can say them."""
+"""The queries of the operators, one opN_<name> each, and their SQL where it can say them."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprint, html_extract, langid, mixing, ngram_join, packing, token_files, topk, toxicity, warc
+from quillspark.llm import decontaminate, fingerprint, html_extract, langid, mixing, ngram_join, packing, periodic_runs, token_files, topk, toxicity, vector_codes, warc
 from quillspark.llm.sql import SQL
 from quillspark.shared import deleted, new_path, written
 
@@ -69,6 +71,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.coded(table(spark, sf_dir, "embeddings"))
+    whole = hashlib.sha256(vector_codes.listing(books).encode()).hexdigest()
+    return vector_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(whole).alias("codebooks_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
