@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import lexicon as lx
+from quillspark.operators import segmentation
 from quillspark.plans.base import query, table
 from quillspark.shared import written
 
@@ -176,6 +177,25 @@ def spelling_suggestions(spark, sf_dir):
     return lx.spelling_suggestions(lx.orthography_queue(vocab(spark, sf_dir), words), words)
 
 
+#: Cuts of all lengths to each place of a word, in rounds over the places; the best so far are lists of a row per word.
+SEGMENTS = f"""queue AS (SELECT lemma, replace(lemma, '-', '') AS w FROM vocab WHERE lemma NOT IN (SELECT term FROM lex)), longest AS (SELECT max(length(term)) AS l FROM lex),
+parts AS (SELECT lemma, z, n, frequency FROM (SELECT lemma, w, n, unnest(generate_series(1, length(w) - n + 1)) AS z FROM queue, (SELECT DISTINCT length(term) AS n FROM lex) WHERE length(w) >= n)
+  JOIN lex ON term = substr(w, z, n)),
+known AS (SELECT lemma, map(list((z - 1) * 1000 + n), list(round(log10(frequency / {segmentation.CORPUS}.0), 9))) AS k FROM parts GROUP BY lemma),
+cut AS (SELECT lemma, w, k, l, 0 AS z, [{{d: 0, p: 0.0::DOUBLE, s: ''}}] AS best FROM queue LEFT JOIN known USING (lemma), longest WHERE w <> ''
+  UNION ALL SELECT lemma, w, k, l, z + 1, list_append(best, list_reduce(list_transform(generate_series(greatest(0, z + 1 - l), z), lambda j: {{
+    d: best[j + 1].d + (CASE WHEN j > 0 THEN 1 ELSE 0 END) + CASE WHEN map_extract(k, j * 1000 + z + 1 - j)[1] IS NULL THEN z + 1 - j ELSE 0 END,
+    p: best[j + 1].p + coalesce(map_extract(k, j * 1000 + z + 1 - j)[1], round(1.0 - log10({segmentation.CORPUS}.0) - (z + 1 - j), 9)),
+    s: best[j + 1].s || (CASE WHEN j > 0 THEN ' ' ELSE '' END) || substr(w, j + 1, z + 1 - j)}}),
+    lambda a, b: CASE WHEN b.d < a.d OR ((b.d = a.d OR b.d - 1 = a.d) AND a.p < b.p) THEN b ELSE a END)) FROM cut WHERE z < length(w))"""
+
+
+@query(f"WITH RECURSIVE {VOCAB}, {LEXICON}, {SEGMENTS} SELECT lemma, best[z + 1].s AS segmentation_suggestion, best[z + 1].d::BIGINT AS segmentation_distance_sum FROM cut WHERE z = length(w)")
+def segmentation_suggestions(spark, sf_dir):
+    words = spelling_lexicon(spark, sf_dir)
+    return segmentation.segmentations(lx.orthography_queue(vocab(spark, sf_dir), words), words)
+
+
 @query(f"""WITH {COUNTS}, decided AS (SELECT doc_id, CASE WHEN lemma LIKE '%s' THEN left(lemma, length(lemma) - 1) ELSE lemma END AS lemma, n FROM counts WHERE lemma NOT LIKE 'th%' AND length(lemma) > 2),
 facts AS (SELECT doc_id, lemma, sum(n)::BIGINT AS n FROM decided GROUP BY ALL), {vocab_sql('facts')} SELECT * FROM vocab""")
 def orthography_merge(spark, sf_dir):
