@@ -11,14 +11,23 @@ from quillspark.plans.base import query
 from quillspark.plans.lexicon import LEXICON, TERMS, VOCAB, documents, spelling_lexicon, terms, vocab
 from quillspark.shared import written
 
-R, B = contexts.REACH, r"[^\p{L}\p{N}_]"
-#: The longest part between sentence marks around each term, by the pattern of its words on every sentence that holds it.
+R, WORDS_OF = contexts.REACH, r"([\p{L}\p{N}_]+)"
+
+
+def marked(sql: str) -> str:
+    """SQL of a text in lower case with marks around each word, so that whole words are found as plain parts."""
+    return f"regexp_replace(lower({sql}), '{WORDS_OF}', chr(2) || '\\1' || chr(3), 'g')"
+
+
+#: The longest part between sentence marks around each term, looked for on each sentence that has the term's words in their order.
 CONTEXTS = rf"""said AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS sent FROM
   (SELECT doc_id, regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '[^.!?]*[.!?]') AS s FROM documents)),
-toks AS (SELECT DISTINCT doc_id, sent, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+')) AS token FROM said),
-met AS (SELECT doc_id, sent, sentence, term, greatest(0, length(sentence) - 1 - {R} - length(term)) AS low FROM terms JOIN toks ON token = string_split(replace(replace(term, '-', ' '), chr(39), ' '), ' ')[1] JOIN said USING (doc_id, sent)),
-tails AS (SELECT *, CASE WHEN low > 0 THEN sentence[low:] ELSE ' ' || sentence END AS tail FROM met WHERE contains(lower(sentence), term)),
-placed AS (SELECT *, greatest(0, low - 1) + length(regexp_extract(tail, '(?is)^(.*?{B})' || term || '(?:{B}|$)', 1)) - CASE WHEN low > 0 THEN 0 ELSE 1 END AS place FROM tails WHERE regexp_matches(tail, '(?is){B}' || term || '(?:{B}|$)')),
+keyed AS (SELECT term, {marked("term")} AS mark, regexp_extract_all(term, '{WORDS_OF}') AS w FROM terms),
+toks AS (SELECT doc_id, sent, regexp_extract_all(lower(sentence), '{WORDS_OF}') AS w FROM said),
+ngs AS (SELECT DISTINCT doc_id, sent, array_to_string(w[i:i + k - 1], ' ') AS key FROM (SELECT doc_id, sent, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM toks, (SELECT DISTINCT len(w) AS k FROM keyed) WHERE len(w) >= k)),
+met AS (SELECT doc_id, sent, sentence, term, mark, greatest(0, length(sentence) - 1 - {R} - length(term)) AS low FROM ngs JOIN keyed ON key = array_to_string(w, ' ') JOIN said USING (doc_id, sent)),
+tails AS (SELECT *, CASE WHEN low > 0 THEN ltrim({marked("sentence[low:]")}, chr(2)) ELSE {marked("sentence")} END AS tail FROM met),
+placed AS (SELECT *, greatest(0, low - 1) + length(replace(replace(left(tail, strpos(tail, mark) - 1), chr(2), ''), chr(3), '')) AS place FROM tails WHERE contains(tail, mark)),
 parts AS (SELECT doc_id, sent, term, trim(sentence[greatest(0, place - {R}) + 1:], ' ') AS context FROM placed),
 contexts AS (SELECT doc_id, term, arg_max(context, (length(context), -sent)) AS context FROM parts GROUP BY ALL)"""
 

@@ -14,10 +14,15 @@ DELIVERIES = 4
 
 
 def scans(events: DataFrame) -> DataFrame:
-    """Events as scans: purchases recommend a user, errors are failed attempts, all others find one."""
+    """Events as scans: purchases recommend a user's day, errors are failed attempts, all others find one."""
     kind = F.when(F.col("event_type") == "purchase", "recommended").when(F.col("event_type") == "error", "failed").otherwise("found")
     metadata = F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).otherwise(F.col("props"))
-    return events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("lane"), kind.alias("kind"), F.col("user_id").cast("string").alias("identity"), F.col("ts").cast("timestamp").alias("at"), metadata.alias("metadata"))
+    return events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("lane"), kind.alias("kind"), F.concat_ws("@", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("identity"), F.col("ts").cast("timestamp").alias("at"), metadata.alias("metadata"))
+
+
+#: All at once what increments fold one by one: a user's day is closed by its first purchase after a find.
+FOLD = """e AS (SELECT *, user_id || '@' || strftime(ts, '%Y-%m-%d') AS identity FROM events), c AS (SELECT * FROM e WHERE event_type IN ('view', 'click', 'signup')),
+f AS (SELECT identity, min(event_id) AS f FROM c GROUP BY identity), b AS (SELECT identity, min(event_id) AS brief FROM e JOIN f USING (identity) WHERE event_type = 'purchase' AND event_id > f GROUP BY identity)"""
 
 
 def delivered(spark: SparkSession, sf_dir: str) -> str:
@@ -33,10 +38,8 @@ def delivered(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-@query("""WITH c AS (SELECT * FROM events WHERE event_type IN ('view', 'click', 'signup')), f AS (SELECT user_id, min(event_id) AS f FROM c GROUP BY user_id),
-b AS (SELECT user_id, min(event_id) AS brief FROM events JOIN f USING (user_id) WHERE event_type = 'purchase' AND event_id > f GROUP BY user_id)
-SELECT user_id::VARCHAR AS identity, epoch_us(min(ts)) AS first_us, epoch_us(arg_max(ts, event_id)) AS discovered_us, arg_max(props, event_id) AS metadata, max(brief)::VARCHAR AS recommended_brief_id
-FROM c LEFT JOIN b USING (user_id) WHERE brief IS NULL OR event_id < brief GROUP BY user_id""")
+@query(f"""WITH {FOLD} SELECT identity, epoch_us(min(ts)) AS first_us, epoch_us(arg_max(ts, event_id)) AS discovered_us, arg_max(props, event_id) AS metadata, max(brief)::VARCHAR AS recommended_brief_id
+FROM c LEFT JOIN b USING (identity) WHERE brief IS NULL OR event_id < brief GROUP BY identity""")
 def incremental_discovery(spark, sf_dir):
     """What is known after events came in several deliveries, each merged into a committed version."""
     store = increments.known(spark, delivered(spark, sf_dir))
@@ -44,10 +47,8 @@ def incremental_discovery(spark, sf_dir):
     return store.read().select("identity", micros("first_at").alias("first_us"), micros("discovered_at").alias("discovered_us"), "metadata", "recommended_brief_id")
 
 
-@query("""WITH c AS (SELECT * FROM events WHERE event_type IN ('view', 'click', 'signup')), f AS (SELECT user_id, min(event_id) AS f FROM c GROUP BY user_id),
-b AS (SELECT DISTINCT user_id FROM events JOIN f USING (user_id) WHERE event_type = 'purchase' AND event_id > f),
-l AS (SELECT user_id, arg_max(ts, event_id)::DATE AS d FROM c WHERE user_id NOT IN (SELECT user_id FROM b) GROUP BY user_id), n AS (SELECT max(ts)::DATE AS now FROM events)
-SELECT user_id::VARCHAR AS identity, CASE WHEN d >= now - 2 THEN 'new' WHEN d >= now - 7 THEN 'recent' ELSE 'classic' END AS tier FROM l, n""")
+@query(f"""WITH {FOLD}, l AS (SELECT identity, arg_max(ts, event_id)::DATE AS d FROM c WHERE identity NOT IN (SELECT identity FROM b) GROUP BY identity), n AS (SELECT max(ts)::DATE AS now FROM events)
+SELECT identity, CASE WHEN d >= now - 2 THEN 'new' WHEN d >= now - 7 THEN 'recent' ELSE 'classic' END AS tier FROM l, n""")
 def discovery_pool(spark, sf_dir):
     """The pool that is shown again after the last scan: what no brief has taken, of three weeks of freshness tiers."""
     store = increments.known(spark, delivered(spark, sf_dir))
