@@ -17,9 +17,9 @@ PAGE_NUMBER = r"^(?i)(?:page\s+)?\d+(?:\s+of\s+\d+)?$"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, page, no and line of each text: pages end with a form feed; no counts on over pages, both from 0."""
+    """doc_id, page, no and line of each normalised text: pages end with a form feed; no counts on over pages, both from 0."""
     page = lambda p, i: F.transform(F.split(p, "\n"), lambda x: F.struct(i.alias("page"), x.alias("line")))
-    all_lines = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\f"), page))
+    all_lines = F.flatten(F.transform(F.split(text.normalised(F.coalesce("text", F.lit(""))), "\f"), page))
     return docs.select("doc_id", F.posexplode(all_lines).alias("no", "_l")).select("doc_id", "_l.page", "no", "_l.line")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
 from quillspark.operators.ordering import numbered
+from quillspark.operators.search import containing, near_words
 
 
 def due_queue(items: DataFrame, sources: DataFrame, as_of: Column, limit: int = 100) -> DataFrame:
@@ -102,38 +103,17 @@ def violations(candidates: DataFrame, decisions: DataFrame, key: str = "id", kno
     return both.select(key, why.alias("violation")).where("violation is not null")
 
 
-def spread(words: DataFrame, column: str, distance: int, *keep: str) -> DataFrame:
-    """Rows of words for each of their variants (_v) with up to `distance` letters deleted."""
-    out = F.array(F.col(column))
-    for _ in range(distance):
-        shorter = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-        out = F.array_distinct(F.concat(out, shorter))
-    return words.select(column, *keep, F.explode(out).alias("_v"))
-
-
-def parts_of(words: DataFrame, column: str) -> DataFrame:
-    """Rows of words for each of their substrings (_v)."""
-    n = F.length(column)
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(column), i, k))))
-    return words.where(n > 0).select(column, F.explode(F.array_distinct(cut)).alias("_v"))
-
-
 def fuzzy_search(names: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, name) of normalised names that have for each word of a query one like it.
 
     Like: containing it, contained in it, or of a Levenshtein distance of 1 (4 letters and
-    more) or 2 (8 and more). Words meet by equality, of substrings and of deletion variants,
-    so that neither names nor queries are a nested loop.
+    more) or 2 (8 and more). Words meet by equality, of runs of letters and of deletion
+    variants, so that neither names nor queries are a nested loop.
     """
     asked = queries.select("query", F.explode(F.array_distinct(F.filter(F.split("query", " "), lambda t: t != ""))).alias("q"))
     held = names.select("name", F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda t: t != ""))).alias("token"))
-    q, t = asked.select("q").distinct(), held.select("token").distinct()
-    met = parts_of(t, "token").join(q, F.col("_v") == F.col("q")).select("q", "token")
-    met = met.union(parts_of(q, "q").join(t, F.col("_v") == F.col("token")).select("q", "token"))
-    allowed = F.when(F.length("q") >= 8, 2).when(F.length("q") >= 4, 1).otherwise(0)
-    near = spread(q, "q", 2).join(spread(t, "token", 2), "_v").select("q", "token").distinct()
-    near = near.where((F.abs(F.length("q") - F.length("token")) <= allowed) & (F.levenshtein("q", "token") <= allowed))
-    met = met.union(near).distinct()
+    met = containing(asked, "q", held, "token").union(containing(held, "token", asked, "q").select("q", "token"))
+    met = met.union(near_words(asked, held.withColumnRenamed("token", "word"))).distinct()
     hits = asked.join(met, "q").join(held, "token").select("query", "q", "name").distinct()
     needed = asked.groupBy("query").agg(F.count(F.lit(1)).alias("_needed"))
     found = hits.groupBy("query", "name").agg(F.count(F.lit(1)).alias("_found")).join(needed, "query")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
-from quillspark.operators.learning import spread
+from quillspark.operators.search import near_pairs
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -188,14 +188,13 @@ def orthography_queue(vocab: DataFrame, lexicon: DataFrame) -> DataFrame:
 def spelling_suggestions(words: DataFrame, lexicon: DataFrame, distance: int = 2, most: int = 5) -> DataFrame:
     """Lexicon terms (term, frequency) within an edit distance of each lemma, nearest and most frequent first.
 
-    Both sides are spread over their variants with up to `distance` letters deleted, and
-    meet where a variant is the same (Garbe's symmetric deletes); the distance is then
-    worked out. So no lemma meets the whole lexicon.
+    Words and terms meet where variants of both with letters deleted are the same (Garbe's
+    symmetric deletes), long ones by their pieces; the distance is then worked out. So no
+    lemma meets the whole lexicon, and a lemma longer than its longest term by more than the
+    distance meets none.
     """
-
-    a, b = spread(words.select("lemma").distinct(), "lemma", distance), spread(lexicon, "term", distance, "frequency")
-    near = a.join(b, "_v").select("lemma", "term", "frequency").distinct()
-    near = near.withColumn("edit_distance", F.levenshtein("lemma", "term")).where(F.col("edit_distance") <= distance)
+    near = near_pairs(lexicon, "term", words, "lemma", distance).join(lexicon.select("term", "frequency"), "term").select("lemma", "term", "frequency")
+    near = near.withColumn("edit_distance", F.levenshtein("lemma", "term"))
     rank = F.row_number().over(Window.partitionBy("lemma").orderBy("edit_distance", F.desc("frequency"), "term"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -406,3 +406,16 @@ def test_json_tags_and_lanes(spark, tmp_path):
     assert [(r.id, r.more, r.lane) for r in files.lanes(one, two).orderBy("lane").collect()] == [(1, None, 0), (2, "y", 1)]
     pdf = spark.createDataFrame([(bytearray(b"%PDF-1.7"),), (bytearray(b"<html>"),)], "c binary")
     assert [r.ok for r in pdf.select(files.is_pdf(F.col("c")).alias("ok")).collect()] == [True, False]
+
+
+def test_signs_are_normalised_before_lines_are_judged(spark):
+    body = ["Abstract: of it", "Conﬁdence Intervals", "plain text line.", "ﬁgure 1. same", "more text.", "ﬁgure 2. same", "tail­end", "Acknowl­edgments", "thanks.", "Results", "last.", "References", "gone"]
+    for end in ("\n", "\r\n", "\r"):
+        docs = spark.createDataFrame([(1, end.join(body))], "doc_id long, text string")
+        got = [r.line for r in cleaning.clean(cleaning.lines(docs)).orderBy("no").collect()]
+        assert got == ["of it", "Confidence Intervals", "plain text line.", "figure 1. same", "more text.", "tailend", "Results", "last."]
+
+
+def test_readable_page():
+    page = "<p>One <b>two</b></p><nav>no<p>no</nav></footer>three<li>four<script>if (a < b) no</script> &amp; five<form><form>no</form>no</form>six<h2> </h2>"
+    assert files.readable(page) == "One two\n\nthree\n\nfour & five six".replace(" six", "six") and files.readable(None) == files.readable("<svg>x") == ""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.streaming import increments, snapshots
+from quillspark.streaming import increments, sessions, snapshots
 from quillspark.streaming.snapshots import Snapshots
 
 T0 = dt.datetime(2024, 1, 1)
@@ -145,3 +145,53 @@ def test_resumed_jobs(spark):
     outcomes = spark.createDataFrame([("a", True, 1), ("b", True, 1), ("b", False, 2), ("gone", True, 1)], "candidate_id string, valid boolean, at long")
     left, stand = increments.resumed(jobs, outcomes)
     assert sorted(r[0] for r in left.collect()) == ["b", "c"] and [tuple(r) for r in stand.collect()] == [("a", True, 1)]
+
+
+# ---- calibration sessions
+
+
+def event(seq, kind="answer", snapshot="v1", revision=None, lemma=None, response="known", percent=None, session="s"):
+    return (session, seq, kind, snapshot, revision, lemma, response if kind == "answer" else None, percent)
+
+
+def outcomes(spark, tmp_path, *batches):
+    """Outcomes by session and seq of events that come in several micro-batches, the stream stopped between two."""
+    sessions.state_store(spark)
+    folder = f"{tmp_path}/events"
+    got = []
+    for rows in batches:
+        spark.createDataFrame(list(rows), sessions.EVENT).coalesce(1).write.mode("append").parquet(folder)
+        stream = sessions.sessions(spark.readStream.schema(sessions.EVENT).parquet(folder))
+        out = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True)
+        out.foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
+    return {(r.session_id, r.seq): r for r in got}
+
+
+def test_session(spark, tmp_path):
+    first = [event(1, lemma="a", revision=0), event(2, lemma="a"), event(3, lemma="b", revision=0), event(4, lemma="b", response="unsure", revision=1), event(5, lemma="c", response="maybe"), event(6, "threshold", percent=60), event(7, "threshold", percent=80), event(8, "shrug"), event(1, lemma="z", session="t")]
+    second = [event(10, lemma="c", response="unknown", revision=2), event(11, lemma="c", response="unknown", revision=3), event(12, lemma="d", snapshot="v2"), event(13, lemma="a", snapshot="v2", revision=9), event(14, "reset", snapshot="v2", revision=1)]
+    got = outcomes(spark, tmp_path, first, second)
+    said = [got["s", n].outcome for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14)]
+    assert said == ["taken", "repeated", "stale", "taken", "invalid", "invalid", "taken", "invalid", "stale", "taken", "begun anew", "stale", "taken"]
+    assert tuple(got["s", 11])[3:] == (4, 3, 1, 1, 1, 80, False) and tuple(got["s", 12])[3:] == (1, 1, 1, 0, 0, 90, False) and tuple(got["s", 14])[3:] == (2, 0, 0, 0, 0, 90, False)
+    assert got["t", 1].answered == 1
+
+
+def test_whole_session(spark, tmp_path):
+    rows = [event(n, lemma=f"w{n}", response=sessions.RESPONSES[n % 3], revision=n) for n in range(31)]
+    got = outcomes(spark, tmp_path, rows[:11], rows[11:])
+    assert got["s", 29].complete and not got["s", 28].complete and got["s", 30].outcome == "complete" and got["s", 30].revision == 30
+    assert (got["s", 29].known, got["s", 29].unknown, got["s", 29].unsure) == (10, 10, 10)
+
+
+def test_loadable(spark):
+    good = [(f"w{i}", "known") for i in range(30)]
+    rows = [("good", good, 1, 1, 1), ("short", good[1:], 1, 1, 1), ("none", None, 1, 1, 1), ("odd", good[1:] + [("x", "?")], 1, 1, 1), ("twice", good[1:] + [good[1]], 1, 1, 1), ("bare", good, 1, None, 1)]
+    df = spark.createDataFrame(rows, "session_id string, answers array<struct<lemma:string,response:string>>, counts int, threshold int, importance int")
+    assert {r.session_id: r.violation for r in sessions.loadable(df).collect()} == {"good": None, "short": "answers incomplete", "none": "answers incomplete", "odd": "no such answer", "twice": "a word answered twice", "bare": "result incomplete"}
+
+
+def test_snapshot_hash(spark):
+    h = lambda *rows: sessions.snapshot_hash(spark.createDataFrame(list(rows), "lemma string, n int")).first()[0]
+    assert h(("a", 1), ("b", 2)) == h(("b", 2), ("a", 1)) != h(("a", 1)) != h(("a", 1), ("a", 1))
+    assert h((None, 1)) != h(("", 1)) and h() == "0:" + "0" * 64
