@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import model, text
-from quillspark.operators import calibration, export, learning
+from quillspark.operators import calibration, export, learning, search
 from quillspark.operators.ordering import numbered
 from quillspark.plans import lexicon
 from quillspark.plans.base import query, table
@@ -218,6 +218,27 @@ def fuzzy_term_search(spark, sf_dir):
     return found.groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("name").alias("first_name"))
 
 
+#: DuckDB's edit distance counts bytes: letters of several bytes become capitals, which lower-case words do not have.
+BYTES = "translate({0}, 'äöüßéèêëçñóíúáàâîïôûù', 'ABCDEFGHIJKLMNOPQRSTU')"
+SEARCHED = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {SEARCHED.format("split_part(text, chr(10), 1)")} AS f FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+q AS (SELECT DISTINCT w[1] || ' ' || w[2] AS query FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) WHERE len(w) >= 2),
+k AS (SELECT query, unnest(list_distinct(string_split(lower(query), ' '))) AS q FROM q), w AS (SELECT DISTINCT id, unnest(string_split(f, ' ')) AS w FROM t WHERE f <> ''),
+hit AS (SELECT query, q, id FROM k JOIN t ON contains(f, q) UNION SELECT query, q, id FROM k JOIN w ON length(q) >= 4 AND abs(length(w) - length(q)) <= CASE WHEN length(q) >= 8 THEN 2 ELSE 1 END AND levenshtein({BYTES.format('w')}, {BYTES.format('q')}) <= CASE WHEN length(q) >= 8 THEN 2 ELSE 1 END),
+every AS (SELECT query, id FROM hit GROUP BY query, id HAVING count(*) = (SELECT count(*) FROM k b WHERE b.query = hit.query))
+SELECT query, id FROM every UNION SELECT query, id FROM q JOIN t ON contains(f, lower(query))""")
+def library_search(spark, sf_dir):
+    """Titles of good documents that the first two words of each benchmark item find, as a search box would."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    title = F.element_at(F.split("text", "\n"), 1)
+    items = docs.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("other").alias("status"), F.array(title).alias("fields"))
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    asked = table(spark, sf_dir, "benchmark").select(words.alias("w")).where("size(w) >= 2").select(F.concat_ws(" ", F.get("w", 0), F.get("w", 1)).alias("query"))
+    return search.library(items, asked, "good")
+
+
 @query("""WITH t AS (SELECT conv_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations)
 SELECT count(DISTINCT conv_id) AS briefs, count(*) AS items, sum(w)::BIGINT AS words, sum(greatest(1, round_even(w / 180, 0)))::BIGINT AS minutes FROM t""")
 def brief_metrics(spark, sf_dir):

@@ -91,9 +91,9 @@ s AS (SELECT session_id, 0::BIGINT AS r, NULL::BIGINT AS seq, NULL::VARCHAR AS o
 len(list_filter(answers, lambda x: x.a = 'unknown'))::BIGINT AS unknown, len(list_filter(answers, lambda x: x.a = 'unsure'))::BIGINT AS unsure, pct AS percent, len(answers) = 30 AS complete FROM s WHERE r > 0""")
 def calibration_sessions(spark, sf_dir):
     """The outcome of every event of every user's calibration session, kept by a stream."""
-    sessions.state_store(spark)
     events = session_events(reviews.event_stream(spark, sf_dir))
-    return reviews.drained(sessions.sessions(events), "sessions", "update").drop("epoch")
+    with sessions.state_store(spark):
+        return reviews.drained(sessions.sessions(events), "sessions", "update").drop("epoch")
 
 
 SNAPSHOT = " || ".join(f"lpad(lower(hex(coalesce(sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT) % 4294967296, 0)::BIGINT)), 8, '0')" for k in range(8))

@@ -8,9 +8,10 @@ every change raises, and the threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -117,9 +118,16 @@ def sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").transformWithStateInPandas(statefulProcessor=_Sessions(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
-def state_store(spark) -> None:
-    """Keep the state of streams that begin from now on in RocksDB."""
-    spark.conf.set(*ROCKS)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that begin inside keep their state in RocksDB."""
+    name, value = ROCKS
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def loadable(results: DataFrame) -> DataFrame:

@@ -156,14 +156,14 @@ def event(seq, kind="answer", snapshot="v1", revision=None, lemma=None, response
 
 def outcomes(spark, tmp_path, *batches):
     """Outcomes by session and seq of events that come in several micro-batches, the stream stopped between two."""
-    sessions.state_store(spark)
     folder = f"{tmp_path}/events"
     got = []
     for rows in batches:
         spark.createDataFrame(list(rows), sessions.EVENT).coalesce(1).write.mode("append").parquet(folder)
         stream = sessions.sessions(spark.readStream.schema(sessions.EVENT).parquet(folder))
         out = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True)
-        out.foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
+        with sessions.state_store(spark):
+            out.foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
     return {(r.session_id, r.seq): r for r in got}
 
 
