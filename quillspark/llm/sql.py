@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries whose rows it can say in full."""
+"""DuckDB SQL for those of the queries whose rows it can say in full."""
 
 from __future__ import annotations
 
@@ -42,4 +42,35 @@ line AS (SELECT d.doc_id, d.size, t.source_size, t.target, take.words, take.take
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN take ON take.source IS NOT DISTINCT FROM d.source AND take.shard = mark % parts)
 SELECT doc_id, size, source_size, target, (CASE WHEN words > 0 THEN take // words * size + greatest(0, least(size, take % words - before)) ELSE 0 END)::BIGINT AS taken FROM line"""
 
-SQL = {"op3_warc": OP3, "op4_ngram_join": OP4, "op6_mixing": OP6}
+OP11 = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + 9], ' ') AS key FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM items WHERE len(w) > 0)),
+met AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS key FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)) JOIN windows USING (k, key)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS j FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _codes() -> str:
+    """Four rounds of assignment and of means, a few common tables each."""
+    near = """a{0} AS (SELECT vec_id, label, part, v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT k.*, entry, list_sum(list_transform(generate_series(1, len(v)), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+  FROM cut k JOIN b{0} USING (part)) GROUP BY ALL)"""
+    mean = """m{0} AS (SELECT part, entry, y, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS y FROM a{0}) GROUP BY ALL),
+b{1} AS (SELECT part, entry, coalesce(n, c) AS c FROM b{0} LEFT JOIN (SELECT part, entry, list(x ORDER BY y) AS n FROM m{0} GROUP BY ALL) USING (part, entry))"""
+    steps = [near.format(0)]
+    for k in range(4):
+        steps += [mean.format(k, k + 1), near.format(k + 1)]
+    return ",\n".join(steps)
+
+
+OP12 = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+size AS (SELECT max(len(w)) // 4 AS s FROM kept), cut AS (SELECT vec_id, label, part, w[part * s + 1:part * s + s] AS v FROM kept, size, (SELECT unnest([0, 1, 2, 3]) AS part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)),
+{_codes()},
+whole AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4),
+coded AS (SELECT vec_id, label, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, whole"""
+
+SQL = {"op3_warc": OP3, "op4_ngram_join": OP4, "op6_mixing": OP6, "op11_decontamination": OP11, "op12_vector_codes": OP12}
