@@ -87,6 +87,19 @@ def title_excluded(title: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, p: a | key.startswith(text.title_key(F.lit(p))), prefixes, F.lit(False))
 
 
+def excluded_titles(titles: DataFrame, prefixes: DataFrame, key: str = "id") -> DataFrame:
+    """The ids of titles (id, title) whose key starts with that of any prefix (prefix), from a table of them.
+
+    A title meets prefixes by its own starts, of the lengths that prefixes have; an empty
+    prefix excludes all.
+    """
+    heads = prefixes.select(text.title_key(F.col("prefix")).alias("_p")).distinct()
+    lengths = sorted(r[0] for r in heads.select(F.length("_p")).distinct().collect())  # no more than letters of the longest
+    own = titles.select(key, text.title_key(F.col("title")).alias("_t"))
+    starts = own.select(key, "_t", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).where(F.length("_t") >= F.col("_n"))
+    return starts.select(key, F.substring(F.col("_t"), F.lit(1), F.col("_n")).alias("_p")).join(heads, "_p", "left_semi").select(key).distinct()
+
+
 def candidates(records: DataFrame, prefixes: list[str], keyed: bool = False) -> DataFrame:
     """Flat records that can be fetched (an open PDF, an arXiv id, or with a key the provider's own copy) and whose title is not excluded, with their routes."""
     urls = F.transform(F.filter("oa_locations", lambda x: x["pdf_url"].rlike("^https?://")), lambda x: F.regexp_replace(x["pdf_url"], "^http://", "https://"))
