@@ -35,8 +35,8 @@ class Encoder(dict):
 
     The vocabulary's pre-tokens never span white space and drop it, so a text's ids are
     its words' ids in order. A plain word goes to the library's BPE model directly; any
-    other goes through the library's whole pipeline. Strings of special tokens in a text
-    are ordinary text.
+    other goes through the library's whole pipeline. A text that holds the string of an
+    added token goes through it as a whole, so that such a string is that token.
     """
 
     def __init__(self, path: str):
@@ -45,9 +45,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.added = [x["content"] for x in said.get("added_tokens") or []]
         steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"]
         self.model = self.tokenizer.model if self.by_word else None
@@ -89,7 +89,7 @@ class Encoder(dict):
         """Packed ids of a whole text; none for a null or empty one."""
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or any(x in text for x in self.added):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self) > CACHED:
             self.clear()

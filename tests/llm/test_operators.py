@@ -33,7 +33,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(word_bpe())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
