@@ -22,11 +22,12 @@ def unit(v: Column) -> Column:
 def exact_duplicates(docs: DataFrame, key: str = "title_key", words: str = "words", order: str = "doc_id") -> DataFrame:
     """doc_id, decision and duplicate_of: of documents with one key the one of most words, then the first, stays.
 
-    With one kind of key the greedy rule is a rank; documents without a key all stay.
+    With one kind of key the greedy rule is a least place; documents without a key all stay.
     """
     own = F.when(F.col(key) == "", F.concat(F.lit("-"), F.col(order).cast("string"))).otherwise(F.concat(F.lit("+"), F.col(key)))
-    best = F.first(order).over(Window.partitionBy("_k").orderBy(F.desc(words), order))
-    out = docs.withColumn("_k", own).withColumn("_best", best)
+    keyed = docs.withColumn("_k", own)
+    best = keyed.groupBy(F.col("_k").alias("_key")).agg(F.min(F.struct(F.col(words).isNull(), -F.col(words), order)).alias("_b"))  # a title may stand in very many documents
+    out = keyed.join(best, F.col("_k") == F.col("_key")).withColumn("_best", F.col(f"_b.{order}"))
     again = F.col("_best") != F.col(order)
     return out.select(order, F.when(again, "duplicate").otherwise("include").alias("decision"), F.when(again, F.col("_best")).alias("duplicate_of"))
 

@@ -274,13 +274,17 @@ def merged_download_routes(spark, sf_dir):
     return merging.merged_routes(routes.select("order", "no", F.coalesce("source", F.lit("-")).alias("provider"), url.alias("url")), merging.merge_groups(c))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[A-Za-z]+')) DESC, doc_id) AS i,
+@query(f"""WITH RECURSIVE a AS (SELECT doc_id, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[A-Za-z]+')) DESC, doc_id) AS i,
   list_filter([CASE WHEN doc_id % 4 = 0 THEN 'doi:10.1/' || (doc_id % 60) END, CASE WHEN doc_id % 6 = 0 THEN 'arxiv:' || (doc_id % 90) END, CASE WHEN {KEY.format(TITLE)} <> '' THEN 'title:' || {KEY.format(TITLE)} END], lambda k: k IS NOT NULL) AS keys
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+shared AS (SELECT k FROM (SELECT unnest(keys) AS k FROM a) GROUP BY k HAVING count(*) > 1),
+met AS (SELECT doc_id, i, list(k ORDER BY y) AS keys FROM (SELECT doc_id, i, unnest(keys) AS k, generate_subscripts(keys, 1) AS y FROM a) WHERE k IN (SELECT k FROM shared) GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY i) AS i, keys FROM met),
 walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS doc_id, MAP {{}}::MAP(VARCHAR, BIGINT) AS owners, NULL::BIGINT AS dup UNION ALL
   SELECT i, doc_id, CASE WHEN dup IS NULL THEN map_concat(owners, map_from_entries([(k, doc_id) for k in keys])) ELSE owners END, dup FROM
   (SELECT d.i, d.doc_id, owners, keys, list_filter([owners[k] for k in keys], lambda o: o IS NOT NULL)[1] AS dup FROM walk JOIN d ON d.i = walk.i + 1))
-SELECT doc_id, CASE WHEN dup IS NULL THEN 'include' ELSE 'duplicate' END AS decision, dup AS duplicate_of FROM walk WHERE i > 0""")
+SELECT doc_id, CASE WHEN dup IS NULL THEN 'include' ELSE 'duplicate' END AS decision, dup AS duplicate_of FROM walk WHERE i > 0
+UNION ALL SELECT doc_id, 'include', NULL FROM a WHERE doc_id NOT IN (SELECT doc_id FROM d)""")
 def exact_duplicates_greedy(spark, sf_dir):
     """Duplicates by DOI, arXiv id and title, best extracted first."""
     d = documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text")})

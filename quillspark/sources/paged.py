@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition
 
+from quillspark.sources.recorded import opened
+
 PER_PAGE, TRIES = 100, 3
 WORKS = "query_id string, rank int, candidate_id string, title string, doi string, year int"
 ATTEMPTS = "query_id string, status string, retained int, fetched int, total int, quota int, message string"
@@ -42,13 +44,9 @@ def request_of(query: dict, cursor: str) -> dict:
     return own | ({"filter": query["filter"]} if query.get("filter") else {})
 
 
-def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
-
-
 def put_page(folder: str, page: dict) -> str:
     """Write a page under its request's hash, whole or not at all; its name."""
-    fs, path = _opened(folder)
+    fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
     name = f"{request_hash(page['request'])}.json"
     with fs.open_output_stream(f"{path}/.{name}.tmp") as out:
@@ -87,7 +85,7 @@ class PagedReader(DataSourceReader):
 
     def page(self, request: dict) -> dict:
         """The recorded page, or what fetch() gives, recorded; as often as TRIES."""
-        fs, path = _opened(self.folder)
+        fs, path = opened(self.folder)
         name = f"{path}/{request_hash(request)}.json"
         if not self.refresh and fs.get_file_info(name).type == pafs.FileType.File:
             with fs.open_input_stream(name) as f:
