@@ -29,9 +29,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), folder)
-    found = warc.read(spark, folder).where("record_type <> 'gap'")
-    found = written(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-rows")
+    found = warc.whole(spark, folder, warc.write(table(spark, sf_dir, "pages"), folder))
     deleted(spark, folder)
     return found
 

@@ -260,3 +260,15 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
             yield pa.record_batch([pa.array(columns[i], types[k]) for i, k in enumerate(kinds)], names=names)
 
     return files.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def whole(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """All records of the archives that a manifest names, as a written table; a ValueError with the first gaps if one is missing."""
+    found = read(spark, folder)
+    gap = F.col("record_type") == "gap"
+    rows_, told = observed(found.select("file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stop", "reason"), "warc-rows", F.count_if(~gap).alias("records"), F.count_if(gap).alias("gaps"))
+    wanted = manifest.agg(F.sum("n_records")).first()[0] or 0
+    if told["gaps"] or told["records"] != wanted:
+        gaps = [f"{r.file}, {r.offset} to {r.stop}: {r.reason}" for r in rows_.where(gap).orderBy("file", "offset").limit(20).collect()]
+        raise ValueError(f"{told['records']} of {wanted} records were read back; gaps: {gaps}")
+    return rows_.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -92,3 +92,19 @@ def test_empty_table(spark):
     folder = new_path(spark, "t")
     manifest = token_files.write_files(empty(spark), folder)
     assert token_files.read_files(spark, folder, manifest).count() == 0
+
+
+def test_a_damaged_record_is_not_passed_over(spark, tmp_path):
+    """Reading whole archives fails, with the gap, where a record is damaged or an archive is gone."""
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 50) for i in range(6)], "page_id long, url string, html string").coalesce(2)
+    manifest = warc.write(pages, f"file://{tmp_path}/w", compress=False)
+    assert warc.whole(spark, f"file://{tmp_path}/w", manifest).count() == 6
+    files = sorted((tmp_path / "w").glob("*.warc"))
+    body = files[0].read_bytes()
+    at = body.index(b"WARC/1", 20)
+    files[0].write_bytes(body[:at] + b"XXXX/1" + body[at + 6 :])
+    with pytest.raises(ValueError, match=f"5 of 6 records.*{files[0].name}, {at} to"):
+        warc.whole(spark, f"file://{tmp_path}/w", manifest)
+    files[0].unlink()
+    with pytest.raises(ValueError, match="of 6 records"):
+        warc.whole(spark, f"file://{tmp_path}/w", manifest)
