@@ -97,7 +97,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in packed sequences; a null or empty text is the end id alone, an empty table gives no piece."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=100_000)  # workers of the stages before still hold memory
 
 
 STAGES = [

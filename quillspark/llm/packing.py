@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillspark.llm.common import gathered, rows
-from quillspark.llm.tokens import encoder, word_bpe
+from quillspark.llm.tokens import CACHED, encoder, word_bpe
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -187,19 +187,21 @@ def pack(
     end_id: int = 1,
     block_tokens: int = 6_000_000,
     with_ids: bool = False,
+    cached: int = CACHED,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) with their place in a packed sequence.
 
     A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with_ids the ids as little-endian 32-bit integers. A null or empty text is the end id
     alone. Repeated rows are documents of their own. Other columns are ignored; an empty
-    table gives no piece. sequence_id holds the partition in its upper bits.
+    table gives no piece. sequence_id holds the partition in its upper bits. A worker keeps
+    the ids of `cached` words, which only trades memory for time.
     """
     path = tokenizer or word_bpe()
     schema = SCHEMA.append(pa.field("ids", pa.binary())) if with_ids else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cached)
         end = enc.packed([end_id])
         packer = Packer(window, width, enc.dtype, TaskContext.get().partitionId() << 36, schema.names)
         block, size = [], 0

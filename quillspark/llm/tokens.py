@@ -39,8 +39,9 @@ class Encoder(dict):
     added token goes through it as a whole, so that such a string is that token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED):
         super().__init__()
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +92,7 @@ class Encoder(dict):
             return b""
         if not self.by_word or any(x in text for x in self.added):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.clear()
             self.pieces.clear()
             self[""] = b""
@@ -99,6 +100,6 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+def encoder(path: str, most: int = CACHED) -> Encoder:
+    """One encoder for each worker process, with a cache of `most` words."""
+    return Encoder(path, most)
