@@ -58,8 +58,8 @@ def download_routes(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS abstract_digest, length(text) AS n FROM documents WHERE text IS NOT NULL")
 def abstract_from_index(spark, sf_dir):
-    """Whole texts from maps of their tokens to places."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "t"))
+    """Whole texts from maps of their tokens to places; texts are dealt out once, by document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "t"))
     places = d.groupBy("doc_id", "t").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "ps"))).alias("index"))
     made = places.select("doc_id", files.reconstructed(F.col("index")).alias("abstract"))
     return made.select("doc_id", F.md5("abstract").alias("abstract_digest"), F.length("abstract").cast("long").alias("n"))
