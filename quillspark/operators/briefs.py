@@ -40,10 +40,12 @@ def page(df: DataFrame, order: list[Column | str], size: int, number: int) -> Da
 def unfamiliar(docs: DataFrame, unknown: DataFrame, most: int = 80) -> DataFrame:
     """The most frequent unknown words (lemma) of texts, each with its first sentence: lemma, n, context."""
     said = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent", "sentence"))
-    held = said.select("doc_id", "sent", "sentence", F.explode(F.transform(text.words(F.col("sentence")), F.lower)).alias("lemma"))
-    own = held.join(unknown.select("lemma").distinct(), "lemma", "left_semi")
-    by = own.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"), F.min_by("sentence", F.struct("doc_id", "sent")).alias("context"))
-    return by.orderBy(F.desc("n"), "lemma").limit(most)
+    held = said.select("doc_id", "sent", F.explode(text.words(F.col("sentence"))).alias("form")).select(F.lower("form").alias("lemma"), "doc_id", "sent")
+    by = held.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sent")).alias("_at"))  # tasks add up before words meet
+    top = by.join(unknown.select("lemma").distinct(), "lemma", "left_semi").orderBy(F.desc("n"), "lemma").limit(most)
+    first = docs.join(F.broadcast(top.withColumn("doc_id", F.col("_at.doc_id"))), "doc_id")  # `most` rows
+    sentence = F.get(text.sentences(F.col("text")), F.col("_at.sent"))
+    return first.select("lemma", "n", sentence.alias("context")).orderBy(F.desc("n"), "lemma")
 
 
 def brief_violations(items: DataFrame, low: int = 2, high: int = 5) -> DataFrame:
