@@ -46,11 +46,33 @@ def all_sizes() -> Column:
     return F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
 
 
+#: Letters of the beginnings by which words and texts meet: the longest that a word has.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16)
+
+
+def beginning(c: Column) -> Column:
+    """The first letters of a word, as many as the largest of SIZES that it has."""
+    out = F.lit(SIZES[0])
+    for k in SIZES[1:]:
+        out = F.when(F.length(c) >= k, k).otherwise(out)
+    return F.substring(c, F.lit(1), out)
+
+
 def containing(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
-    """Pairs (s, t) of distinct values where t contains s."""
-    a = small.select(s).distinct().where(F.length(s) > 0).withColumn("_gram", F.substring(s, 1, GRAM))
-    b = grams(large.select(t).distinct(), t, all_sizes()).select(t, "_gram").distinct()
-    return b.join(a, "_gram").where(F.contains(F.col(t), F.col(s))).select(s, t)
+    """Pairs (s, t) of distinct values where t contains s.
+
+    They meet by the beginning of s. A value of t stands in for itself by a hash where it is
+    spread over its runs of letters, and is fetched where one met; contains() then decides.
+    """
+    a = small.select(s).distinct().where(F.length(s) > 0).withColumn("_gram", beginning(F.col(s)))
+    whole = large.select(t).distinct().where(F.col(t).isNotNull()).withColumn("_h", F.xxhash64(t))
+    sizes = F.array(*[F.lit(k) for k in SIZES])
+    n = F.length(t)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(t), i, k))
+    every = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), cut)))
+    b = whole.select("_h", F.explode(every).alias("_gram"))
+    met = b.join(a, "_gram").select("_h", s)
+    return met.join(whole, "_h").where(F.contains(F.col(t), F.col(s))).select(s, t)
 
 
 def spread(words: DataFrame, column: str, distance: int, *keep: str) -> DataFrame:
