@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import briefs, chunking, learning, search
+from quillspark.operators import briefs, chunking, contexts, learning, search
 from quillspark.plans import sources
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +71,12 @@ def test_fuzzy_counts(spark):
     queries = spark.createDataFrame([(x,) for x in sorted({word() for _ in range(40)})], "query string")
     want = learning.fuzzy_search(names, queries).groupBy("query").agg(F.count(F.lit(1)).alias("matches"), F.min("name").alias("first_name"))
     assert sorted(tuple(r) for r in learning.fuzzy_counts(names, queries).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_contexts_meet_by_all_words(spark):
+    """A term meets the sentences that have its words in a row, not all that have its rarest word; contexts are not dealt out."""
+    docs = spark.createDataFrame([(1, "Deep nets learn. Nets go deep.  Deep, nets! We like deep nets now."), (2, "Deep ends. Nets end."), (3, None)], "doc_id long, text string")
+    forms = spark.createDataFrame([("deep nets", "deep nets", 0), ("...", "...", 0)], "term string, form string, rank int")
+    got = unbroadcast(spark, lambda: contexts.term_contexts(docs, forms))
+    assert [tuple(r) for r in got.collect()] == [(1, "deep nets", "We like deep nets now.")]
+    assert not any("context" in x or "sentence" in x for columns in unbroadcast(spark, lambda: dealt(got)) for x in columns)
