@@ -23,12 +23,16 @@ def filled(c: str) -> Column:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """parents (order, parent) with root: the row without a parent at the end of each chain, by pointer jumping."""
+    """parents (order, parent) with root: the row without a parent at the end of each chain, by pointer jumping.
+
+    Here and in merge_groups() tables as long as the input meet by shuffles at every size: broadcast in
+    each of the rounds, those that are small enough for it would add up at the driver.
+    """
     now = written(parents.select("order", F.coalesce("parent", "order").alias("root")), "roots")
     while True:
         up = now.select(F.col("order").alias("_o"), F.col("root").alias("_up"))
         moved = F.count_if(F.col("_up") != F.col("root")).alias("moved")
-        joined = now.join(up, F.col("root") == F.col("_o")).select("order", "root", "_up")
+        joined = now.join(up.hint("merge"), F.col("root") == F.col("_o")).select("order", "root", "_up")
         then, told = observed(joined, "roots", moved)
         dropped(now)
         now = then.select("order", F.col("_up").alias("root"))
@@ -50,20 +54,20 @@ def merge_groups(candidates: DataFrame) -> DataFrame:
     before = own
     for key in ("doi", "arxiv", "third", "title"):
         held = own.where(F.col(key).isNotNull()).select(F.col("order").alias("_o"), F.lag("order").over(Window.partitionBy(key).orderBy("order")).alias(f"_by_{key}"))
-        before = before.join(held.where(f"_by_{key} is not null"), F.col("order") == F.col("_o"), "left").drop("_o")
+        before = before.join(held.where(f"_by_{key} is not null").hint("merge"), F.col("order") == F.col("_o"), "left").drop("_o")
     before = written(before.select("order", "doi", "arxiv", F.coalesce("_by_doi", "_by_arxiv", "_by_third").alias("strong"), F.col("_by_title").alias("near")), "links")
     vetoed = written(before.select("order", F.lit(False).alias("veto")), "vetoes")
     while True:
-        linked = before.join(vetoed, "order")
+        linked = before.join(vetoed.hint("merge"), "order")
         roots = _roots(linked.select("order", F.coalesce("strong", F.when(~F.col("veto"), F.col("near"))).alias("parent")))
-        member = own.join(roots, "order")
+        member = own.join(roots.hint("merge"), "order")
         first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("order").alias("o"), F.col(c).alias("id"))))
         records = member.groupBy("root").agg(first("doi").alias("_doi"), first("arxiv").alias("_arxiv"))
-        target = before.where("strong is null and near is not null").join(roots.select(F.col("order").alias("near"), F.col("root").alias("_r")), "near")
-        target = target.join(records, F.col("_r") == F.col("root"))
+        target = before.where("strong is null and near is not null").join(roots.select(F.col("order").alias("near"), F.col("root").alias("_r")).hint("merge"), "near")
+        target = target.join(records.hint("merge"), F.col("_r") == F.col("root"))
         against = lambda c, r: F.coalesce((F.col(f"{r}.o") < F.col("order")) & (F.col(f"{r}.id") != F.col(c)), F.lit(False))
         target = target.select("order", (against("doi", "_doi") | against("arxiv", "_arxiv")).alias("_new"))
-        then = vetoed.join(target, "order", "left").select("order", F.coalesce("_new", F.lit(False)).alias("veto"), "veto")
+        then = vetoed.join(target.hint("merge"), "order", "left").select("order", F.coalesce("_new", F.lit(False)).alias("veto"), "veto")
         then = then.toDF("order", "veto", "was")
         then, told = observed(then, "vetoes", F.count_if(F.col("veto") != F.col("was")).alias("changed"))
         dropped(vetoed)
@@ -76,7 +80,7 @@ def merge_groups(candidates: DataFrame) -> DataFrame:
 
 def merged_hits(hits: DataFrame, groups: DataFrame) -> DataFrame:
     """Query hits (order, provider, query_id, label) of merged records: the first of each provider and query, with its place."""
-    own = hits.join(groups, "order")
+    own = hits.join(groups.hint("merge"), "order")
     by = own.groupBy("merged_into", "provider", "query_id").agg(F.min(F.struct("order", "label")).alias("_f"))
     place = F.row_number().over(Window.partitionBy("merged_into").orderBy("_f.order", "provider", "query_id"))
     return by.select("merged_into", place.alias("place"), "provider", "query_id", F.col("_f.label").alias("label"))
@@ -84,9 +88,9 @@ def merged_hits(hits: DataFrame, groups: DataFrame) -> DataFrame:
 
 def merged_routes(routes: DataFrame, groups: DataFrame) -> DataFrame:
     """Alternate download routes (order, no, provider, url) of merged records: each URL once, without the record's own first one."""
-    own = routes.where("coalesce(url, '') <> ''").join(groups, "order")
+    own = routes.where("coalesce(url, '') <> ''").join(groups.hint("merge"), "order")
     main = own.where("order = merged_into and no = 0").select(F.col("merged_into").alias("_m"), F.col("url").alias("_u"))
-    rest = own.where("order <> merged_into or no <> 0").join(main, (F.col("merged_into") == F.col("_m")) & (F.col("url") == F.col("_u")), "left_anti")
+    rest = own.where("order <> merged_into or no <> 0").join(main.hint("merge"), (F.col("merged_into") == F.col("_m")) & (F.col("url") == F.col("_u")), "left_anti")
     by = rest.groupBy("merged_into", "url").agg(F.min(F.struct("order", "no", "provider")).alias("_f"))
     place = F.row_number().over(Window.partitionBy("merged_into").orderBy("_f.order", "_f.no"))
     return by.select("merged_into", place.alias("route_no"), F.col("_f.provider").alias("provider"), "url")
