@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -107,14 +107,21 @@ def review_reasons(words: DataFrame, dictionary: DataFrame, acronyms: DataFrame)
     return by.select("lemma", "part_of_speech", "surface_forms", reasons.alias("reasons"), expanded.alias("expansions"), suggested_sense(expanded).alias("suggested_sense_key"))
 
 
+def first_sentences(sentences: DataFrame) -> DataFrame:
+    """The first two sentences (lemma, no, paper_id, sentence) of each word (_l), of 700 characters. Spark prunes by such a limit before it deals rows out."""
+    said = sentences.where("trim(coalesce(sentence, '')) <> ''").select(plain("lemma").alias("_l"), "no", "paper_id", F.substring(F.trim("sentence"), 1, 700).alias("sentence"))
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy("no", "paper_id", "sentence"))
+    said = said.withColumn("_r", rank).where("_r <= 2")
+    return said.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("no", "paper_id", "sentence"))).alias("sentences"))
+
+
 def review_batches(reviewed: DataFrame, sentences: DataFrame, size: int = 40) -> DataFrame:
     """What reviewers get: words with reasons, at most four forms, two sentences (lemma, no, paper_id, sentence) of 700 characters, and a batch.
 
     Words are in their order; a batch has `size` of them. Offsets of ranges of words give
     each its number, so that no task orders all.
     """
-    said = sentences.where("trim(coalesce(sentence, '')) <> ''").select(plain("lemma").alias("_l"), F.struct("no", "paper_id", F.substring(F.trim("sentence"), 1, 700).alias("sentence")).alias("s"))
-    said = said.groupBy("_l").agg(F.slice(F.array_sort(F.collect_list("s")), 1, 2).alias("sentences"))
+    said = first_sentences(sentences)
     own = reviewed.where("size(reasons) > 0").join(said, plain("lemma") == F.col("_l"), "left").drop("_l")
     own = own.withColumns({"surface_forms": F.slice("surface_forms", 1, 4), "sentences": F.coalesce("sentences", F.array().cast("array<struct<no:int,paper_id:string,sentence:string>>"))})
     return numbered(own, ["lemma", "part_of_speech"]).withColumn("batch", F.ceil(F.col("number") / size)).drop("number")
