@@ -9,6 +9,7 @@ from quillspark.operators import cards
 from quillspark.operators import lexicon as lx
 from quillspark.plans import lexicon
 from quillspark.plans.base import query, table
+from quillspark.shared import written
 
 EXPANDED = f"""{lexicon.ACRONYMS}, ex0 AS (SELECT DISTINCT lower(acronym) AS acronym, expansion FROM acr),
 ex1 AS (SELECT *, regexp_extract(expansion, '([^ ]+)$', 1) AS tail, regexp_replace(expansion, '[^ ]+$', '') AS head FROM ex0),
@@ -57,7 +58,8 @@ r AS (SELECT j.lemma, part_of_speech, list_filter([CASE WHEN fit <> 1 AND entrie
 
 def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("lemma")
-    w = lexicon.vocab(spark, sf_dir).select("lemma", F.when(n % 2 == 0, "NOUN").otherwise("VERB").alias("part_of_speech")).join(word_forms(spark, sf_dir), "lemma")
+    w = lexicon.vocab(spark, sf_dir).select("lemma", F.when(n % 2 == 0, "NOUN").otherwise("VERB").alias("part_of_speech"))
+    w = written(w.join(word_forms(spark, sf_dir), "lemma"), "words")  # read four times below
     zh = F.lit("义").alias("meaning_zh")
     one = w.where(n % 6 != 0).select("lemma", F.when(n % 3 == 0, "n.").otherwise("v").alias("part_of_speech"), F.when(n % 4 == 0, "abbr. of x").otherwise("meaning").alias("meaning_en"), zh)
     two = w.where(n % 5 == 0).select("lemma", F.lit("v"), F.lit("other"), zh)
