@@ -6,6 +6,10 @@ then looked for in that sentence only. So no term is held against every text.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from quillspark.functions import text
 # Letters on either side of a term between sentence marks, and those of a window.
 REACH, WINDOW, EDGE = 420, 500, 80
 TOKEN = r"([\p{L}\p{N}_]+)"
+# White space as Spark's patterns know it; rows that a task passes on together.
+SENTENCE_END, SPACE, LETTERS = re.compile(r"(?<=[.!?])[ \t\n\v\f\r]+"), re.compile(r"[ \t\n\v\f\r]{2,}|[\t\n\v\f\r]"), re.compile("[A-Za-z]+")
+ROWS = 5_000
 
 
 def _all_sentences() -> Column:
@@ -91,34 +98,92 @@ def window(sentence: Column, start: Column, end: Column, limit: int = WINDOW) ->
     return F.when(n <= limit, text.squeezed(sentence)).otherwise(out)
 
 
+def window_of(sentence: str, start: int, end: int, limit: int = WINDOW) -> str:
+    """window() of one sentence in a task that holds it."""
+    n = len(sentence)
+    if n <= limit:
+        return SPACE.sub(" ", sentence).strip(" ")
+    right = min(n, max(0, (start + end) // 2 - limit // 2) + limit)
+    left = max(0, right - limit)
+    ahead = sentence.find(" ", left, max(left, min(start, left + EDGE)))
+    first = ahead + 1 if left > 0 and ahead >= 0 else left
+    low = max(end, right - EDGE)
+    back = sentence.rfind(" ", low, max(low, right))
+    last = back if right < n and back > end else right
+    cut = SPACE.sub(" ", sentence[first:last]).strip(" ")
+    return ("… " if first > 0 else "") + cut + (" …" if last < n else "")
+
+
+def _places(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lemma, n, place: how often each word stands in a text, and its first place, a sentence (of 2^32) and a word's number in it."""
+    for batch in texts:
+        rows: list[tuple] = []
+        for doc, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            count: dict[str, list[int]] = {}
+            for sent, sentence in enumerate(SENTENCE_END.split(whole or "")):
+                for place, w in enumerate(LETTERS.findall(sentence), sent << 32):
+                    w = w.lower()
+                    if (held := count.get(w)) is None:
+                        count[w] = [1, place]
+                    else:
+                        held[0] += 1
+            rows += ((doc, w, n, place) for w, (n, place) in count.items())
+            if len(rows) >= ROWS:
+                yield _batch(rows, batch.column(0).type)
+                rows = []
+        if rows:
+            yield _batch(rows, batch.column(0).type)
+
+
+def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    types = (key, pa.string(), pa.int64(), pa.int64() if isinstance(rows[0][3], int) else pa.string())
+    names = ["doc_id", "lemma", "n", "place" if types[3] == pa.int64() else "context"]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _shown(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lemma, n, context of texts (doc_id, text, words of lemma, n, place)."""
+    for batch in texts:
+        rows: list[tuple] = []
+        lists = batch.column(2)
+        flat, ends = lists.flatten(), lists.offsets.to_pylist()
+        words = list(zip(*(flat.field(c).to_pylist() for c in ("place", "lemma", "n")), strict=True))
+        for i, (doc, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            said = SENTENCE_END.split(whole or "")
+            sent, spans, short = -1, [], None
+            for place, lemma, n in sorted(words[ends[i] - ends[0] : ends[i + 1] - ends[0]]):
+                if place >> 32 != sent:
+                    sent = place >> 32
+                    sentence = said[sent] if sent < len(said) else ""
+                    spans = [m.span() for m in LETTERS.finditer(sentence)]
+                    short = window_of(sentence, 0, 0) if len(sentence) <= WINDOW else None
+                k = place & 0xFFFFFFFF
+                if k < len(spans):  # another text of the same doc_id may lack the place
+                    rows.append((doc, lemma, n, window_of(sentence, *spans[k]) if short is None else short))
+                if len(rows) >= ROWS:
+                    yield _batch(rows, batch.column(0).type)
+                    rows = []
+        if rows:
+            yield _batch(rows, batch.column(0).type)
+
+
 def word_contexts(docs: DataFrame, words: DataFrame, most: int | None = None) -> DataFrame:
     """How often each word (lemma) stands in each document, and a window around its first place: doc_id, lemma, n, context.
 
     Sentences end after . ! ? and white space. With `most` the most frequent words of a
-    document stay, ties by their first place.
+    document stay, ties by their first place. Words are counted where a document is read; those
+    that are asked for come back to it by its id, a list a document, and windows are cut there.
     """
-    said = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+")).alias("sent", "sentence"))
-    # each word with its place: the letters before it are those of the pieces and words before it
-    word = r"([A-Za-z]+)"
-    pieces = F.split("sentence", "[A-Za-z]+")
-    found = F.regexp_extract_all("sentence", F.lit(word), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,w:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["p"])
-        return F.struct((at + F.length(x["w"])).alias("at"), F.array_append(s["out"], F.struct(at.alias("at"), x["w"].alias("w"))).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), found, lambda p, w: F.struct(F.coalesce(p, F.lit("")).alias("p"), w.alias("w")))
-    placed = F.aggregate(F.filter(pairs, lambda x: x["w"].isNotNull()), start, step)["out"]
-    toks = said.where(F.col("sentence").rlike("[A-Za-z]")).select("doc_id", "sent", F.explode(placed).alias("t"))
-    toks = toks.select("doc_id", "sent", F.col("t.at").alias("at"), F.length("t.w").alias("size"), F.lower("t.w").alias("lemma"))
-    own = toks.join(words.select("lemma").distinct(), "lemma", "left_semi")
-    by = own.groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent", "at", "size")).alias("_f"))
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.mapInArrow(_places, f"doc_id {kind}, lemma string, n long, place long")
+    own = found.join(words.select("lemma").distinct().hint("shuffle_hash"), "lemma", "left_semi").repartition("doc_id")
+    by = own.groupBy("doc_id", "lemma").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
     if most is not None:
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "_f"))
-        by = by.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
-    out = by.select("doc_id", "lemma", "n", "_f.sent", "_f.at", "_f.size").join(said, ["doc_id", "sent"])
-    return out.select("doc_id", "lemma", "n", window(F.col("sentence"), F.col("at"), F.col("at") + F.col("size")).alias("context"))
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "place"))
+        by = by.withColumn("_r", rank).where(F.col("_r") <= most)
+    lists = by.groupBy("doc_id").agg(F.collect_list(F.struct("lemma", "n", "place")).alias("words"))
+    return docs.join(lists, "doc_id").select("doc_id", "text", "words").mapInArrow(_shown, f"doc_id {kind}, lemma string, n long, context string")
 
 
 def term_rows(terms: DataFrame, contexts: DataFrame, explanations: DataFrame, papers: DataFrame, statuses: DataFrame) -> DataFrame:
