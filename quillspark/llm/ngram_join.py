@@ -16,6 +16,10 @@ of many near copies is nearly all one component, whose inner pairs need no look.
 pairs of groups whose leads did not link and that still lie apart are expanded to their
 members, which are verified. No link between components is lost, and a list of many near
 copies costs about its length.
+
+Prefixes, bins and texts are wide and stay where they are: classes, groups and pairs are
+made of row numbers, and the few rows that they need are told by a sieve before they are
+dealt out.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm import sieve
 from quillspark.llm.common import released, rows, small_batches
 from quillspark.operators.components import connected
 from quillspark.shared import dropped, observed, swept, written
@@ -160,7 +165,10 @@ def binned(tokens: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's two check sums (s, t), its bins, its prefix in the global order, and how many there are not frequent."""
+    """doc_id, n, the set's two check sums (s, t), its bins, its prefix in the global order, how many there are not frequent, a hash of it (_key), and a number of the row.
+
+    The number holds once the table is written.
+    """
     by_value = np.argsort(heavy, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((heavy[by_value], by_value.astype(np.int64)))  # bounded by frequent(most)
 
@@ -193,7 +201,13 @@ def prefixes(docs: DataFrame, shingler: Shingler, similarity: Similarity, heavy:
         shingler.known.clear()
         released()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>, rare long")
+    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long, bins binary, prefix array<long>, rare long")
+    return made.withColumns({"_key": F.xxhash64("prefix"), "row": F.monotonically_increasing_id()})
+
+
+def ends(pairs: DataFrame, name: str) -> DataFrame:
+    """The ids that pairs (a, b) name, once each."""
+    return pairs.select(F.col("a").alias(name)).union(pairs.select(F.col("b").alias(name))).distinct()
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -201,7 +215,7 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFra
 
     Exact: no pair that links is lost, and most others need no look at their texts.
     """
-    own = sets.select("rep", "n", "bins")
+    own = sieve.maybe(sets.select("rep", "n", "bins"), "rep", ends(pairs, "rep"))
     both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +235,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingler: Shingler, similarity:
     """Those of the pairs (a, b) of doc ids whose texts link. One text of a travels for up to about `chunk` partners."""
     fan = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / chunk).alias("_parts"))
     dealt = written(pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_chunk")), "dealt")
-    ids = dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id"), "texts")
+    ids = ends(dealt, "doc_id")
+    texts = written(sieve.maybe(docs, "doc_id", ids).join(ids, "doc_id"), "texts")
     heads = dealt.select("a", "_chunk").distinct().join(texts, F.col("a") == F.col("doc_id"))
     heads = heads.select("a", "_chunk", F.lit(None).cast("long").alias("b"), "text")
     partners = dealt.join(texts, F.col("b") == F.col("doc_id")).select("a", "_chunk", "b", "text")
@@ -276,15 +290,16 @@ class Labels:
         self.table = then
 
 
-def lists_of(members: DataFrame) -> DataFrame:
-    """token, g, n, pos and the list's length of all lists of two groups or more.
+def lists_of(leads: DataFrame) -> DataFrame:
+    """token, g, n, pos and the list's length of all lists of two groups or more, of their leads (g, n, prefix, rare).
 
     Tokens that may have long lists are the frequent ones. They are counted by partial
     aggregates and joined, so that no list meets in one task; the others' lists are short.
     """
-    lists = members.where("rep = g").select("g", "n", F.posexplode("prefix").alias("pos", "token"), (F.col("pos") >= F.col("rare")).alias("_often"))
-    few = lists.where("not _often").withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
-    often = lists.where("_often")
+    few = leads.select("g", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare").cast("int"))).alias("pos", "token"))
+    few = few.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
+    often = leads.where(F.size("prefix") > F.col("rare")).select("g", "n", "rare", F.posexplode(F.slice("prefix", F.col("rare").cast("int") + 1, F.size("prefix"))).alias("_at", "token"))
+    often = often.select("g", "n", (F.col("_at") + F.col("rare")).cast("int").alias("pos"), "token")
     lengths = often.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     return few.select("token", "g", "n", "pos", "length").union(often.join(lengths, "token").select("token", "g", "n", "pos", "length"))
 
@@ -339,16 +354,20 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
     known = docs.where("doc_id is not null")
     sets = written(prefixes(docs, shingler, similarity, frequent(docs, shingler, frequent_most)), "sets")
     own = ["n", "s", "t"]
-    classes = sets.where("n > 0 and doc_id is not null").groupBy(*own)
-    classes = classes.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("bins").alias("bins"))
-    classes = written(classes.withColumn("_key", F.xxhash64("prefix")), "classes")
+    narrow = written(sets.select("row", "doc_id", *own, "_key"), "narrow")
+    classes = narrow.where("n > 0 and doc_id is not null").groupBy(*own)
+    classes = written(classes.agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("row"), F.first("_key").alias("_key")), "classes")
+    copies = written(narrow.select("row").join(classes.select("row"), "row", "left_anti"), "copies")
+    bins = sieve.without(sets.select("row", F.col("doc_id").alias("rep"), "n", "bins"), "row", copies).drop("row")
     lead = classes.groupBy("n", "_key").agg(F.min("rep").alias("g"))
-    members, told = observed(classes.join(lead, ["n", "_key"]).select("rep", "g", "n", "prefix", "rare"), "members", F.count_if(F.col("rep") != F.col("g")).alias("more"))
-    label = Labels()
+    members, told = observed(classes.join(lead, ["n", "_key"]).select("rep", "row", "g", "n"), "members", F.count_if(F.col("rep") != F.col("g")).alias("more"))
+    label, many = Labels(), F.count(F.lit(1)).alias("rows")
 
-    def tried(pairs: DataFrame) -> DataFrame | None:
-        """Links of the pairs, if any, merged into the labels."""
-        pairs, found = observed(likely(pairs, classes, similarity), "pairs", F.count(F.lit(1)).alias("rows"))
+    def tried(asked: DataFrame, figures: dict) -> DataFrame | None:
+        """Links of the pairs of a written table, if any, merged into the labels."""
+        if not figures["rows"]:
+            return None
+        pairs, found = observed(likely(asked, bins, similarity), "pairs", many)
         if not found["rows"]:
             dropped(pairs)
             return None
@@ -358,27 +377,29 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
         return links
 
     if told["more"]:  # groups of several: those that do not link with their lead leave it
-        linked = tried(members.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")))
-        stay = members.limit(0).select("g", "rep") if linked is None else linked.select(F.col("a").alias("g"), F.col("b").alias("rep"))
+        asked, figures = observed(members.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")), "met", many)
+        linked = tried(asked, figures)
+        stay = members.limit(0).select("g", "rep") if linked is None else linked.select(F.col("a").alias("g"), F.col("b").alias("rep")).distinct()
         stay = stay.withColumn("_stays", F.lit(True))
         then = written(members.join(stay, ["g", "rep"], "left").withColumn("g", F.when(F.col("_stays"), F.col("g")).otherwise(F.col("rep"))).drop("_stays"), "members")
-        dropped(members, linked)
+        dropped(members, linked, asked)
         members = then
-    lists, told_lists = observed(lists_of(members), "lists", F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
+    others = written(narrow.select("row").join(members.where("rep = g").select("row"), "row", "left_anti"), "others")
+    leads = sieve.without(sets.select("row", F.col("doc_id").alias("g"), "n", "prefix", "rare"), "row", others)
+    lists, told_lists = observed(lists_of(leads), "lists", F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
     swept(docs.sparkSession)
+    bins = written(bins, "bins")
+    dropped(sets, copies, others)
     crowds = written(members.where("rep <> g").select("g").distinct(), "crowds") if told["more"] else None
     k, done, waiting = 0, 1, None
     while done < told_lists["longest"]:
-        pairs = met(lists.where(F.col("length") > done), label, similarity, k, bucket)
+        pairs, figures = observed(met(lists.where(F.col("length") > done), label, similarity, k, bucket), "met", many)
         if crowds is not None:  # pairs to look at again, member by member
-            pairs = written(pairs, "met")
             some = crowds.select(F.col("g").alias("_g"))
             held = pairs.join(some, F.col("a") == F.col("_g"), "left_semi").union(pairs.join(some, F.col("b") == F.col("_g"), "left_semi"))
             held = written(held.distinct(), "waiting")
             waiting = [*(waiting or []), held]
-        dropped(tried(pairs))
-        if crowds is not None:
-            dropped(pairs)
+        dropped(tried(pairs, figures), pairs)
         k, done, bucket = k + 1, bucket, bucket * 16
         swept(docs.sparkSession)
     if waiting:
@@ -388,11 +409,12 @@ def _joined(docs: DataFrame, shingler: Shingler, similarity: Similarity, frequen
         apart = label.of(label.of(all_waiting.distinct(), "a", "_c"), "b", "_d").where("_c <> _d")
         one, other = (members.select(F.col("g").alias(g), F.col("rep").alias(r)) for g, r in (("a", "_x"), ("b", "_y")))
         whole = apart.join(one, "a").join(other, "b").where("a <> _x or b <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
-        dropped(tried(whole.distinct()), *waiting)
+        asked, figures = observed(whole.distinct(), "met", many)
+        dropped(tried(asked, figures), asked, *waiting)
     of_class = label.of(classes.select(*own, "rep"), "rep").drop("rep")
-    found = sets.select("doc_id", *own).join(of_class, own, "left")
+    found = narrow.select("doc_id", *own).join(of_class, own, "left")
     result = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     out = written(found.select("doc_id", F.col("n").alias("n_shingles"), result.alias("component_id")), "components")
-    dropped(sets, classes, members, lists, crowds, label.table)
+    dropped(narrow, classes, bins, members, lists, crowds, label.table)
     swept(docs.sparkSession)
     return out
